@@ -70,6 +70,25 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} as {n}" for n, e in columns.items())
 
 
+def _bands(rows: str, counted: str) -> str:
+    """1% and 99% price quantiles per product by linear interpolation from the nearer end."""
+
+    def quantile(q: str) -> str:
+        position = f"((len(p) - 1) * {q}::double)"
+        low = f"cast(floor({position}) as bigint)"
+        below, above = f"p[{low} + 1]", f"p[least({low} + 2, len(p))]"
+        share = f"({position} - {low})"
+        return (
+            f"case when {share} < 0.5 then {below} + ({above} - {below}) * {share} "
+            f"else {above} - ({above} - {below}) * (1 - {share}) end"
+        )
+
+    return f"""
+select category, product_key, {quantile("0.01")} as q_low, {quantile("0.99")} as q_high
+from (select category, product_key, list(price order by price) as p
+      from {rows} where {counted} group by category, product_key)"""
+
+
 TABLET_COLUMNS = {**OWN_INDEX, **CALENDAR, **ROLLING, **LAGS, **CHANGES, **SPECS}
 MOBILE_COLUMNS = {**MOBILE_INDEX, **CALENDAR, **ROLLING, **LAGS, **SPECS}
 
@@ -124,12 +143,8 @@ from (
          k as (partition by category, product_key)
 )
 where from_end = 1 and n >= 2 and first_price > 0 and price is not null""",
-    "trimmed": """
-select d.* from daily d join (
-  select category, product_key, quantile_cont(price, 0.01) as q_low,
-         quantile_cont(price, 0.99) as q_high
-  from daily group by category, product_key
-) b using (category, product_key)
+    "trimmed": f"""
+select d.* from daily d join ({_bands("daily", "true")}) b using (category, product_key)
 where d.price between b.q_low and b.q_high""",
     "tablet_rows": f"""
 select *, price as target, {_select(TABLET_COLUMNS)}
@@ -144,10 +159,7 @@ from tablet_rows""",
 select *, row_number() over {W} as r, count(*) over (partition by category, product_key) as n,
        lead(price) over {W} as target, {_select(MOBILE_COLUMNS)}
 from daily where category = 'mobile'""",
-    "mobile_bands": """
-select category, product_key, quantile_cont(price, 0.01) as q_low,
-       quantile_cont(price, 0.99) as q_high
-from mobile_numbered where r <= floor(n * 0.8::double) group by category, product_key""",
+    "mobile_bands": _bands("mobile_numbered", "r <= floor(n * 0.8::double)"),
     "mobile_gate": """
 select category, product_key, n,
        count(*) filter (where r <= floor(n * 0.8::double) and inside) >= 10

@@ -40,20 +40,53 @@ def price_quantiles(
     )
 
 
-def _band(price: Column, low: float, high: float) -> Column:
-    # Over the series window, so it shares the features' sort; a product's
-    # rows are bounded by the days tracked.
-    return F.percentile(price, [low, high]).over(whole_series())
+def _interpolated(q: float, rank: Column, n: Column, counted: Column, all_rows) -> Column:
+    """Linear quantile from the ranked prices, anchored at the nearer neighbour.
+
+    Computed prices of one product often differ in the last bit only. Weighing
+    two such neighbours can land outside both and drop a row that lies on the
+    bound, so the interpolation starts from one of them.
+    """
+    position = (n - 1) * F.lit(q)
+    low = F.floor(position)
+    share = position - low
+
+    def at(place: Column) -> Column:
+        return F.max(F.when(counted & (rank == place), F.col("price"))).over(all_rows)
+
+    below, above = at(low), at(F.least(low + 1, n - 1))
+    step = above - below
+    return F.when(share < 0.5, below + step * share).otherwise(above - step * (1 - share))
+
+
+def _with_inside(rows: DataFrame, low: float, high: float, counted: Column) -> DataFrame:
+    """Adds ``inside``: price within the quantile band of the product's ``counted`` rows.
+
+    Ranked by a sort within the product's partition; rows are bounded by the
+    days tracked and nothing is shuffled again.
+    """
+    by_price = Window.partitionBy(*KEY).orderBy(F.desc("is_counted"), F.asc_nulls_last("price"))
+    all_rows = by_price.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = (
+        rows.withColumn("is_counted", counted & F.col("price").isNotNull())
+        .withColumn("price_rank", F.row_number().over(by_price) - 1)
+        .withColumn("n_counted", F.count_if("is_counted").over(all_rows))
+    )
+    rank, n, is_counted = F.col("price_rank"), F.col("n_counted"), F.col("is_counted")
+    banded = ranked.withColumn("q_low", _interpolated(low, rank, n, is_counted, all_rows))
+    banded = banded.withColumn("q_high", _interpolated(high, rank, n, is_counted, all_rows))
+    # Without counted rows there is no band and nothing lies inside.
+    inside = F.coalesce(F.col("price").between(F.col("q_low"), F.col("q_high")), F.lit(False))
+    return banded.withColumn("inside", inside).drop(
+        "is_counted", "price_rank", "n_counted", "q_low", "q_high"
+    )
 
 
 def trim_outliers(
     daily: DataFrame, low: float = LOW_QUANTILE, high: float = HIGH_QUANTILE
 ) -> DataFrame:
     """Rows inside their own product's quantile band, bounds included."""
-    banded = daily.withColumn("band", _band(F.col("price"), low, high))
-    return banded.where(
-        F.col("price").between(F.col("band")[0], F.col("band")[1])
-    ).drop("band")
+    return _with_inside(daily, low, high, F.lit(True)).where("inside").drop("inside")
 
 
 def train_rows(n: Column, test_size: float = TEST_SIZE) -> Column:
@@ -182,12 +215,10 @@ def mobile_gate(
     split = daily.withColumn("in_head", row <= train_rows(n, test_size)).withColumn(
         "n_days", n
     )
-    head_price = F.when(F.col("in_head"), F.col("price"))
-    banded = split.withColumn("band", _band(head_price, LOW_QUANTILE, HIGH_QUANTILE))
-    # An empty head has no band; then nothing lies inside and the gate stays shut.
-    inside = F.col("price").between(F.col("band")[0], F.col("band")[1])
-    head_kept = F.count_if(inside & F.col("in_head")).over(whole_series())
-    tail_kept = F.count_if(inside & ~F.col("in_head")).over(whole_series())
+    banded = _with_inside(split, LOW_QUANTILE, HIGH_QUANTILE, F.col("in_head"))
+    product = Window.partitionBy(*KEY)
+    head_kept = F.count_if(F.col("inside") & F.col("in_head")).over(product)
+    tail_kept = F.count_if(F.col("inside") & ~F.col("in_head")).over(product)
     rows_with_target = F.col("n_days") - 1
     gate = (
         (head_kept >= min_obs)
@@ -196,7 +227,7 @@ def mobile_gate(
         & (train_rows(rows_with_target, test_size) >= 1)
         & (train_rows(rows_with_target, test_size) < rows_with_target)
     )
-    return banded.withColumn("gate_open", gate).drop("in_head", "band")
+    return banded.withColumn("gate_open", gate).drop("in_head", "inside")
 
 
 def mobile_training_set(
