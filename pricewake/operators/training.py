@@ -101,72 +101,68 @@ def per_product_split(daily: DataFrame, test_size: float = TEST_SIZE) -> DataFra
     return daily.withColumn("is_train", row <= train_rows(n, test_size))
 
 
-def _cut_point(counts: DataFrame, test_size: float) -> DataFrame:
-    """The one product the global split runs through, and its rows before the cut.
+def _cut_point(counts: DataFrame, test_size: float) -> tuple[str, str, int] | None:
+    """The product the global split runs through, and its rows before the cut.
 
-    Rows are taken in key order. The keys are cut into ranges at a sample of
-    themselves, range totals are accumulated over those few rows, and only the
-    range the cut falls in is accumulated key by key. The sample is the keys of
-    least hash: a function of the data, so a recomputed task sees the same ranges.
+    ``counts`` holds one row per product. Its keys are cut into ranges at a
+    sample of themselves; the driver sees one total per range, and only the
+    range the cut falls in is accumulated key by key.
     """
-    keyed = counts.withColumn("sort_key", F.struct(*KEY))
-    fences = (
-        keyed.orderBy(F.xxhash64(*KEY), "sort_key")
-        .limit(_FENCES)
-        .agg(F.array_sort(F.collect_list("sort_key")))
-    )
-    keyed = keyed.withColumn("fences", fences.scalar()).withColumn(
-        "range", F.size(F.filter("fences", lambda f: f <= F.col("sort_key")))
-    ).drop("fences")
-    up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("range").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    # At most _FENCES + 1 rows reach this ordering.
-    ranges = keyed.groupBy("range").agg(F.sum("n_rows").alias("range_rows")).select(
-        "range",
-        (F.sum("range_rows").over(up_to) - F.col("range_rows")).alias("rows_before"),
-        F.sum("range_rows").over(up_to).alias("rows_through"),
-        train_rows(F.sum("range_rows").over(whole), test_size).alias("cut"),
-    )
-    hit = ranges.where(
-        (F.col("rows_before") <= F.col("cut")) & (F.col("cut") < F.col("rows_through"))
-    )
-    within = Window.partitionBy("range").orderBy("sort_key").rowsBetween(
-        Window.unboundedPreceding, 0
+    # The keys of least hash: an even sample that depends on the data alone.
+    sample = counts.orderBy(F.xxhash64(*KEY), *KEY).limit(_FENCES).select(*KEY).collect()
+    if not sample:
+        return None
+    parts = ", ".join(f"{name}: string" for name in KEY)
+    fences = counts.sparkSession.createDataFrame(
+        [(sorted(map(tuple, sample)),)], f"fences array<struct<{parts}>>"
+    ).scalar()
+    key = F.struct(*KEY)
+    ranged = (
+        counts.withColumn("fences", fences)
+        .withColumn("range", F.size(F.filter("fences", lambda f: f <= key)))
+        .drop("fences")
     )
-    placed = keyed.join(hit, "range").select(
-        "sort_key",
-        "n_rows",
-        "cut",
-        (F.col("rows_before") + F.sum("n_rows").over(within)).alias("rows_through"),
+    totals = sorted(ranged.groupBy("range").agg(F.sum("n_rows")).collect())
+    cut = int(sum(n for _, n in totals) * (1.0 - test_size))
+    before = 0
+    for hit, n in totals:
+        if before + n > cut:
+            break
+        before += n
+    through = F.sum("n_rows").over(
+        Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return placed.where(
-        (F.col("rows_through") - F.col("n_rows") <= F.col("cut"))
-        & (F.col("cut") < F.col("rows_through"))
-    ).select(
-        F.struct(
-            "sort_key",
-            (F.col("cut") - F.col("rows_through") + F.col("n_rows")).alias("head"),
-        ).alias("cut_at")
+    placed = ranged.where(F.col("range") == hit).withColumn("through", F.lit(before) + through)
+    first = (
+        placed.where(F.col("through") > cut)
+        .orderBy("through")
+        .select(*KEY, (F.lit(cut) - F.col("through") + F.col("n_rows")).alias("head"))
+        .first()
     )
+    return tuple(first)
 
 
 def global_split(series: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     """Positional split of the whole frame in (product, date) order.
 
     Products before the one the cut falls in train, later ones test; that one
-    product is split by row number. Position needs no global row numbering.
+    product is split by row number. Finding it reads ``series`` once, right
+    away; store or persist an expensive one beforehand.
     """
-    counts = series.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    marked = series.withColumn("cut_at", _cut_point(counts, test_size).scalar()).withColumn(
-        "row_in_product", F.row_number().over(series_window())
-    )
+    counts = series.groupBy(*KEY).agg(F.count("*").alias("n_rows")).persist()
+    try:
+        cut = _cut_point(counts, test_size)
+    finally:
+        counts.unpersist()
+    if cut is None:
+        return series.withColumn("is_train", F.lit(False))
+    *cut_key, head = cut
     key = F.struct(*KEY)
-    is_train = (key < F.col("cut_at.sort_key")) | (
-        (key == F.col("cut_at.sort_key")) & (F.col("row_in_product") <= F.col("cut_at.head"))
-    )
-    return marked.withColumn("is_train", is_train).drop("cut_at", "row_in_product")
+    cut_at = F.struct(*[F.lit(part).alias(name) for name, part in zip(KEY, cut_key, strict=True)])
+    row = F.row_number().over(series_window())
+    return series.withColumn("row_in_product", row).withColumn(
+        "is_train", (key < cut_at) | ((key == cut_at) & (F.col("row_in_product") <= head))
+    ).drop("row_in_product")
 
 
 def next_price_target(daily: DataFrame) -> DataFrame:
