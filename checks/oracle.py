@@ -225,7 +225,7 @@ def _case(signal: str, texts: dict[str, tuple[str, ...]], part: int) -> str:
 
 
 def _moments(rows: str, columns: list[str]) -> str:
-    means = [f"select '{c}' as x, '1' as y, avg({c}) as mean_product, count(*) as n from {rows}"
+    means = [f"select '1' as x, '{c}' as y, avg({c}) as mean_product, count(*) as n from {rows}"
              for c in columns]
     pairs = [
         f"select '{a}', '{b}', avg({a}::double * {b}::double), count(*) from {rows}"

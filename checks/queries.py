@@ -99,8 +99,8 @@ class Tables:
     def summary(self) -> DataFrame:
         return signals.product_summary(catalog.catalogue(self.folded), self.baseline)
 
-    def trained(self, category: str) -> plans.Trained:
-        return plans.train(self.products, self.prices, category)
+    def model(self, category: str) -> model.LinearModel:
+        return plans.train(self.products, self.prices, category).release()
 
 
 def _with_windows(daily: DataFrame, *columns: dict) -> DataFrame:
@@ -109,7 +109,7 @@ def _with_windows(daily: DataFrame, *columns: dict) -> DataFrame:
 
 
 def _coefficients(t: Tables, category: str) -> DataFrame:
-    return t.trained(category).model.to_table(t.spark)
+    return t.model(category).to_table(t.spark)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -120,18 +120,18 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 def _model_roundtrip(t: Tables) -> DataFrame:
     path = _scratch(t.spark, "model")
-    model.save_model(t.trained("mobile").model, t.spark, path)
+    model.save_model(t.model("mobile"), t.spark, path)
     return model.load_model(t.spark, path).to_table(t.spark)
 
 
 def _score_in_sample(t: Tables) -> DataFrame:
     rows = t.mobile_rows
-    return forecast.score(rows, t.trained("mobile").model)
+    return forecast.score(rows, t.model("mobile"))
 
 
 def _recursive(t: Tables) -> DataFrame:
     daily = t.daily("tablet")
-    return forecast.recursive_forecast(daily, t.trained("tablet").model)
+    return forecast.recursive_forecast(daily, t.model("tablet"))
 
 
 def _forecast_export(t: Tables) -> DataFrame:
@@ -371,7 +371,7 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         _FORECAST_DAY,
     ),
     "next_price": (
-        lambda t: forecast.next_price(t.daily("mobile"), t.trained("mobile").model),
+        lambda t: forecast.next_price(t.daily("mobile"), t.model("mobile")),
         shape(**_DAY, next_price="r"),
     ),
     "forecast_calendar": (

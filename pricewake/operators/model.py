@@ -74,46 +74,47 @@ def load_model(spark: SparkSession, path: str) -> LinearModel:
 def ols_moments(
     rows: DataFrame, columns: list[str], centre: dict[str, float] | None = None
 ) -> DataFrame:
-    """One row: ``n``, the sum of each column and of each product of two columns.
+    """Sums of the products of each two of ``1`` and ``columns``, as a square table.
 
-    Sums are partial per task, so one row per task is shuffled. With ``centre``
-    the columns are shifted first, which keeps the products well conditioned.
+    Row ``i`` holds the sums with column ``i`` in ``m_0 .. m_k``; place 0 is the
+    constant, so ``m_0`` of row 0 counts the rows. Each input row is fanned out
+    by place, which keeps the aggregate narrow and compiled, and every task
+    sends one row per place. ``centre`` is subtracted first, which keeps the
+    products well conditioned.
     """
-    shifted = {
-        c: F.col(c).cast("double") - F.lit(float(centre[c]) if centre else 0.0) for c in columns
-    }
-    sums = [F.sum(shifted[c]).alias(f"s_{i}") for i, c in enumerate(columns)]
-    products = [
-        F.sum(shifted[a] * shifted[b]).alias(f"p_{i}_{j}")
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i <= j
+    shifted = [
+        F.col(c).cast("double") - F.lit(float(centre[c]) if centre else 0.0) for c in columns
     ]
-    return rows.agg(F.count("*").alias("n"), *sums, *products)
+    placed = rows.select(F.array(F.lit(1.0), *shifted).alias("x")).select(
+        "x", F.posexplode("x").alias("i", "xi")
+    )
+    return placed.groupBy("i").agg(
+        *[
+            F.sum(F.col("xi") * F.get("x", F.lit(j))).alias(f"m_{j}")
+            for j in range(len(columns) + 1)
+        ]
+    )
 
 
 def moments_table(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``ols_moments`` in long form: mean product of each pair of columns."""
-    wide = ols_moments(rows, columns)
-    pairs = [
-        F.struct(
-            F.lit(a).alias("x"),
-            F.lit(b).alias("y"),
-            (F.col(f"p_{i}_{j}") / F.col("n")).alias("mean_product"),
-        )
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i <= j
-    ]
-    means = [
-        F.struct(
-            F.lit(a).alias("x"),
-            F.lit("1").alias("y"),
-            (F.col(f"s_{i}") / F.col("n")).alias("mean_product"),
+    """``ols_moments`` per pair of names: the mean product, with ``1`` the constant."""
+    names = ["1", *columns]
+    table = F.array(*[F.lit(n) for n in names])
+    long = ols_moments(rows, columns).select(
+        "i", F.posexplode(F.array(*[f"m_{j}" for j in range(len(names))])).alias("j", "total")
+    )
+    n = long.where((F.col("i") == 0) & (F.col("j") == 0)).select("total").scalar()
+    return (
+        long.withColumn("n", n)
+        # Each pair once, and not the constant with itself.
+        .where((F.col("j") > 0) & (F.col("i") <= F.col("j")))
+        .select(
+            F.get(table, F.col("i")).alias("x"),
+            F.get(table, F.col("j")).alias("y"),
+            F.col("n").cast("bigint").alias("n"),
+            (F.col("total") / F.col("n")).alias("mean_product"),
         )
-        for i, a in enumerate(columns)
-    ]
-    return wide.select("n", F.inline(F.array(*means, *pairs)))
+    )
 
 
 def solve(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
@@ -160,14 +161,12 @@ def fit(
     if not first["n"]:
         raise ValueError("no product meets the training requirements")
     centre = {c: first[c] for c in columns}
-    sums = ols_moments(rows, columns, centre).first()
+    full = np.empty((len(columns) + 1, len(columns) + 1))
+    for line in ols_moments(rows, columns, centre).collect():
+        full[line["i"]] = line[1:]
+    # What the rounding of the means left over.
+    full = full[1:, 1:] - np.outer(full[0, 1:], full[0, 1:]) / full[0, 0]
     k = len(features)
-    full = np.empty((k + 1, k + 1))
-    shift = np.array([sums[f"s_{i}"] for i in range(k + 1)]) / sums["n"]
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            # Second-order correction for the rounding of the means.
-            full[i, j] = full[j, i] = sums[f"p_{i}_{j}"] - sums["n"] * shift[i] * shift[j]
     weights = solve(full[:k, :k], full[:k, k])
     means = np.array([centre[c] for c in columns])
     intercept = float(means[k] - weights @ means[:k])

@@ -21,6 +21,9 @@ TEST_SIZE = 0.2
 LOW_QUANTILE, HIGH_QUANTILE = 0.01, 0.99
 MIN_MOVER_OBS = 2
 
+# Position of a daily row within its product, from 1.
+ROW = "row_in_product"
+
 # Ranges the product keys are cut into to find a row position without one global sort.
 _FENCES = 255
 
@@ -146,8 +149,8 @@ def global_split(series: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     """Positional split of the whole frame in (product, date) order.
 
     Products before the one the cut falls in train, later ones test; that one
-    product is split by row number. Finding it reads ``series`` once, right
-    away; store or persist an expensive one beforehand.
+    product is split by row number, taken from ``ROW`` where present. Finding
+    it reads ``series`` once, right away; persist an expensive one beforehand.
     """
     counts = series.groupBy(*KEY).agg(F.count("*").alias("n_rows")).persist()
     try:
@@ -159,10 +162,11 @@ def global_split(series: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     *cut_key, head = cut
     key = F.struct(*KEY)
     cut_at = F.struct(*[F.lit(part).alias(name) for name, part in zip(KEY, cut_key, strict=True)])
-    row = F.row_number().over(series_window())
-    return series.withColumn("row_in_product", row).withColumn(
-        "is_train", (key < cut_at) | ((key == cut_at) & (F.col("row_in_product") <= head))
-    ).drop("row_in_product")
+    if ROW not in series.columns:
+        series = series.withColumn(ROW, F.row_number().over(series_window()))
+    return series.withColumn(
+        "is_train", (key < cut_at) | ((key == cut_at) & (F.col(ROW) <= head))
+    ).drop(ROW)
 
 
 def next_price_target(daily: DataFrame) -> DataFrame:
@@ -179,17 +183,22 @@ def mobile_features(daily: DataFrame, anchor: Column | None = None) -> DataFrame
     return add_features(daily, MOBILE, anchor)
 
 
-def tablet_training_rows(
-    daily: DataFrame, min_obs: int = MIN_OBS
-) -> DataFrame:
+def tablet_training_rows(daily: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
     """Trimmed series of the products that keep ``min_obs`` rows, with features.
 
+    Only what training reads is kept, so that a persisted result does not hold
+    back column pruning in the daily roll-up.
+
     Features are computed on the trimmed series and the target is the same
     day's price, which the rolling means contain; the recipe is reproduced.
     """
-    trimmed = trim_outliers(daily).withColumn("n_kept", F.count("*").over(whole_series()))
-    kept = trimmed.where(F.col("n_kept") >= min_obs).drop("n_kept")
-    return add_features(kept, TABLET).withColumn("target", F.col("price"))
+    product = Window.partitionBy(*KEY)
+    trimmed = trim_outliers(daily).withColumn("n_kept", F.count("*").over(product))
+    kept = trimmed.where(F.col("n_kept") >= min_obs)
+    numbered = add_features(kept, TABLET).withColumn(ROW, F.row_number().over(series_window()))
+    return numbered.select(
+        *KEY, "date", "price", ROW, *TABLET.features, F.col("price").alias("target")
+    )
 
 
 def tablet_training_set(
@@ -242,11 +251,11 @@ def mobile_training_set(
     featured = add_features(
         mobile_gate(daily, min_obs, test_size).where("gate_open"), MOBILE, anchor
     )
-    numbered = featured.withColumn("row_in_product", F.row_number().over(series_window()))
+    numbered = featured.withColumn(ROW, F.row_number().over(series_window()))
     cut = train_rows(F.col("n_days") - 1, test_size)
-    return next_price_target(numbered).withColumn(
-        "is_train", F.col("row_in_product") <= cut
-    ).drop("n_days", "gate_open", "row_in_product")
+    return next_price_target(numbered).select(
+        *KEY, "date", "price", *MOBILE.features, "target", (F.col(ROW) <= cut).alias("is_train")
+    )
 
 
 def training_report(daily: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:

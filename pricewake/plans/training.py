@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewake.operators import training
 from pricewake.operators.daily import daily_prices
-from pricewake.operators.features import MOBILE, TABLET
+from pricewake.operators.features import MOBILE, TABLET, Profile
 from pricewake.operators.forecast import score
 from pricewake.operators.ingest import clean_prices, tracked_products
 from pricewake.operators.metrics import mae_gap, regression_metrics
 from pricewake.operators.model import LinearModel, fit
+from pricewake.operators.training import MIN_OBS, TEST_SIZE
 
 
 @dataclass(frozen=True)
 class Trained:
     model: LinearModel
+    # Training rows, persisted; the two reports below read them.
+    rows: DataFrame
     metrics: DataFrame
     gap: DataFrame
 
+    def release(self) -> LinearModel:
+        """Give the persisted rows back and keep the model."""
+        self.rows.unpersist()
+        return self.model
+
 
 def first_day(products: DataFrame, prices: DataFrame, category: str) -> DataFrame:
     """First observed day of a category, straight from the cleaned rows.
@@ -35,35 +44,35 @@ def first_day(products: DataFrame, prices: DataFrame, category: str) -> DataFram
     ).agg(F.min("date").alias("anchor"))
 
 
-def _finish(rows: DataFrame, profile, anchor=None) -> Trained:
-    model = fit(rows.where("is_train"), profile.features, profile.category, anchor=anchor)
-    scored = score(rows, model)
-    return Trained(model, regression_metrics(scored, ["is_train"]), mae_gap(scored))
-
-
 def _kept(rows: DataFrame) -> DataFrame:
     # Read by several aggregations. Spills to executor disk, and a lost
     # executor's share is recomputed from the lineage.
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def train_tablet(daily: DataFrame, **options) -> Trained:
-    rows = _kept(training.tablet_training_rows(daily, options.get("min_obs", training.MIN_OBS)))
-    split = training.global_split(rows, options.get("test_size", training.TEST_SIZE))
-    return _finish(_kept(split), TABLET)
+def _finish(kept: DataFrame, split: DataFrame, profile: Profile, anchor=None) -> Trained:
+    model = fit(split.where("is_train"), profile.features, profile.category, anchor=anchor)
+    scored = score(split, model)
+    return Trained(model, kept, regression_metrics(scored, ["is_train"]), mae_gap(scored))
+
+
+def train_tablet(
+    daily: DataFrame, min_obs: int = MIN_OBS, test_size: float = TEST_SIZE
+) -> Trained:
+    rows = _kept(training.tablet_training_rows(daily, min_obs))
+    return _finish(rows, training.global_split(rows, test_size), TABLET)
 
 
-def train_mobile(daily: DataFrame, anchor_day=None, **options) -> Trained:
+def train_mobile(
+    daily: DataFrame,
+    anchor_day: datetime.date | None = None,
+    min_obs: int = MIN_OBS,
+    test_size: float = TEST_SIZE,
+) -> Trained:
     if anchor_day is None:
         anchor_day = daily.agg(F.min("date")).first()[0]
-    anchor: Column = F.lit(anchor_day)
-    rows = training.mobile_training_set(
-        daily,
-        options.get("min_obs", training.MIN_OBS),
-        options.get("test_size", training.TEST_SIZE),
-        anchor,
-    )
-    return _finish(_kept(rows), MOBILE, anchor_day)
+    rows = _kept(training.mobile_training_set(daily, min_obs, test_size, F.lit(anchor_day)))
+    return _finish(rows, rows, MOBILE, anchor_day)
 
 
 def train(products: DataFrame, prices: DataFrame, category: str, **options) -> Trained:
