@@ -9,14 +9,16 @@ from pyspark.sql import types as T
 # Python's notion of whitespace: Unicode White_Space plus the four separators.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 # The JVM reads "12d" and "12f" as numbers; a scraped price like that is not one.
-_JVM_SUFFIX = r"^\s*[+-]?[0-9.].*[dDfF]\s*$"
+_JVM_SUFFIXES = ("d", "D", "f", "F")
 
 
 def number(value: Column, dtype: T.DataType) -> Column:
     """DOUBLE, with unparsable text and NaN both NULL so that averages skip them."""
     parsed = value.try_cast("double")
     if isinstance(dtype, T.StringType):
-        parsed = F.when(~value.rlike(_JVM_SUFFIX), parsed)
+        suffixed = F.substring(F.rtrim(value), -1, 1).isin(*_JVM_SUFFIXES)
+        # "inf" ends on an f as well.
+        parsed = F.when(~(suffixed & (F.abs(parsed) < float("inf"))), parsed)
     return F.nanvl(parsed, F.lit(None).cast("double"))
 
 
@@ -29,8 +31,9 @@ def instant(value: Column, dtype: T.DataType) -> Column:
     """TIMESTAMP from ISO-8601 text (extended or basic form) or a timestamp column."""
     if not isinstance(dtype, T.StringType):
         return value.cast("timestamp")
-    # Without a leading year the JVM would read "12:30" as a time of the current day.
-    dated = F.when(value.rlike(r"^\s*\d{4}"), value)
+    # The JVM would read "12:30" as a time of the current day; behind a year
+    # there is no colon this early.
+    dated = F.when(~F.instr(F.ltrim(value), ":").between(1, 4), value)
     return F.coalesce(
         F.try_to_timestamp(dated),
         F.try_to_timestamp(dated, F.lit("yyyyMMdd")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewake.functions import cleaning
 from pricewake.schema import ATTRIBUTES, CATEGORIES
@@ -45,16 +46,24 @@ def clean_prices(
     timestamp. ``keep_missing_price`` keeps rows whose price is unusable.
     """
     types = {f.name: f.dataType for f in prices.schema.fields}
-    typed = prices.select(
-        F.col("id").alias("obs_id"),
-        "product_id",
-        cleaning.number(F.col("price"), types["price"]).alias("price"),
-        cleaning.instant(F.col("timestamp"), types["timestamp"]).alias("timestamp"),
-        *([cleaning.day(F.col("date"), types["date"]).alias("date")] if stored_date else []),
-    )
-    if not stored_date:
+    parsed = {
+        "price": cleaning.number(F.col("price"), types["price"]),
+        "timestamp": cleaning.instant(F.col("timestamp"), types["timestamp"]),
+    }
+    if stored_date:
+        parsed["date"] = cleaning.day(F.col("date"), types["date"])
+    columns = [column.alias(name) for name, column in parsed.items()]
+    if any(isinstance(types[name], T.StringType) for name in parsed):
+        # A generator of one row: filters below cannot be pushed into the
+        # parsing, which would then run again for each of them. Typed columns
+        # stay plain, so that their filters do reach the scan.
+        columns = [F.inline(F.array(F.struct(*columns)))]
+    typed = prices.select(F.col("id").alias("obs_id"), "product_id", *columns)
+    kept = F.col("timestamp").isNotNull()
+    if stored_date:
+        kept = kept & F.col("date").isNotNull()
+    else:
         typed = typed.withColumn("date", F.to_date("timestamp"))
-    kept = F.col("timestamp").isNotNull() & F.col("date").isNotNull()
     if not keep_missing_price:
         kept = kept & F.col("price").isNotNull()
     return typed.where(kept)

@@ -76,8 +76,11 @@ def _with_inside(rows: DataFrame, low: float, high: float, counted: Column) -> D
         .withColumn("n_counted", F.count_if("is_counted").over(all_rows))
     )
     rank, n, is_counted = F.col("price_rank"), F.col("n_counted"), F.col("is_counted")
-    banded = ranked.withColumn("q_low", _interpolated(low, rank, n, is_counted, all_rows))
-    banded = banded.withColumn("q_high", _interpolated(high, rank, n, is_counted, all_rows))
+    banded = ranked.select(
+        "*",
+        _interpolated(low, rank, n, is_counted, all_rows).alias("q_low"),
+        _interpolated(high, rank, n, is_counted, all_rows).alias("q_high"),
+    )
     # Without counted rows there is no band and nothing lies inside.
     inside = F.coalesce(F.col("price").between(F.col("q_low"), F.col("q_high")), F.lit(False))
     return banded.withColumn("inside", inside).drop(
