@@ -152,7 +152,7 @@ from (select *, count(*) over (partition by category, product_key) as n
       from trimmed where category = 'tablet')
 where n >= 10""",
     "tablet_set": """
-select *, row_number() over (order by category, product_key, date)
+select *, row_number() over (order by product_key, category, date)
           <= floor(count(*) over () * 0.8::double) as is_train
 from tablet_rows""",
     "mobile_numbered": f"""
@@ -440,7 +440,7 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
         {},
         """select * from observations where (category, product_key) in (
              select (category, product_key) from catalogue
-             order by n_obs desc, category, product_key limit 3)""",
+             order by n_obs desc, product_key, category limit 3)""",
     ),
     "history_range": (
         {},
@@ -496,15 +496,15 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
     "market_movers": ({}, "select * from movers"),
     "top_drops": (
         {},
-        "select * from movers order by change_pct, category, product_key limit 5",
+        "select * from movers order by change_pct, product_key, category limit 5",
     ),
     "top_rises": (
         {},
-        "select * from movers order by change_pct desc, category, product_key limit 5",
+        "select * from movers order by change_pct desc, product_key, category limit 5",
     ),
     "top_changes": (
         {},
-        "select * from movers order by change_pct desc, category, product_key limit 15",
+        "select * from movers order by change_pct desc, product_key, category limit 15",
     ),
     "mover_text": (
         {},
@@ -530,7 +530,7 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
     "per_product_split": ({}, "select * from lag_scored"),
     "global_split": (
         {},
-        """select *, row_number() over (order by category, product_key, date)
+        """select *, row_number() over (order by product_key, category, date)
                      <= floor(count(*) over () * 0.8::double) as is_train from daily""",
     ),
     "tablet_training_set": ({}, "select * from tablet_set"),

@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 # The device categories a listing can belong to.
 CATEGORIES = ("tablet", "mobile")
 
-# A product is identified by its text key inside one category.
-KEY = ["category", "product_key"]
+# A product is identified by its text key inside one category. The key comes
+# first: it tells rows apart at once when they are sorted by product.
+KEY = ["product_key", "category"]
 
 # Listing attributes carried from `products`.
 ATTRIBUTES = ["name", "brand", "website", "ram_gb", "storage_gb", "URL"]
