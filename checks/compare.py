@@ -11,7 +11,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
 
 from checks import oracle, queries
 
@@ -31,9 +31,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def difference(name: str, spark: SparkSession, connection, sf_dir: str) -> str | None:
-    """None when rows agree as multisets, else the first differing rows."""
-    frame = queries.run(name, spark, sf_dir)
+def difference(name: str, frame: DataFrame, connection) -> str | None:
+    """None when the rows of ``frame`` and of the SQL agree as multisets, else a report."""
     columns = sorted(frame.columns)
     mine = Counter(tuple(r[c] for c in columns) for r in frame.collect())
     result = connection.execute(oracle.statement(name))
@@ -61,7 +60,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name in names or list(oracle.BODIES):
         start = time.time()
         try:
-            problem = difference(name, spark, connection, sf_dir)
+            problem = difference(name, queries.run(name, spark, sf_dir), connection)
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += problem is not None

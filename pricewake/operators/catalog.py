@@ -110,9 +110,10 @@ def price_stats(daily: DataFrame) -> DataFrame:
 def date_bounds(daily: DataFrame) -> DataFrame:
     """First and last day of each product, beside those of its category."""
     own = daily.groupBy(*KEY).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
-    # One row per category.
-    overall = daily.groupBy("category").agg(
-        F.min("date").alias("category_first_day"), F.max("date").alias("category_last_day")
+    # Two rows, one per category. Joined by shuffle, each category would be one task.
+    overall = own.groupBy("category").agg(
+        F.min("first_day").alias("category_first_day"),
+        F.max("last_day").alias("category_last_day"),
     )
     return own.join(F.broadcast(overall), "category")
 

@@ -37,11 +37,19 @@ def daily_prices(
     attributes belong to the listing, so this order is total for them.
     """
     folded = fold_days(clean_prices(prices, stored_date, keep_missing_price))
-    listed = folded.join(
-        tracked_products(products, category).where(F.col("product_key").isNotNull()),
-        "product_id",
-    )
-    return roll_up(listed)
+    return daily_from_days(products, folded, category)
+
+
+def daily_from_days(
+    products: DataFrame, days: DataFrame, category: str | None = None
+) -> DataFrame:
+    """Daily prices from folded listing-days.
+
+    Sums, counts and bounds merge, so ``days`` may hold several rows for one
+    listing and day, as when they were folded batch by batch.
+    """
+    listed = tracked_products(products, category).where(F.col("product_key").isNotNull())
+    return roll_up(days.join(listed, "product_id"))
 
 
 def roll_up(listed: DataFrame) -> DataFrame:

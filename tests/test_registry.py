@@ -24,23 +24,17 @@ def test_flagship(spark):
     assert rows[0]["change_pct"] <= rows[-1]["change_pct"]
 
 
-@pytest.mark.parametrize("name", list(oracle.BODIES))
-def test_against_sql(spark, connection, sf_dir, name):
-    assert compare.difference(name, spark, connection, sf_dir) is None
-
-
-_TRAINED = {
-    "fit_tablet", "fit_mobile", "model_roundtrip", "score_in_sample", "fit_metrics",
-    "recursive_forecast", "next_price", "forecast_export",
-}
-
-
-@pytest.mark.parametrize("name", [n for n in queries.REGISTRY if n not in _TRAINED])
-def test_plan_rules(spark, sf_dir, name):
-    plan = queries.run(name, spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+def _keeps_plan_rules(plan: str) -> None:
     assert "Python" not in plan
     assert "CartesianProduct" not in plan
     # A window without a partition would pull its input into one task.
     for line in plan.splitlines():
         if "Window [" in line:
             assert not line.rstrip().endswith("], []"), line
+
+
+@pytest.mark.parametrize("name", list(oracle.BODIES))
+def test_against_sql_and_plan_rules(spark, connection, sf_dir, name):
+    frame = queries.run(name, spark, sf_dir)
+    _keeps_plan_rules(frame._jdf.queryExecution().executedPlan().toString())
+    assert compare.difference(name, frame, connection) is None
