@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pricewake.llm import secrets, sql
+from pricewake.llm import decontaminate, secrets, sql
 
 QUERIES = {
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 
 ORACLE_SQL = {
+    "op7_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op9_secret_scans": sql.SECRET_SCANS,
 }

@@ -44,3 +44,34 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
   sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans
 from docs left join written using (r)
 """
+
+BENCHMARK_DECONTAMINATION = r"""
+with doc_words as (
+  select doc_id as doc, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
+  from documents where doc_id is not null),
+item_words as (
+  select distinct item_id as item, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
+  from benchmark where item_id is not null),
+doc_at as (select doc, w, unnest(range(len(w) - 4)) as p from doc_words where len(w) >= 5),
+item_at as (select item, w, len(w) as n, unnest(range(len(w) - 4)) as p from item_words where len(w) >= 5),
+doc_shingles as (select doc, len(w) as dn, p, array_to_string(w[p + 1:p + 5], ' ') as s from doc_at),
+item_shingles as (select item, n, p, array_to_string(w[p + 1:p + 5], ' ') as s from item_at),
+windows as (
+  select distinct d.doc, i.n, greatest(0, least(d.p - i.p, d.dn - i.n)) as start
+  from doc_shingles d join item_shingles i using (s)),
+window_counts as (
+  select v.doc, v.n, v.start, d.s, count(*) as c
+  from windows v join doc_shingles d on d.doc = v.doc and d.p between v.start and v.start + v.n - 5 group by all),
+window_sizes as (select doc, n, start, sum(c) as size from window_counts group by all),
+item_counts as (select item, n, s, count(*) as c from item_shingles group by all),
+shared as (
+  select v.doc, v.n, v.start, i.item, sum(least(v.c, i.c)) as m
+  from window_counts v join item_counts i using (n, s) group by all),
+scored as (
+  select doc, item, start, m / (z.size + (n - 4) - m) as similarity
+  from shared join window_sizes z using (doc, n, start)),
+best as (
+  select *, row_number() over (partition by doc, item order by similarity desc, start) as k
+  from scored where similarity >= 0.8)
+select doc as doc_id, item as item_id, cast(start as bigint) as start, round(similarity, 6) as similarity from best where k = 1
+"""
