@@ -133,3 +133,10 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = root[root]
         if np.array_equal(before, root):
             return root
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows of text come to Python few at a time, as one may be very long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))

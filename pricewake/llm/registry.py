@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pricewake.llm import decontaminate, secrets, sql
+from pricewake.llm import decontaminate, packing, secrets, sql
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
