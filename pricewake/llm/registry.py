@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pricewake.llm import decontaminate, packing, secrets, sql, tokenfiles, wordpieces
+from pricewake.llm import decontaminate, langid, packing, secrets, sql, tokenfiles, wordpieces
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_files": tokenfiles.op3_token_files,
+    "op4_language_id": langid.op4_language_id,
     "op5_token_counts": wordpieces.op5_token_counts,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_secret_scans": secrets.op9_secret_scans,
