@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pricewake.llm import decontaminate, langid, packing, secrets, sql, tokenfiles, wordpieces
+from pricewake.llm import (
+    decontaminate,
+    langid,
+    packing,
+    quality,
+    secrets,
+    sql,
+    tokenfiles,
+    toxicity,
+    vectors,
+    wordpieces,
+)
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_files": tokenfiles.op3_token_files,
     "op4_language_id": langid.op4_language_id,
     "op5_token_counts": wordpieces.op5_token_counts,
+    "op6_embedding_dedup": vectors.op6_embedding_dedup,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
