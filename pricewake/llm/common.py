@@ -156,3 +156,38 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
         if np.abs(step).max() < 1e-8:
             break
     return float(beta[0]), float(beta[1])
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table of one or more complete groups, place of each group's first row) from sorted batches.
+
+    Holds the rows of one batch and of the group that runs over its end.
+    """
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    starts: list[int] = []
+    size = 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(n, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = tuple(c[0] for c in columns) != last
+        last = tuple(c[-1] for c in columns)
+        at = np.flatnonzero(change)
+        if len(at):
+            # Everything before the last change is complete.
+            final = int(at[-1])
+            starts += (size + at[:-1]).tolist()
+            if size + final:
+                done = [*held, batch.slice(0, final)] if final else held
+                yield pa.Table.from_batches(done), np.array(starts)
+            held, starts, size = [batch.slice(final)], [0], n - final
+        else:
+            held.append(batch)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held), np.array(starts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pricewake.llm import (
     decontaminate,
     langid,
+    ngram_join,
     packing,
     quality,
     secrets,
@@ -16,6 +17,7 @@ from pricewake.llm import (
 )
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_packing": packing.op2_packing,
     "op3_token_files": tokenfiles.op3_token_files,
     "op4_language_id": langid.op4_language_id,
