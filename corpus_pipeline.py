@@ -1,15 +1,32 @@
-"""Cleaning of a training corpus in stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+"""Cleaning and packing of a training corpus in stages.
 
-Every stage but the last returns the columns of ``documents``. A stage's result
-is written as Parquet and read again as the next one's input.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
+return the columns of ``documents``. A stage's result is written as Parquet and
+read again as the next one's input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewake.llm import secrets
+from pricewake.llm import decontaminate, ngram_join, packing, secrets, toxicity
 from pricewake.llm.common import new_folder, table
+from pricewake.llm.tokens import public_tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance to be toxic is under one half; all labels are learned from."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,10 +34,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secrets.redact(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1,024 tokens, with their ids."""
+    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
     ("secret scans", redact_secrets),
+    ("packing", pack),
 ]
 
+# Nearest examples and tokenizers are beyond SQL; tests/llm holds each stage to a plain version.
 ORACLE_SQL = None
 
 
@@ -28,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
+        path = new_folder(spark, "pipeline-" + name.lower().replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -30,6 +30,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
     "op7_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op9_secret_scans": sql.SECRET_SCANS,
 }

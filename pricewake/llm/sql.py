@@ -75,3 +75,26 @@ best as (
   from scored where similarity >= 0.8)
 select doc as doc_id, item as item_id, cast(start as bigint) as start, round(similarity, 6) as similarity from best where k = 1
 """
+
+NGRAM_JACCARD_JOIN = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '') as w
+  from documents),
+places as (select doc_id, w, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) as p from words),
+shingles as (select distinct doc_id, array_to_string(w[p + 1:p + 5], ' ') as s from places),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as m
+  from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where m / (x.n + y.n - m) >= 0.8),
+reach(a, b) as (
+  select a, b from links
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a),
+lowest as (select a, min(b) as low from reach group by a),
+degree as (select a, count(*) as n from links group by a)
+select d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) as class_id, coalesce(n, 0) as n_links
+from documents d left join lowest on lowest.a = d.doc_id left join degree on degree.a = d.doc_id
+"""
