@@ -138,12 +138,23 @@ def within_radius(windows: DataFrame, items: DataFrame, radius: int) -> DataFram
 
 
 def _weighted_jaccard(a: Column, b: Column) -> Column:
-    """Sum of smaller over sum of larger counts of two multisets of texts."""
+    """Sum of smaller over sum of larger counts of two multisets of texts.
+
+    The one-element arrays bind the multisets, and then the overlap, so that
+    each is computed once and not again wherever it is used.
+    """
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x))
-    )
-    return shared / (F.size(a) + F.size(b) - shared)
+
+    def overlap(x: Column) -> Column:
+        shared = F.aggregate(
+            F.array_intersect(x["a"], x["b"]),
+            F.lit(0),
+            lambda n, s: n + F.least(count(x["a"], s), count(x["b"], s)),
+        )
+        return F.struct(shared.alias("shared"), (F.size(x["a"]) + F.size(x["b"])).alias("both"))
+
+    overlaps = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), overlap)
+    return F.get(F.transform(overlaps, lambda y: y["shared"] / (y["both"] - y["shared"])), F.lit(0))
 
 
 def find_leaks(
