@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +68,12 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return l.join(r, [key, guard], how).drop(guard)
 
 
-def with_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of each key in blocks, so that every two rows of a key meet once.
+def with_blocks(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    """Rows of each key in blocks, so that every two members of a key meet once.
 
     Adds ``block_a <= block_b`` and ``side``: a key of up to ``size`` rows is
-    one block (0, 0). A larger one is cut into blocks at random by row; each
-    row appears once for every pair of blocks that contains its own, and
+    one block (0, 0). A larger one is cut into blocks of about that size by the
+    hash of ``member``, the same in every run and retry; each row appears once for every pair of blocks that contains its own, and
     ``side`` says which of the two it is (0 or 1; 0 in a block's own pair).
     No task holds more than two blocks of a key, and no pair is written out.
     """
@@ -80,7 +82,7 @@ def with_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
         .select(key, F.ceil(F.col("__n") / size).cast("int").alias("__g"))
     )
     dealt = join_split(rows, hot, key, "left").withColumn("__g", F.coalesce("__g", F.lit(1)))
-    own = F.floor(F.rand(7) * F.col("__g")).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), member), F.col("__g")).cast("int")
     dealt = dealt.withColumn("__own", F.when(F.col("__g") > 1, own).otherwise(0))
     other = F.explode(F.sequence(F.lit(0), F.col("__g") - 1)).alias("__other")
     return dealt.select("*", other).select(
@@ -135,8 +137,24 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of text come to Python few at a time, as one may be very long."""
+_shipped: set[str] = set()
+
+
+def prepare_python(spark: SparkSession, rows: int = 512) -> None:
+    """Make this package importable in the session's Python workers, and their batches small.
+
+    Rows of text come to Python few at a time, as one may be very long. The
+    package goes along as a zip file, as executors may not have it installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="pricewake-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
@@ -146,7 +164,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     """Slope and offset by Newton steps, drawn a little towards 0 so that separated classes end."""
     beta = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], 1)
-    ridge = np.diag([1e-3, 1e-6]) * max(weight.sum(), 1e-9)
+    ridge = np.diag([1e-4, 1e-6]) * max(weight.sum(), 1e-9)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (weight * (y - p)) - ridge @ beta

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import bounded_batches, crc_remainder, table, text_of
+from pricewake.llm.common import prepare_python, crc_remainder, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 UNKNOWN = "und"
@@ -58,7 +58,7 @@ def subword_buckets(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(texts)), sizes)
     is_letter = line != 0
     # Runs of edges shrink to one, so that length does not depend on spacing.
-    keep = is_letter | np.r_[True, is_letter[:-1]]
+    keep = is_letter | np.r_[True, is_letter[:-1] | (owner[1:] != owner[:-1])]
     line, owner, is_letter = line[keep], owner[keep], is_letter[keep]
     has = np.zeros(len(texts), bool)
     has[owner[is_letter]] = True
@@ -70,7 +70,6 @@ def subword_buckets(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndar
         whole = np.ones(len(h), bool)
         for k in range(1, n - 1):
             whole &= is_letter[k : len(line) - n + 1 + k]
-        whole &= is_letter[: len(h)] | is_letter[n - 1 :]
         whole &= owner[: len(h)] == owner[n - 1 :]
         kept = h[whole]
         kept ^= kept >> np.uint64(32)
@@ -106,7 +105,7 @@ class LanguageModel:
         by one over their whole text.
         """
         spark = docs.sparkSession
-        bounded_batches(spark)
+        prepare_python(spark)
         sent = spark.sparkContext.broadcast(self)
 
         @F.pandas_udf("lang_pred string, score double, accepted boolean")
@@ -193,7 +192,7 @@ def train(docs: DataFrame, text: str, language: str, id_column: str, how: Traini
     Whole texts become counts of buckets on the executors; those alone, of
     bounded size, come to the driver.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     buckets = how.buckets
 
     @F.pandas_udf("array<int>")

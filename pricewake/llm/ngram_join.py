@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewake.llm.common import (
-    bounded_batches,
+    prepare_python,
     cut,
     fixed_width,
     join_split,
@@ -251,7 +251,7 @@ def _ties(banded: DataFrame, classes: DataFrame, setting: JoinSetting) -> DataFr
 
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     candidates = join_split(banded, shared, "band")
-    dealt = with_blocks(candidates, "band", setting.bucket_block)
+    dealt = with_blocks(candidates, "band", "key", setting.bucket_block)
     valued = join_split(dealt, classes.select("key", "values"), "key")
     keys = ["band", "block_a", "block_b"]
     together = valued.select(*keys, "side", "key", "values").repartition(*keys).sortWithinPartitions(*keys)
@@ -331,7 +331,7 @@ def _verified(texts: DataFrame, setting: JoinSetting) -> DataFrame:
             ["key", "links", "low"],
         )
 
-    dealt = with_blocks(texts, "cluster", setting.cluster_block)
+    dealt = with_blocks(texts, "cluster", "key", setting.cluster_block)
     keys = ["cluster", "block_a", "block_b"]
     columns = [*keys, "side", "key", "copies", "text"]
     together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
@@ -354,7 +354,7 @@ def near_duplicates(
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     signed = cut(_signed(docs, doc_id, text, setting))
     named = signed.where("id is not null and key is not null")
     classes = cut(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import bounded_batches, crc_remainder, fit_logistic, table, text_of
+from pricewake.llm.common import prepare_python, crc_remainder, fit_logistic, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 # Character classes: 0 other signs, 1 lower or uncased letter, 2 upper, 3 digit, 4 space, 5 common punctuation.
@@ -271,7 +271,7 @@ def score_quality(docs: DataFrame, field: LineField, text: str = "text") -> Data
     one over all their lines; repeats and an empty table need no care.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     sent = spark.sparkContext.broadcast(field)
 
     @F.pandas_udf("score double, predicted int, n_lines long, n_bad_lines long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import bounded_batches, crc_remainder, fit_logistic, table, text_of
+from pricewake.llm.common import prepare_python, crc_remainder, fit_logistic, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -238,7 +238,7 @@ def fit(
     every score is the share of label 1.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -292,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
     the model is broadcast and bounded by its setting.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, predicted int, evidence array<struct<id:long,cosine:double,label:int>>")

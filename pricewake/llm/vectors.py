@@ -23,7 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import cut, fixed_width, groups, join_split, local_roots, table, with_blocks
+from pricewake.llm.common import (
+    cut,
+    fixed_width,
+    groups,
+    join_split,
+    local_roots,
+    prepare_python,
+    table,
+    with_blocks,
+)
 from pricewake.llm.components import connected_components
 
 
@@ -147,7 +156,7 @@ def _compared(hashed: DataFrame, threshold: float, tables: int, block: int) -> D
                     ["key", "links", "low"],
                 )
 
-    dealt = with_blocks(hashed, "bucket", block)
+    dealt = with_blocks(hashed, "bucket", "key", block)
     keys = ["bucket", "block_a", "block_b"]
     columns = [*keys, "side", "key", "copies", "unit", "signs"]
     together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
@@ -174,6 +183,7 @@ def link_vectors(
     A class of equal vectors is one row, however large; a bucket with very many
     classes is compared block by block. The driver sees the number of classes.
     """
+    prepare_python(vectors.sparkSession, 2048)
     rows = _classes(vectors, vector_id, vector)
     classes = cut(
         rows.where("key is not null").groupBy("key")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import bounded_batches, table, text_of
+from pricewake.llm.common import prepare_python, table, text_of
 from pricewake.llm.tokens import public_tokenizer
 
 DEAD = -1
@@ -163,7 +163,7 @@ def token_counts(
     a broadcast parameter; nothing is shuffled.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     vocabulary = spark.sparkContext.broadcast((list(first), list(later)))
     key = hashlib.blake2b(b"\0".join(first) + b"\1" + b"\0".join(later) + b"\1" + lead).digest()
 

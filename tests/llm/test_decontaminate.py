@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from pricewake.llm import decontaminate
+from pricewake.llm.decontaminate import drop_leaks, find_leaks
+
+
+def words(text: str | None) -> list[str]:
+    return [w for w in re.split(r"[^\w]+|_+", (text or "").lower()) if w]
+
+
+def shingles(w: list[str]) -> list[str]:
+    return [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def plain_leaks(docs, items, threshold=0.8):
+    """Every anchored window against every item of its length."""
+    best = {}
+    for doc, text in docs:
+        dw = words(text)
+        if doc is None or len(dw) < 5:
+            continue
+        ds = shingles(dw)
+        places = {}
+        for i, s in enumerate(ds):
+            places.setdefault(s, []).append(i)
+        windows = set()
+        for _, item_text in items:
+            iw = words(item_text)
+            for j, s in enumerate(shingles(iw)):
+                for i in places.get(s, []):
+                    windows.add((max(0, min(i - j, len(dw) - len(iw))), len(iw)))
+        for start, n in windows:
+            a = Counter(shingles(dw[start : start + n]))
+            for item, item_text in items:
+                iw = words(item_text)
+                if item is None or len(iw) != n or n < 5:
+                    continue
+                b = Counter(shingles(iw))
+                m = sum((a & b).values())
+                score = m / (sum(a.values()) + sum(b.values()) - m)
+                if score >= threshold:
+                    old = best.get((doc, item), (0.0, 0))
+                    best[doc, item] = max(old, (score, -start))
+    return {(d, i): (round(s, 9), -start) for (d, i), (s, start) in best.items()}
+
+
+def fixture():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.randint(12, 40))) for i in range(25)] + [(90, "too short"), (91, None), (None, text(20)), (92, "a a a a a a a a a")]
+    docs = []
+    for i in range(120):
+        base = text(rng.randint(0, 60)).split()
+        if i % 3:
+            w = items[rng.randrange(25)][1].split()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.choice([0, len(w) - 1, rng.randrange(len(w))])] = "edited"
+            if i % 7 == 0:
+                w.insert(len(w) // 2, "more")
+            at = rng.randint(0, len(base))
+            base[at:at] = [x.upper() + "," if rng.random() < 0.3 else x for x in w]
+        docs.append((i, " ".join(base)))
+    docs += [(200, None), (201, ""), (None, items[0][1]), (202, items[0][1]), (202, items[0][1]), (203, "a " * 4000), (204, items[1][1].replace(" ", "\n\n -- "))]
+    return docs, items
+
+
+def frames(spark, docs, items):
+    return (
+        spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, h string"),
+        spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, words int"),
+    )
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+def test_leaks_equal_a_plain_search(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    docs, items = fixture()
+    expected = plain_leaks(docs, items)
+    assert len(expected) > 30
+    found = find_leaks(*frames(spark, docs, items)).collect()
+    got = {(r["doc"], r["item"]): (round(r["similarity"], 9), r["start"]) for r in found}
+    assert len(got) == len(found)
+    assert got == expected
+
+
+def test_drop_keeps_clean_rows_and_columns(spark):
+    docs, items = fixture()
+    d, b = frames(spark, docs, items)
+    kept = drop_leaks(d, b)
+    assert kept.columns == d.columns
+    bad = {doc for doc, _ in plain_leaks(docs, items)}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
+
+
+def test_empty_tables_and_no_python(spark):
+    docs, items = frames(spark, *fixture())
+    assert find_leaks(docs.limit(0), items).count() == 0
+    assert find_leaks(docs, items.limit(0)).count() == 0
+    plan = find_leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_multi_index_finds_every_pair_in_the_radius(spark):
+    rng = random.Random(3)
+    left = [rng.getrandbits(64) for _ in range(40)]
+    right = []
+    for x in left:
+        for k in (0, 5, 18, 19, 20, 30):
+            y = x
+            for b in rng.sample(range(64), k):
+                y ^= 1 << b
+            right.append(y)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = spark.createDataFrame([(i, 0, 9, ["a"], signed(x)) for i, x in enumerate(left)], "doc long, start int, n_words int, window array<string>, fingerprint long")
+    t = spark.createDataFrame([(i, 9, ["b"], signed(x)) for i, x in enumerate(right)], "item long, n_words int, item_words array<string>, item_fingerprint long")
+    rows = [(r["doc"], r["item"]) for r in decontaminate.within_radius(w, t, 19).collect()]
+    expected = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if (x ^ y).bit_count() <= 19]
+    assert sorted(rows) == expected
