@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,45 +8,42 @@ from pyspark.sql import functions as F
 from pricewake.llm.common import cut, join_split
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return edges.select("a", "b").unionByName(back)
-
-
-def _star(neighbours: DataFrame) -> DataFrame:
-    """Rows of (a, b) with the smallest of a and its neighbours as ``low``."""
-    low = neighbours.groupBy("a").agg(F.min("b").alias("low"))
-    low = low.select("a", F.least("a", "low").alias("low"))
-    return join_split(neighbours, low, "a")
-
-
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Node and the smallest node it is connected with, for every node of an edge.
 
     Any orderable node type. Edges with a null end, loops and repeats are
-    ignored; no edge gives no row. Every round is two joins on a node; a node
-    with very many edges is pre-aggregated for the minimum and split by adaptive
-    execution in the join. Rounds grow with the logarithm of the longest path.
-    Each round is checkpointed; only three numbers come to the driver.
+    ignored; no edge gives no row.
+
+    Every edge leads from a node to a smaller one, its parent. A round hooks a
+    node's other parents under the smallest one, and then replaces every parent
+    by that parent's own parent, if it has one. That keeps components, halves
+    paths, and ends with every node under the smallest node of its component.
+    Stars are final after one round; rounds grow with the logarithm of the
+    longest path.
+
+    Only nodes with a parent are grouped on, so that a centre with very many
+    nodes is never one group; it is a hot value of one join, which adaptive
+    execution may split. Each round is checkpointed; one flag comes to the driver.
     """
-    a, b = F.col(left).alias("a"), F.col(right).alias("b")
-    current = cut(edges.select(a, b).where("a <> b").distinct())
-    before = None
+    a, b = F.col(left), F.col(right)
+    # A comparison with null is not true, so edges with a null end go, too.
+    current = cut(edges.where(a != b).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("parent")).distinct())
     while True:
-        large = _star(_both_ways(current)).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = _star(down)
-        linked = small.select(F.col("b").alias("a"), F.col("low").alias("b"))
-        centre = small.select("a", F.col("low").alias("b"))
-        current = cut(linked.unionByName(centre).where("a <> b").distinct())
-        state = current.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")
-        ).first()
-        # Done when nothing moves any more and every node has a single parent.
-        if tuple(state) == before:
+        lowest = current.groupBy("node").agg(F.min("parent").alias("low"))
+        other = F.col("parent") != F.col("low")
+        hooked = current.join(lowest, "node").select(
+            F.when(other, F.col("parent")).otherwise(F.col("node")).alias("node"),
+            F.col("low").alias("parent"),
+            other.alias("moved"),
+        )
+        above = hooked.groupBy("node").agg(F.min("parent").alias("above")).withColumnRenamed("node", "parent")
+        jumped = join_split(hooked, above, "parent", "left")
+        current = cut(
+            jumped.groupBy("node", F.coalesce("above", "parent").alias("parent"))
+            .agg(F.max(F.col("moved") | F.col("above").isNotNull()).alias("moved"))
+        )
+        if not current.agg(F.max("moved")).first()[0]:
             break
-        before = tuple(state)
-    centres = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.unionByName(centres)
+    nodes = current.select("node", F.col("parent").alias("component"))
+    smallest = current.select(F.col("parent").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return nodes.unionByName(smallest)

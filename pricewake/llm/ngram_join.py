@@ -224,6 +224,7 @@ def _ties(banded: DataFrame, classes: DataFrame, setting: JoinSetting) -> DataFr
     """(a, b): classes tied by candidates that survive the Bayesian tests."""
     least = least_matches(setting)
 
+    # Rows are sorted by class within a group, so that a group's ties lead to its smallest class.
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ["band", "block_a", "block_b"]):
             n = rows.num_rows
@@ -254,7 +255,7 @@ def _ties(banded: DataFrame, classes: DataFrame, setting: JoinSetting) -> DataFr
     dealt = with_blocks(candidates, "band", "key", setting.bucket_block)
     valued = join_split(dealt, classes.select("key", "values"), "key")
     keys = ["band", "block_a", "block_b"]
-    together = valued.select(*keys, "side", "key", "values").repartition(*keys).sortWithinPartitions(*keys)
+    together = valued.select(*keys, "side", "key", "values").repartition(*keys).sortWithinPartitions(*keys, "key")
     return together.mapInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -334,7 +335,7 @@ def _verified(texts: DataFrame, setting: JoinSetting) -> DataFrame:
     dealt = with_blocks(texts, "cluster", "key", setting.cluster_block)
     keys = ["cluster", "block_a", "block_b"]
     columns = [*keys, "side", "key", "copies", "text"]
-    together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
+    together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "key")
     return together.mapInArrow(verify, "key binary, links long, low binary")
 
 

@@ -159,7 +159,7 @@ def _compared(hashed: DataFrame, threshold: float, tables: int, block: int) -> D
     dealt = with_blocks(hashed, "bucket", "key", block)
     keys = ["bucket", "block_a", "block_b"]
     columns = [*keys, "side", "key", "copies", "unit", "signs"]
-    together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
+    together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "key")
     return together.mapInArrow(compare, "key binary, links long, low binary")
 
 
