@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewake.llm.common import bounded_batches, table, text_of
+from pricewake.llm.common import prepare_python, table, text_of
 from pricewake.llm.tokens import encoder, public_tokenizer, read_tokenizer, sentence_ends
 
 
@@ -125,6 +125,8 @@ class _Packer:
         return rows
 
 
+# Words whose ids a worker keeps, some 200 bytes each.
+KEPT_WORDS = 1_200_000
 _NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -149,13 +151,14 @@ def pack_documents(
     is not full. Memory: a few hundred sequences and the longest text.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     columns = [f"`{doc_id}` {kind}", *(f"{n} long" for n in _NAMES), *["ids binary"] * with_ids]
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(content.value)
+        tokens = encoder(content.value, KEPT_WORDS)
+        nowhere = np.zeros(0, np.int64)
         packer = _Packer(costs, TaskContext.get().partitionId() << 40, with_ids)
         schema = None
 
@@ -170,8 +173,8 @@ def pack_documents(
             ids, texts = given.column(0).to_pylist(), given.column(1).to_pylist()
             for low in range(0, len(texts), 64):
                 some = texts[low : low + 64]
-                for name, content_, parts in zip(ids[low : low + 64], some, tokens.parts(some)):
-                    stops = sentence_ends(content_, parts)
+                for name, whole, (parts, regular) in zip(ids[low : low + 64], some, tokens.parts_and_shape(some)):
+                    stops = sentence_ends(whole, parts) if regular else nowhere
                     packer.add(name, b"".join(parts) + end, stops)
                     if packer.ready():
                         rows = packer.cut(last=False)

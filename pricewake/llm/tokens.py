@@ -15,19 +15,40 @@ from array import array
 
 import numpy as np
 
-# Latin letters that stay single code points under composition and lower-casing.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
+# Letters below this are single code points under composition and, but for one, lower-casing.
+_LATIN_END, _DOTTED = "\u0250", "\u0130"
+# No letters, digits or white space, and nothing a contraction starts with.
+_END_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TWO_SPACES = re.compile(r"\s\s")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?"]] = True
 
 
-def _byte_letters() -> dict[int, str]:
-    """How byte-level tokenizers write bytes that are no printable Latin-1 character."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
+class _Written(dict):
+    """How byte-level tokenizers write a character: one sign for each of its bytes."""
+
+    def __init__(self):
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in printable]
+        self.signs = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, character: str) -> str:
+        self[character] = found = "".join(self.signs[b] for b in character.encode())
+        return found
+
+
+class _Ends(dict):
+    """Ids of marks at the end of a word, and of a line end, which tokenizers split off."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, marks: str) -> bytes:
+        found = self.encode([marks])[0]
+        if len(self) < 10_000:
+            self[marks] = found
+        return found
 
 
 class TokenIds:
@@ -37,7 +58,7 @@ class TokenIds:
     older half is dropped. Ids are little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, content: str, kept: int = 400_000):
+    def __init__(self, content: str, kept: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -51,7 +72,8 @@ class TokenIds:
         self.keeps_space = bool(byte_level and pre["type"] == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
         self.keeps_space &= not spec.get("normalizer")
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer") or {})
-        self.letters = _byte_letters()
+        self.letters = _Written()
+        self.ends = _Ends(self._encode)
         self.kept = kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -60,67 +82,69 @@ class TokenIds:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in done]
 
-    def _word(self, letters: str) -> bytes:
-        if self.lower:
-            letters = letters.lower()
-        written = letters.encode().decode("latin-1").translate(self.letters)
-        if self.keeps_space:
-            written = self.letters[32] + written
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(written)]).tobytes()
-
     def _learn(self, words: set[str]) -> None:
-        """Ids of words not held yet. A word stands for itself after a space, or as it is if it starts with a line end."""
+        """Ids of words not held yet. A word stands for itself after a space, or as it is if it starts with a line end.
+
+        Words of Latin letters, with or without a full stop or comma, go to the
+        tokenizer's model alone; everything else takes the whole way.
+        """
         young, old = self.young, self.old
         if len(young) > self.kept // 2:
             self.old = old = young
             self.young = young = {}
-        odd = []
-        plain = _PLAIN.fullmatch
+        tokenize, lower = self.tokenizer.model.tokenize, self.lower
+        space = self.letters[" "] if self.keeps_space else ""
+        written_as, ends, odd = self.letters, self.ends, []
+        line_end = ends["\n"]
         for word in words.difference(young):
             known = old.get(word)
             if known is not None:
                 young[word] = known
                 continue
-            match = plain(word)
-            if match is None:
+            stem, lead, begin = word.rstrip(_END_MARKS), space, b""
+            end = word[len(stem) :]
+            if stem[:1] == "\n" and space:
+                stem, lead, begin = stem[1:], "", line_end
+            if not stem.isalpha():
                 odd.append(word)
                 continue
-            stem, end = match.groups()
-            ids = young.get(stem)
-            if ids is None:
-                ids = young[stem] = self._word(stem)
-            if end:
-                young[word] = ids + self.marks[end]
+            if not stem.isascii():
+                if max(stem) >= _LATIN_END or _DOTTED in stem:
+                    odd.append(word)
+                    continue
+                stem = "".join(map(written_as.__getitem__, stem.lower() if lower else stem))
+            elif lower:
+                stem = stem.lower()
+            ids = array("I", [x.id for x in tokenize(lead + stem)]).tobytes()
+            young[word] = begin + ids + ends[end] if end else begin + ids
         if odd:
             lead = " " if self.keeps_space else ""
-            written = [w if w[:1] == "\n" or not w else lead + w for w in odd]
-            young.update(zip(odd, self._encode(written)))
-
-    @property
-    def marks(self) -> dict[str, bytes]:
-        if not hasattr(self, "_marks"):
-            self._marks = dict(zip(".,", self._encode([".", ","])))
-        return self._marks
+            young.update(zip(odd, self._encode([w if w[:1] == "\n" or not w else lead + w for w in odd])))
 
     def parts(self, texts: list[str]) -> list[list[bytes]]:
         """Per text the ids of its words in order; joined, they are the ids of the text."""
+        return [ids for ids, _ in self.parts_and_shape(texts)]
+
+    def parts_and_shape(self, texts: list[str]) -> list[tuple[list[bytes], bool]]:
+        """Per text the ids of its words in order, and whether a word ends at each space or line end and nowhere else."""
         if not (self.keeps_space or self.drops_space):
-            return [[x] for x in self._encode(texts)]
+            return [([x], False) for x in self._encode(texts)]
         split = [self._split(t) for t in texts]
-        self._learn(set().union(*(words for _, words in split)) if split else set())
+        self._learn(set().union(*(words for _, words, _ in split)))
         ids = self.young.__getitem__
-        heads = self._encode([head for head, _ in split])
-        return [[h, *map(ids, words)] if words or h else [] for h, (_, words) in zip(heads, split)]
+        heads = self._encode([head for head, _, _ in split])
+        return [([h, *map(ids, words)], regular) for h, (_, words, regular) in zip(heads, split)]
 
-    def _split(self, text: str) -> tuple[str, list[str]]:
+    def _split(self, text: str) -> tuple[str, list[str], bool]:
         """The first word, which no space precedes, and the others."""
         if self.drops_space:
-            return "", [w for w in text.replace("\n", " ").split(" ") if w]
-        if is_regular(text):
+            return "", text.replace("\n", " ").split(" "), False
+        regular = is_regular(text)
+        if regular:
             head, *words = text.replace("\n", " \n").split(" ")
         else:
             head, *words = _BETWEEN_WORDS.split(text)
-        return head, words
+        return head, words, regular
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(p) for p in self.parts(texts)]
@@ -132,14 +156,10 @@ def is_regular(text: str) -> bool:
 
 
 def sentence_ends(text: str, parts: list[bytes]) -> np.ndarray:
-    """Number of ids before each place in the text where a sentence or line ends."""
+    """Number of ids before each place in a regular text where a sentence or line ends."""
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
-    if not is_regular(text):
-        return ends[:0]
     raw = np.frombuffer(text.encode(), np.uint8)
     gaps = np.flatnonzero((raw == 32) | (raw == 10))
-    if len(gaps) + 1 != len(parts):
-        return ends[:0]
     stops = (raw[gaps] == 10) | _SENTENCE_END[raw[gaps - 1]]
     return ends[:-1][stops]
 
@@ -147,12 +167,12 @@ def sentence_ends(text: str, parts: list[bytes]) -> np.ndarray:
 _encoders: dict[bytes, TokenIds] = {}
 
 
-def encoder(content: str) -> TokenIds:
+def encoder(content: str, kept: int = 800_000) -> TokenIds:
     """The worker's encoder of this tokenizer, made once."""
     key = hashlib.blake2b(content.encode()).digest()
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = TokenIds(content)
+        _encoders[key] = TokenIds(content, kept)
     return _encoders[key]
 
 
