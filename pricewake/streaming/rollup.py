@@ -3,19 +3,27 @@
 What is stored are partial sums per listing and day. They merge in any order,
 so a late observation just adds a partial row: there is no watermark and no
 row is ever dropped. ``daily.daily_from_days`` turns the store into the series.
+
+A store is one folder on shared storage:
+
+* ``days/batch=N``: the partial rows of one run's batch;
+* ``merged/upto=N``: all batches up to N merged, one row per listing and day;
+* ``_checkpoint``: what has been read, which belongs to this store alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pricewake.operators.daily import fold_days
 from pricewake.operators.ingest import clean_prices
 from pricewake.schema import PRICE_HISTORY
+from pricewake.sources.stored import folder_names, remove_folder
 
-_BATCH = "batch"
+_BATCH, _UPTO = "batch", "upto"
 
 DAYS = T.StructType(
     [
@@ -25,35 +33,96 @@ DAYS = T.StructType(
         T.StructField("price_n", T.LongType()),
         T.StructField("first_ts", T.TimestampType()),
         T.StructField("last_ts", T.TimestampType()),
-        T.StructField(_BATCH, T.LongType()),
     ]
 )
 
 
-def read_new_prices(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Price files as a stream; each file is read once."""
-    return spark.readStream.schema(PRICE_HISTORY).format(fmt).load(path)
+def read_new_prices(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """Price files as a stream; each file is read once.
+
+    Without a ``schema``, Parquet and ORC bring their own types, taken from the
+    files that are there, and text formats the text schema.
+    """
+    if schema is None:
+        typed = fmt in ("parquet", "orc")
+        schema = spark.read.format(fmt).load(path).schema if typed else PRICE_HISTORY
+    return spark.readStream.schema(schema).format(fmt).load(path)
 
 
-def store_days(prices: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold everything new in the stream ``prices`` into ``path`` and stop.
+def store_days(prices: DataFrame, path: str) -> StreamingQuery:
+    """Fold everything new in the stream ``prices`` into the store ``path`` and stop.
 
     A batch has its own directory and overwrites it when repeated after a
-    failure, so each observation is counted once. ``path`` and ``checkpoint``
-    belong on shared storage.
+    failure, so each observation is counted once. A store that has batches but
+    lost its checkpoint is refused: its source would be counted again.
     """
+    spark = prices.sparkSession
+    has_days = folder_names(spark, f"{path}/days") or folder_names(spark, f"{path}/merged")
+    if has_days and not folder_names(spark, f"{path}/_checkpoint"):
+        raise ValueError(f"{path} holds batches but no checkpoint")
 
     def write(rows: DataFrame, batch: int) -> None:
         folded = fold_days(clean_prices(rows))
-        folded.write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch}")
+        folded.write.mode("overwrite").parquet(f"{path}/days/{_BATCH}={batch}")
 
     return (
         prices.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{path}/_checkpoint")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    return sorted(
+        int(name.removeprefix(f"{prefix}="))
+        for name in folder_names(spark, path)
+        if name.startswith(f"{prefix}=")
+    )
+
+
+def _merged_upto(spark: SparkSession, path: str) -> int:
+    """Last batch of the newest complete merge; -1 without any."""
+    done = [
+        n
+        for n in _numbers(spark, f"{path}/merged", _UPTO)
+        if "_SUCCESS" in folder_names(spark, f"{path}/merged/{_UPTO}={n}")
+    ]
+    return max(done, default=-1)
+
+
 def stored_days(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DAYS).parquet(path).drop(_BATCH)
+    """Partial rows of the newest merge and of the batches after it."""
+    upto = _merged_upto(spark, path)
+    rows = spark.createDataFrame([], DAYS)
+    if upto >= 0:
+        rows = rows.unionByName(spark.read.schema(DAYS).parquet(f"{path}/merged/{_UPTO}={upto}"))
+    for batch in _numbers(spark, f"{path}/days", _BATCH):
+        if batch > upto:
+            rows = rows.unionByName(spark.read.schema(DAYS).parquet(f"{path}/days/{_BATCH}={batch}"))
+    return rows
+
+
+def compact_days(spark: SparkSession, path: str) -> None:
+    """Merge all batches into one row per listing and day; run it between runs of the stream.
+
+    The merge counts only once it is complete, and only then are the batches and
+    the merge it replaces removed: a failure at any point leaves the sums as they are.
+    """
+    batches = _numbers(spark, f"{path}/days", _BATCH)
+    upto = _merged_upto(spark, path)
+    if not batches or batches[-1] <= upto:
+        return
+    merged = stored_days(spark, path).groupBy("product_id", "date").agg(
+        F.sum("price_sum").alias("price_sum"),
+        F.sum("price_n").alias("price_n"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
+    merged.write.mode("overwrite").parquet(f"{path}/merged/{_UPTO}={batches[-1]}")
+    for batch in batches:
+        remove_folder(spark, f"{path}/days/{_BATCH}={batch}")
+    if upto >= 0:
+        remove_folder(spark, f"{path}/merged/{_UPTO}={upto}")

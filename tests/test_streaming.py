@@ -1,29 +1,87 @@
 from __future__ import annotations
 
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
 from pricewake.operators.daily import daily_from_days, daily_prices
 from pricewake.streaming import rollup
 from tests.helpers import listing, prices_frame, products_frame
 
+LISTINGS = [listing(1), listing(2, name="TAB", url=None), listing(3, name="B")]
+BATCHES = [
+    [(1, 1, "10", "2024-01-02T10:00:00"), (2, 3, "bad", "2024-01-02T10:00:00")],
+    # A day seen before, one long gone, and another listing of the same product.
+    [
+        (3, 1, "20", "2024-01-02T08:00:00"),
+        (4, 3, "7", "2023-06-01T08:00:00"),
+        (5, 2, "60", "2024-01-02T07:00:00"),
+    ],
+    [(6, 1, "5", "2024-01-03T08:00:00")],
+]
 
-def test_stream_equals_batch_with_late_rows_and_reruns(spark, tmp_path):
-    products = products_frame(spark, [listing(1), listing(2, name="TAB", url=None), listing(3, name="B")])
-    source, store, checkpoint = (str(tmp_path / d) for d in ("in", "days", "cp"))
-    batches = [
-        [(1, 1, "10", "2024-01-02T10:00:00"), (2, 3, "bad", "2024-01-02T10:00:00")],
-        # A day seen before, one long gone, and another listing of the same product.
-        [
-            (3, 1, "20", "2024-01-02T08:00:00"),
-            (4, 3, "7", "2023-06-01T08:00:00"),
-            (5, 2, "60", "2024-01-02T07:00:00"),
-        ],
-    ]
-    for batch in batches:
-        prices_frame(spark, batch).coalesce(1).write.mode("append").parquet(source)
-        for _ in range(2):  # the second run finds nothing new
-            stream = rollup.read_new_prices(spark, source)
-            rollup.store_days(stream, store, checkpoint).awaitTermination()
+
+def typed(prices):
+    """The same prices as numbers and times."""
+    return prices.select(
+        "id", "product_id", F.try_to_number("price", F.lit("999")).cast("double").alias("price"),
+        F.to_timestamp("timestamp").alias("timestamp"), F.to_date("date").alias("date"),
+    )
+
+
+def run(spark, source, store):
+    rollup.store_days(rollup.read_new_prices(spark, source), store).awaitTermination()
+
+
+def same(spark, store, source):
+    products = products_frame(spark, LISTINGS)
     streamed = daily_from_days(products, rollup.stored_days(spark, store))
     whole = daily_prices(products, spark.read.parquet(source))
     key = lambda r: (r["product_key"], str(r["date"]))
     assert sorted(streamed.collect(), key=key) == sorted(whole.collect(), key=key)
-    assert streamed.count() == 2
+    return streamed.count()
+
+
+@pytest.mark.parametrize("form", [lambda x: x, typed], ids=["text", "typed"])
+def test_stream_equals_batch_with_late_rows_and_reruns(spark, tmp_path, form):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for batch in BATCHES[:2]:
+        form(prices_frame(spark, batch)).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):  # the second run finds nothing new
+            run(spark, source, store)
+    assert same(spark, store, source) == 2
+
+
+def test_compaction_keeps_the_sums(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for batch in BATCHES:
+        prices_frame(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        run(spark, source, store)
+        rollup.compact_days(spark, store)
+        rollup.compact_days(spark, store)
+        same(spark, store, source)
+        rows = rollup.stored_days(spark, store)
+        assert rows.count() == rows.select("product_id", "date").distinct().count()
+    assert not list((tmp_path / "store" / "days").glob("batch=*"))
+    assert len(list((tmp_path / "store" / "merged").glob("upto=*"))) == 1
+
+
+def test_an_unfinished_merge_does_not_count(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for batch in BATCHES:
+        prices_frame(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        run(spark, source, store)
+    shutil.copytree(tmp_path / "store" / "days" / "batch=0", tmp_path / "store" / "merged" / "upto=9")
+    (tmp_path / "store" / "merged" / "upto=9" / "_SUCCESS").unlink()
+    same(spark, store, source)
+
+
+def test_a_store_without_its_checkpoint_is_refused(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    prices_frame(spark, BATCHES[0]).coalesce(1).write.parquet(source)
+    run(spark, source, store)
+    (tmp_path / "store" / "_checkpoint").rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError):
+        run(spark, source, store)
+    assert same(spark, store, source) == 1
