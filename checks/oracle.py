@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from checks.queries import (
     FACETS,
+    FIXED_MOBILE_MODEL,
     FIXED_MODEL,
     HISTORY_FROM,
     HISTORY_TO,
@@ -16,6 +17,7 @@ from checks.queries import (
 )
 from checks.shape import shape_sql
 from pricewake.operators.features import MOBILE_FEATURES, TABLET_FEATURES
+from pricewake.operators.model import LinearModel
 from pricewake.operators.signals import SIGNAL_TEXT, TREND_TEXT
 from pricewake.sources.sample_tables import (
     PRICES_FROM_EVENTS,
@@ -305,13 +307,10 @@ from {tag}_model"""
 
 
 _MOBILE_ANCHOR = "(select min(date) from daily where category = 'mobile')"
-_FIXED_LIST = "[" + ", ".join(map(repr, FIXED_MODEL.coefficients)) + "]"
 
 
-def _forecast_ctes(weights: str, daily: str) -> dict[str, str]:
-    """Seven recursive days per product; ``weights`` has columns c and intercept."""
-    recent = _over("list(price)", _last(7))
-    serving = {
+def _tablet_serving() -> dict[str, str]:
+    return {
         "day_index": "(p.day_index + p.step + 1)",
         "dayofweek": "(isodow(p.last_date + cast(p.step + 1 as integer)) - 1)",
         "day_of_month": "day(p.last_date + cast(p.step + 1 as integer))",
@@ -328,14 +327,47 @@ def _forecast_ctes(weights: str, daily: str) -> dict[str, str]:
         "storage_normalized": "p.storage_normalized",
         "specs_score": "p.specs_score",
     }
+
+
+def _mobile_serving() -> dict[str, str]:
+    """Features of the row that the newest price belongs to."""
+    row = "(p.last_date + cast(p.step as integer))"
+    return {
+        "day_index": "(p.day_index + p.step)",
+        "dayofweek": f"(isodow({row}) - 1)",
+        "day_of_month": f"day({row})",
+        "month": f"month({row})",
+        "rolling_avg_3": "list_avg(p.recent[-3:])",
+        "rolling_avg_7": "list_avg(p.recent[-7:])",
+        "rolling_std_3": "coalesce(list_stddev_samp(p.recent[-3:]), 0)",
+        **{
+            f"price_lag_{k}": f"case when len(p.recent) > {k} then p.recent[-{k + 1}] else p.recent[1] end"
+            for k in (1, 3, 7)
+        },
+        **{c: f"p.{c}" for c in SPECS},
+    }
+
+
+def _forecast_ctes(weights: str, category: str) -> dict[str, str]:
+    """Seven recursive days per product; ``weights`` has columns c and intercept."""
+    mobile = category == "mobile"
+    names, columns = (
+        (MOBILE_FEATURES, MOBILE_COLUMNS) if mobile else (TABLET_FEATURES, TABLET_COLUMNS)
+    )
+    serving = _mobile_serving() if mobile else _tablet_serving()
+    held = 8 if mobile else 7
+    actual = f"lead(price) over {W}" if mobile else "price"
+    daily = f"(select * from daily where category = '{category}')"
+    recent = _over("list(price)", _last(held))
     prediction = "w.intercept + " + " + ".join(
-        f"w.c[{i}] * ({serving[f]})" for i, f in enumerate(TABLET_FEATURES, start=1)
+        f"w.c[{i}] * ({serving[f]})" for i, f in enumerate(names, start=1)
     )
-    scored = _predict(TABLET_FEATURES, "f.")
+    scored = _predict(names, "f.")
     return {
         "fc_weights": weights,
         "fc_rows": f"""
-select category, product_key, date, price, {_select(TABLET_COLUMNS)}, {recent} as recent
+select category, product_key, date, price, {_select(columns)}, {recent} as recent,
+       {actual} as actual
 from {daily}""",
         "fc_scored": f"select f.*, {scored} as prediction from fc_rows f, fc_weights w",
         "fc_state": f"""
@@ -344,7 +376,7 @@ select category, product_key, max(date) as last_date, last(price order by date)
        last(ram_normalized order by date) as ram_normalized,
        last(storage_normalized order by date) as storage_normalized,
        last(specs_score order by date) as specs_score,
-       {_metrics("price")}, avg(price) as avg_price, min(price) as min_price,
+       {_metrics("actual")}, avg(price) as avg_price, min(price) as min_price,
        max(price) as max_price, count(*) as n_days
 from fc_scored group by category, product_key""",
         "fc_path(category, product_key, step, last_date, day_index, ram_normalized, "
@@ -353,7 +385,7 @@ select category, product_key, 0, last_date, day_index, ram_normalized, storage_n
        specs_score, recent, 0::double from fc_state
 union all
 select category, product_key, step + 1, last_date, day_index, ram_normalized,
-       storage_normalized, specs_score, list_append(recent, pred)[-7:], pred
+       storage_normalized, specs_score, list_append(recent, pred)[-{held}:], pred
 from (select p.*, {prediction} as pred from fc_path p, fc_weights w where p.step < 7)""",
     }
 
@@ -374,17 +406,38 @@ _TABLET_FIT = _fit_ctes("tablet_set", TABLET_FEATURES, "tablet")
 _MOBILE_FIT = _fit_ctes("mobile_set", MOBILE_FEATURES, "mobile")
 _TABLET_FORECAST = {
     **_TABLET_FIT,
-    **_forecast_ctes(
-        "select c, intercept from tablet_model", "(select * from daily where category = 'tablet')"
-    ),
+    **_forecast_ctes("select c, intercept from tablet_model", "tablet"),
 }
-_FIXED_FORECAST = _forecast_ctes(
-    f"select {_FIXED_LIST}::double[] as c, {FIXED_MODEL.intercept!r}::double as intercept", "daily"
-)
+_MOBILE_FORECAST = {
+    **_MOBILE_FIT,
+    **_forecast_ctes("select c, intercept from mobile_model", "mobile"),
+}
+
+
+def _fixed_forecast(model: LinearModel) -> dict[str, str]:
+    coefficients = "[" + ", ".join(map(repr, model.coefficients)) + "]"
+    return _forecast_ctes(
+        f"select {coefficients}::double[] as c, {model.intercept!r}::double as intercept",
+        model.category,
+    )
+
+
+_TABLET_SCORED = f"""
+select r.*, {_predict(TABLET_FEATURES, "r.")} as prediction
+from tablet_set r, tablet_model w"""
 _MOBILE_SCORED = f"""
 select r.*, {_predict(MOBILE_FEATURES, "r.")} as prediction
 from mobile_set r, mobile_model w"""
 
+_FITTED = {"category": "category", "is_train": "is_train", "target": "target", "prediction": "prediction"}
+_BOTH_SCORED = {
+    **_TABLET_FIT,
+    **_MOBILE_FIT,
+    "both_scored": f"""
+select {_select(_FITTED)} from ({_TABLET_SCORED})
+union all select {_select(_FITTED)} from ({_MOBILE_SCORED})""",
+}
+
 _IN_FACETS = " and ".join(
     f"{column} in ({', '.join(repr(v) for v in FACETS[facet])})"
     for column, facet in (
@@ -395,7 +448,7 @@ _IN_FACETS = " and ".join(
     )
 )
 _EGP = "'EGP ' || format('{{:,.0f}}', {0})"
-_PCT = "format('{{:,.1f}}', {0}) || '%'"
+_PCT = "format('{{:.1f}}', {0}) || '%'"
 
 
 def _egp(expr: str) -> str:
@@ -406,6 +459,11 @@ def _pct(expr: str) -> str:
     return _PCT.format(expr)
 
 
+def _plus(text: str) -> str:
+    """The text with a plus in front unless it has a minus."""
+    return f"case when starts_with({text}, '-') then '' else '+' end || {text}"
+
+
 _SEARCH = f"regexp_matches(name, '{SEARCH_TERM}', 'i')"
 _LONG_DATE = "strftime({0}, '%A, %B %d')"
 _CARDS = """
@@ -537,13 +595,22 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
     "mobile_training_set": ({}, "select * from mobile_set"),
     "training_report": (
         {},
-        """select sum(n) as n_daily_rows, count(*) as n_products,
+        """select 'mobile' as category, sum(n) as n_daily_rows, count(*) as n_products,
                   count(*) filter (where open) as n_eligible,
                   count(*) filter (where not open) as n_skipped,
                   sum(case when open then floor((n - 1) * 0.8::double) else 0 end) as n_train_rows,
                   sum(case when open then n - 1 - floor((n - 1) * 0.8::double) else 0 end)
                     as n_test_rows
-           from mobile_gate""",
+           from mobile_gate
+           union all
+           select 'tablet', sum(n_days), count(*), count(*) filter (where n_kept >= 10),
+                  count(*) filter (where n_kept < 10),
+                  floor(sum(n_kept) filter (where n_kept >= 10) * 0.8::double),
+                  sum(n_kept) filter (where n_kept >= 10)
+                    - floor(sum(n_kept) filter (where n_kept >= 10) * 0.8::double)
+           from (select d.category, d.product_key, count(*) as n_days, count(t.date) as n_kept
+                 from daily d left join trimmed t using (category, product_key, date)
+                 where d.category = 'tablet' group by all)""",
     ),
     "ols_moments": ({}, _moments("tablet_rows", [*TABLET_FEATURES, "target"])),
     "fit_tablet": (
@@ -560,8 +627,16 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
     ),
     "score_in_sample": (_MOBILE_FIT, _MOBILE_SCORED),
     "fit_metrics": (
-        {**_MOBILE_FIT, "mobile_scored": _MOBILE_SCORED},
-        f"select category, is_train, {_metrics('target')} from mobile_scored group by all",
+        _BOTH_SCORED,
+        f"select category, is_train, {_metrics('target')} from both_scored group by all",
+    ),
+    "fit_gap": (
+        _BOTH_SCORED,
+        """select *, test_mae / train_mae as gap_ratio,
+                  case when test_mae / train_mae > 3 then 'large_gap' else 'healthy' end as gap
+           from (select category, avg(abs(prediction - target)) filter (where is_train) as train_mae,
+                        avg(abs(prediction - target)) filter (where not is_train) as test_mae
+                 from both_scored group by category)""",
     ),
     "regression_metrics": (
         {},
@@ -582,7 +657,9 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
                  from lag_scored)""",
     ),
     "recursive_forecast": (_TABLET_FORECAST, _FORECAST_DAYS),
-    "recursive_forecast_fixed": (_FIXED_FORECAST, _FORECAST_DAYS),
+    "recursive_forecast_fixed": (_fixed_forecast(FIXED_MODEL), _FORECAST_DAYS),
+    "mobile_forecast": (_MOBILE_FORECAST, _FORECAST_DAYS),
+    "mobile_forecast_fixed": (_fixed_forecast(FIXED_MOBILE_MODEL), _FORECAST_DAYS),
     "next_price": (
         _MOBILE_FIT,
         f"""select r.*, {_predict(MOBILE_FEATURES, "r.")} as next_price
@@ -652,8 +729,8 @@ select *, case when change_pct < -3 then 'buy' when change_pct > 3 then 'wait'
         {"cards": _CARDS},
         f"""select *, name as product, {_egp("last_price")} as current_text,
                    {_egp("forecast_price")} as forecast_text,
-                   case when change_pct >= 0 then '+' else '' end || {_pct("change_pct")}
-                     as change_text from cards""",
+                   {_plus(_pct("change_pct"))} as change_text,
+                   {_plus("format('{:,.0f}', change)")} || ' EGP' as amount_text from cards""",
     ),
 }
 

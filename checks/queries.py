@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,6 +27,7 @@ from pricewake.plans import training as plans
 from pricewake.plans.baseline import baseline_forecast
 from pricewake.session import configure
 from pricewake.sources import sample_tables
+from pricewake.sources.stored import remove_folder, scratch_folder, store
 from pricewake.sources.tables import scan_counts
 
 # Inputs of the interactive operators.
@@ -47,6 +47,12 @@ FIXED_MODEL = model.LinearModel(
     (0.05, 0.2, -0.1, 0.3, 0.25, 0.15, -0.05, 0.4, 0.1, 0.05, 3.0, -2.0, 1.5, -0.7, 0.2),
     12.0,
 )
+FIXED_MOBILE_MODEL = model.LinearModel(
+    "mobile",
+    features.MOBILE_FEATURES,
+    (0.02, 0.3, 0.1, -0.2, 0.3, 0.2, 0.1, 0.25, 0.15, 0.05, 2.0, 1.0, -0.5),
+    5.0,
+)
 
 
 @dataclass(frozen=True)
@@ -78,12 +84,17 @@ class Tables:
         return daily_prices(self.products, self.prices, category)
 
     @cached_property
-    def mobile_anchor(self):
-        return plans.first_day(self.products, self.prices, "mobile").scalar()
+    def _stored(self) -> dict[str, DataFrame]:
+        return {}
 
-    @cached_property
-    def mobile_rows(self) -> DataFrame:
-        return training.mobile_training_set(self.daily("mobile"), anchor=self.mobile_anchor)
+    def stored(self, category: str) -> DataFrame:
+        """Daily series of a category, computed once for what reads it more than once."""
+        if category not in self._stored:
+            self._stored[category] = store(self.daily(category), self.folder("daily"))
+        return self._stored[category]
+
+    def folder(self, name: str) -> str:
+        return scratch_folder(self.spark, name)
 
     @cached_property
     def lag_scored(self) -> DataFrame:
@@ -99,8 +110,11 @@ class Tables:
     def summary(self) -> DataFrame:
         return signals.product_summary(catalog.catalogue(self.folded), self.baseline)
 
+    def trained(self, category: str) -> plans.Trained:
+        return plans.train_daily(self.stored(category), category)
+
     def model(self, category: str) -> model.LinearModel:
-        return plans.train(self.products, self.prices, category).release()
+        return self.trained(category).release()
 
 
 def _with_windows(daily: DataFrame, *columns: dict) -> DataFrame:
@@ -112,30 +126,44 @@ def _coefficients(t: Tables, category: str) -> DataFrame:
     return t.model(category).to_table(t.spark)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """New folder under the shared folder the session names, else a local one for tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or '/tmp/pricewake'}/{name}-{uuid.uuid4().hex}"
-
-
 def _model_roundtrip(t: Tables) -> DataFrame:
-    path = _scratch(t.spark, "model")
+    path = t.folder("model")
     model.save_model(t.model("mobile"), t.spark, path)
-    return model.load_model(t.spark, path).to_table(t.spark)
+    loaded = model.load_model(t.spark, path)
+    remove_folder(t.spark, path)
+    return loaded.to_table(t.spark)
 
 
 def _score_in_sample(t: Tables) -> DataFrame:
-    rows = t.mobile_rows
-    return forecast.score(rows, t.model("mobile"))
+    trained = t.trained("mobile")
+    scored = store(trained.scored, t.folder("scored"))
+    trained.release()
+    return scored
+
 
+def _of_both(t: Tables, report: Callable[[plans.Trained], DataFrame]) -> DataFrame:
+    """A small report of each category's training, read before its rows are given back."""
+    parts = []
+    for category in features.PROFILES:
+        trained = t.trained(category)
+        rows = report(trained).withColumn("category", F.lit(category))
+        parts.append(t.spark.createDataFrame(rows.collect(), rows.schema))
+        trained.release()
+    return parts[0].unionByName(parts[1])
 
-def _recursive(t: Tables) -> DataFrame:
-    daily = t.daily("tablet")
-    return forecast.recursive_forecast(daily, t.model("tablet"))
+
+def _training_reports(t: Tables) -> DataFrame:
+    tablet = training.tablet_report(t.daily("tablet")).withColumn("category", F.lit("tablet"))
+    mobile = training.training_report(t.daily("mobile")).withColumn("category", F.lit("mobile"))
+    return tablet.unionByName(mobile)
+
+
+def _recursive(t: Tables, category: str = "tablet") -> DataFrame:
+    return forecast.recursive_forecast(t.stored(category), t.model(category))
 
 
 def _forecast_export(t: Tables) -> DataFrame:
-    path = _scratch(t.spark, "forecast")
+    path = t.folder("forecast")
     bands = forecast.forecast_bands(_recursive(t))
     forecast.write_forecast_csv(bands, path)
     names = forecast.forecast_export(bands).schema
@@ -168,7 +196,7 @@ _FORECAST_DAY = shape(
     avg_price="r", min_price="r", max_price="r", n_days="l", confidence="=", trend="=",
     trend_pct="r",
 )
-_COEFFICIENTS = shape(category="=", position="i", feature="=", coefficient="r", anchor="d")
+_COEFFICIENTS = shape(category="=", position="i", feature="=", coefficient="s", anchor="d")
 _POINTS = shape(**_KEY, series="=", date="d", value="r")
 
 
@@ -298,11 +326,11 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         shape(**_DAY, **TABLET_SHAPE),
     ),
     "mobile_features": (
-        lambda t: training.mobile_features(t.daily("mobile"), t.mobile_anchor),
+        lambda t: training.mobile_features(t.stored("mobile")),
         shape(**_DAY, **MOBILE_SHAPE),
     ),
     "latest_features": (
-        lambda t: forecast.latest_features(t.daily("mobile"), t.mobile_anchor),
+        lambda t: forecast.latest_features(t.stored("mobile")),
         shape(**_DAY, **MOBILE_SHAPE),
     ),
     # Splits and training sets.
@@ -319,17 +347,17 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         shape(**_DAY, is_train="="),
     ),
     "tablet_training_set": (
-        lambda t: training.tablet_training_set(t.daily("tablet")),
+        lambda t: training.tablet_training_set(t.daily("tablet"), t.folder("tablet-rows")),
         shape(**_DAY, **TABLET_SHAPE, target="r", is_train="="),
     ),
     "mobile_training_set": (
-        lambda t: t.mobile_rows,
+        lambda t: training.mobile_training_set(t.stored("mobile")),
         shape(**_DAY, **MOBILE_SHAPE, target="r", is_train="="),
     ),
     "training_report": (
-        lambda t: training.training_report(t.daily("mobile")),
+        _training_reports,
         shape(
-            n_daily_rows="l", n_products="l", n_eligible="l", n_skipped="l", n_train_rows="l",
+            category="=", n_daily_rows="l", n_products="l", n_eligible="l", n_skipped="l", n_train_rows="l",
             n_test_rows="l",
         ),
     ),
@@ -349,9 +377,13 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         shape(**_DAY, target="r", is_train="=", prediction="r"),
     ),
     "fit_metrics": (
-        lambda t: metrics.regression_metrics(_score_in_sample(t), ["category", "is_train"]),
+        lambda t: _of_both(t, lambda trained: trained.metrics),
         shape(category="=", is_train="=", **_METRICS),
     ),
+    "fit_gap": (
+        lambda t: _of_both(t, lambda trained: trained.gap),
+        shape(category="=", train_mae="r", test_mae="r", gap_ratio="r", gap="="),
+    ),
     "regression_metrics": (
         lambda t: metrics.regression_metrics(t.lag_scored, ["category", "is_train"], "price"),
         shape(category="=", is_train="=", **_METRICS),
@@ -370,8 +402,15 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         lambda t: _forecast_days(forecast.recursive_forecast(t.daily(), FIXED_MODEL)),
         _FORECAST_DAY,
     ),
+    "mobile_forecast": (lambda t: _forecast_days(_recursive(t, "mobile")), _FORECAST_DAY),
+    "mobile_forecast_fixed": (
+        lambda t: _forecast_days(
+            forecast.recursive_forecast(t.stored("mobile"), FIXED_MOBILE_MODEL)
+        ),
+        _FORECAST_DAY,
+    ),
     "next_price": (
-        lambda t: forecast.next_price(t.daily("mobile"), t.model("mobile")),
+        lambda t: forecast.next_price(t.stored("mobile"), t.model("mobile")),
         shape(**_DAY, next_price="r"),
     ),
     "forecast_calendar": (
@@ -434,7 +473,7 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         lambda t: signals.compare_products(t.summary),
         shape(
             **_KEY, product="=", last_price="r", forecast_price="r", change_pct="r",
-            confidence="=", current_text="=", forecast_text="=", change_text="=",
+            confidence="=", current_text="=", forecast_text="=", change_text="=", amount_text="=",
         ),
     ),
 }

@@ -1,7 +1,8 @@
 """One output shape per query, applied alike to the Spark and the SQL result.
 
 Kinds: ``=`` as is, ``i`` INT, ``l`` BIGINT, ``d`` day as text, ``t`` time as
-text, ``r`` DOUBLE to 4 decimals, ``f`` single precision.
+text, ``r`` DOUBLE to 4 decimals, ``f`` single precision, ``s`` DOUBLE to 5
+significant digits, whatever its size.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ def shape(**kinds: str) -> Shape:
     return kinds
 
 
+def _digits(column: Column) -> Column:
+    """Power of ten that brings five digits of the value before its point."""
+    return F.pow(F.lit(10.0), 4 - F.floor(F.log10(F.abs(column))))
+
+
 def _spark(name: str, kind: str) -> Column:
     column = F.col(f"`{name}`")
     forms = {
@@ -32,6 +38,9 @@ def _spark(name: str, kind: str) -> Column:
         # Adding 0 turns a negative zero into zero.
         "r": lambda: F.round(column + _OFF_EDGE, 4) + F.lit(0.0),
         "f": lambda: column.cast("float"),
+        "s": lambda: F.when(column == 0, F.lit(0.0)).otherwise(
+            F.round(column * _digits(column)) / _digits(column)
+        ),
     }
     return forms[kind]().alias(name)
 
@@ -45,6 +54,8 @@ def _sql(name: str, kind: str) -> str:
         "t": """strftime("{0}", '%Y-%m-%d %H:%M:%S.%f')""",
         "r": f'round("{{0}}" + {_OFF_EDGE}, 4) + 0e0',
         "f": 'cast("{0}" as float)',
+        "s": """case when "{0}" = 0 then 0e0 else round("{0}"
+            * pow(10e0, 4 - floor(log10(abs("{0}"))))) / pow(10e0, 4 - floor(log10(abs("{0}")))) end""",
     }
     return forms[kind].format(name) + f' as "{name}"'
 

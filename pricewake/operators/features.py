@@ -43,6 +43,7 @@ class Profile:
 
 TABLET = Profile("tablet", TABLET_FEATURES, global_anchor=False)
 MOBILE = Profile("mobile", MOBILE_FEATURES, global_anchor=True)
+PROFILES = {p.category: p for p in (TABLET, MOBILE)}
 
 
 def series_window() -> WindowSpec:

@@ -9,18 +9,31 @@ from pricewake.functions.calendar import calendar_fields
 from pricewake.functions.text import egp, iso_date, long_date
 from pricewake.operators.features import (
     MOBILE,
+    PROFILES,
     TABLET,
+    Profile,
     add_features,
     series_window,
+    whole_series,
 )
 from pricewake.operators.metrics import metric_columns
 from pricewake.operators.model import LinearModel
 from pricewake.operators.signals import confidence_tier, with_trend
 from pricewake.schema import KEY
 
-# Forecast length, and the rows any feature looks back.
+# Forecast length, the rows any feature looks back, and the label of both models.
 HORIZON_DAYS = 7
 LOOKBACK = 7
+MODEL_TYPE = "Global Linear Regression"
+
+# Headings and file name of the CSV download.
+EXPORT_HEADINGS = (
+    "Date",
+    "Forecasted Price (EGP)",
+    "Lower Bound (EGP)",
+    "Upper Bound (EGP)",
+)
+EXPORT_MARK, EXPORT_ENDING = "_forecast_", ".csv"
 
 
 def score(featured: DataFrame, model: LinearModel) -> DataFrame:
@@ -32,8 +45,8 @@ def _mean(values: Column) -> Column:
     return total / F.size(values)
 
 
-def _serving_inputs(recent: Column, step: Column, state: Column) -> dict[str, Column]:
-    """Model inputs of a future day from the last prices, real or predicted.
+def _tablet_inputs(recent: Column, step: Column, state: Column) -> dict[str, Column]:
+    """Model inputs of the day to predict, from the last prices before it, real or predicted.
 
     ``recent`` holds at most the last 7, oldest first, so its first element is
     the 7-row lag and also the first price of a younger product. The deviation
@@ -53,26 +66,84 @@ def _serving_inputs(recent: Column, step: Column, state: Column) -> dict[str, Co
         "price_lag_7": first,
         "pct_change_1": F.lit(0.0),
         "pct_change_3": F.lit(0.0),
-        "ram_normalized": state["ram_normalized"],
-        "storage_normalized": state["storage_normalized"],
-        "specs_score": state["specs_score"],
+        **_spec_inputs(state),
+    }
+
+
+def _mobile_inputs(recent: Column, step: Column, state: Column) -> dict[str, Column]:
+    """Training features of the row before the day to predict, whose price is the newest.
+
+    ``recent`` holds at most the last 8 prices, oldest first: the row's own and
+    the 7 it looks back on. At the first step this is the product's last real
+    row, so the first prediction is that of ``next_price``.
+    """
+    length = F.size(recent)
+
+    def newest(n: int) -> Column:
+        return F.slice(recent, F.greatest(length - (n - 1), F.lit(1)), n)
+
+    def back(k: int) -> Column:
+        return F.when(length > k, F.element_at(recent, -1 - k)).otherwise(F.element_at(recent, 1))
+
+    last3 = newest(3)
+    mean3 = _mean(last3)
+    squares = F.aggregate(last3, F.lit(0.0), lambda acc, x: acc + (x - mean3) * (x - mean3))
+    return {
+        "day_index": state["day_index"] + step - 1,
+        **calendar_fields(F.date_add(state["date"], step - 1)),
+        "rolling_avg_3": mean3,
+        "rolling_avg_7": _mean(newest(7)),
+        "rolling_std_3": F.when(length > 1, F.sqrt(squares / (F.size(last3) - 1))).otherwise(0.0),
+        "price_lag_1": back(1),
+        "price_lag_3": back(3),
+        "price_lag_7": back(7),
+        **_spec_inputs(state),
     }
 
 
+def _spec_inputs(state: Column) -> dict[str, Column]:
+    return {n: state[n] for n in ("ram_normalized", "storage_normalized", "specs_score")}
+
+
+# Per profile: inputs of a future day and the number of prices they are taken from.
+_SERVING = {
+    TABLET.category: (_tablet_inputs, LOOKBACK),
+    MOBILE.category: (_mobile_inputs, LOOKBACK + 1),
+}
+
+
+def _profile(model: LinearModel) -> Profile:
+    """What the model was fitted on; a model of something else raises."""
+    profile = PROFILES.get(model.category)
+    if profile is None:
+        raise ValueError(f"no profile for a model of category {model.category!r}")
+    unknown = set(model.features) - set(profile.features)
+    if unknown:
+        raise ValueError(f"{model.category} has no features {sorted(unknown)}")
+    return profile
+
+
+def _own_rows(daily: DataFrame, model: LinearModel) -> tuple[DataFrame, Column | None]:
+    """Daily rows of the model's category, and the day its index counts from."""
+    rows = daily.where(F.col("category") == model.category)
+    return rows, F.lit(model.anchor) if model.anchor else None
+
+
 def _roll_forward(model: LinearModel, state: Column, days: int) -> Column:
     """Array of ``days`` predictions, each fed back as the newest price."""
+    inputs, held = _SERVING[model.category]
 
     def advance(acc: Column, step: Column) -> Column:
         # Predict once, then append it to both arrays.
-        prediction = model.predict(_serving_inputs(acc["recent"], step, state))
+        prediction = model.predict(inputs(acc["recent"], step, state))
         return F.element_at(
             F.transform(
                 F.array(prediction),
                 lambda p: F.struct(
                     F.slice(
                         F.concat(acc["recent"], F.array(p)),
-                        F.when(F.size(acc["recent"]) < LOOKBACK, F.lit(1)).otherwise(F.lit(2)),
-                        LOOKBACK,
+                        F.when(F.size(acc["recent"]) < held, F.lit(1)).otherwise(F.lit(2)),
+                        held,
                     ).alias("recent"),
                     F.concat(acc["path"], F.array(p)).alias("path"),
                 ),
@@ -91,21 +162,33 @@ def _roll_forward(model: LinearModel, state: Column, days: int) -> Column:
 def recursive_forecast(
     daily: DataFrame, model: LinearModel, days: int = HORIZON_DAYS
 ) -> DataFrame:
-    """One row per product: forecast path, in-sample error, price statistics, trend.
+    """One row per product of the model's category: path, in-sample error, price statistics, trend.
+
+    Features and anchor are those of the model's profile. The tablet model
+    predicts a day from the prices before it. The mobile model predicts the next
+    row's price; chaining it over several days is an extension of its one step.
 
-    The last prices come from the same windows as the features and the
-    in-sample scores from the same rows, so the daily series is shuffled once
-    by product. The recursion stays in the JVM and holds 7 prices.
+    Rows are numbered in the sort the features need, and only the last prices of
+    a product are gathered. The recursion stays in the JVM and holds 8 prices.
     """
-    recent = F.collect_list("price").over(series_window().rowsBetween(1 - LOOKBACK, 0))
-    scored = score(add_features(daily, TABLET), model).withColumn("recent", recent)
+    profile = _profile(model)
+    rows, anchor = _own_rows(daily, model)
+    _, held = _SERVING[model.category]
+    from_end = F.count("*").over(whole_series()) - F.row_number().over(series_window())
+    featured = score(add_features(rows, profile, anchor), model).withColumn("from_end", from_end)
+    if profile is MOBILE:
+        # What the prediction of a row is compared with.
+        featured = featured.withColumn("actual", F.lead("price", 1).over(series_window()))
+    else:
+        featured = featured.withColumn("actual", F.col("price"))
+    newest = F.collect_list(F.when(F.col("from_end") < held, F.struct("date", "price")))
     state = F.struct(
-        "date", "price", "day_index", "recent",
-        "ram_normalized", "storage_normalized", "specs_score",
-    )
-    errors = metric_columns(F.col("price"), F.col("prediction"))
-    per_product = scored.groupBy(*KEY).agg(
-        F.max_by(state, "date").alias("state"),
+        "date", "price", "day_index", "ram_normalized", "storage_normalized", "specs_score"
+    )
+    errors = metric_columns(F.col("actual"), F.col("prediction"))
+    per_product = featured.groupBy(*KEY).agg(
+        F.max_by(state, "date").alias("last"),
+        F.transform(F.array_sort(newest), lambda x: x["price"]).alias("recent"),
         errors["mae"].alias("mae"),
         errors["r2"].alias("r2"),
         F.avg("price").alias("avg_price"),
@@ -114,7 +197,9 @@ def recursive_forecast(
         F.count("*").alias("n_days"),
     )
     last = F.col("state")
-    rolled = per_product.withColumn("path", _roll_forward(model, last, days))
+    rolled = per_product.withColumn("state", F.struct("last.*", "recent")).withColumn(
+        "path", _roll_forward(model, last, days)
+    )
     results = rolled.select(
         *KEY,
         last["date"].alias("last_date"),
@@ -133,7 +218,7 @@ def recursive_forecast(
         "max_price",
         "n_days",
         confidence_tier(F.col("n_days")).alias("confidence"),
-        F.lit("Global Linear Regression").alias("model_type"),
+        F.lit(MODEL_TYPE).alias("model_type"),
     )
     return with_trend(results)
 
@@ -148,9 +233,11 @@ def latest_features(
 
 
 def next_price(daily: DataFrame, model: LinearModel) -> DataFrame:
-    """One-step prediction per product from its last row, with the model's anchor."""
-    anchor = F.lit(model.anchor) if model.anchor else None
-    return latest_features(daily, anchor).select(
+    """One-step prediction per product of the mobile category, with the model's anchor."""
+    if _profile(model) is not MOBILE:
+        raise ValueError(f"the {model.category} model does not predict the next row")
+    rows, anchor = _own_rows(daily, model)
+    return latest_features(rows, anchor).select(
         *KEY, "date", "price", model.predict().alias("next_price")
     )
 
@@ -197,30 +284,33 @@ def forecast_breakdown(bands: DataFrame) -> DataFrame:
 
 def forecast_export(bands: DataFrame) -> DataFrame:
     """Columns of the CSV download, after the product they belong to."""
-    return bands.select(
-        *KEY,
-        iso_date(F.col("date")).alias("Date"),
-        F.col("price").alias("Forecasted Price (EGP)"),
-        F.col("lower").alias("Lower Bound (EGP)"),
-        F.col("upper").alias("Upper Bound (EGP)"),
-    )
+    columns = (iso_date(F.col("date")), F.col("price"), F.col("lower"), F.col("upper"))
+    return bands.select(*KEY, *[c.alias(n) for c, n in zip(columns, EXPORT_HEADINGS, strict=True)])
 
 
 def export_name(name: Column, day: Column) -> Column:
     """``<name>_forecast_<yyyymmdd>.csv``"""
-    return F.concat(name, F.lit("_forecast_"), F.date_format(day, "yyyyMMdd"), F.lit(".csv"))
+    return F.concat(
+        name, F.lit(EXPORT_MARK), F.date_format(day, "yyyyMMdd"), F.lit(EXPORT_ENDING)
+    )
 
 
-def write_forecast_csv(bands: DataFrame, path: str, one_product: bool = False) -> None:
-    """CSV of all products, split by category; for one product, just its four columns.
+def write_forecast_csv(
+    bands: DataFrame, path: str, product: tuple[str, str] | None = None
+) -> None:
+    """CSV of all products, split by category; of one product, just its four columns.
 
-    A directory per product would mean one tiny file for each, so the product
-    stays a column.
+    ``product`` is the product key and category of the one wanted; its few rows
+    are one file. For all products a directory each would mean as many tiny
+    files, so there the product stays a column.
     """
     rows = forecast_export(bands)
-    writer = rows.write if not one_product else rows.drop(*KEY).coalesce(1).write
-    if not one_product:
-        writer = writer.partitionBy("category")
+    if product is None:
+        writer = rows.write.partitionBy("category")
+    else:
+        for name, value in zip(KEY, product, strict=True):
+            rows = rows.where(F.col(name) == value)
+        writer = rows.drop(*KEY).coalesce(1).write
     writer.mode("overwrite").option("header", "true").csv(path)
 
 

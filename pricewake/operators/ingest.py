@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewake.functions import cleaning
-from pricewake.schema import ATTRIBUTES, CATEGORIES
+from pricewake.schema import ATTRIBUTES, CATEGORIES, resolve_category
 
 
 def active_products(products: DataFrame, category: str | None = None) -> DataFrame:
-    """Listings flagged active, of one category or of all known ones."""
-    wanted = [category] if category else list(CATEGORIES)
+    """Listings flagged active, of one category or of all known ones.
+
+    ``category`` may be a free label such as "Tablets"; one that names no known
+    category raises, as every loader that takes a label comes through here.
+    """
+    wanted = list(CATEGORIES) if category is None else [resolve_category(category)]
     return products.where(F.col("category").isin(wanted) & F.col("is_active"))
 
 
@@ -97,20 +103,56 @@ def load_observations(
     )
 
 
+def observed_at() -> Column:
+    """Place of an observation within its day, by time and then id, as one fixed-width number.
+
+    Microseconds in the high digits, the id below them; a missing id comes first.
+    Whatever the sign of either, the numbers sort like (timestamp, obs_id).
+    """
+    micros = F.unix_micros("timestamp").cast("decimal(19,0)")
+    # More than there are ids, so that time always decides first.
+    span = F.lit(Decimal(20_000_000_000_000_000_000)).cast("decimal(20,0)")
+    lowest = F.lit(Decimal(2**63 + 1)).cast("decimal(20,0)")
+    number = F.coalesce(F.col("obs_id").cast("decimal(20,0)") + lowest, F.lit(Decimal(0)))
+    return (micros * span + number).cast("decimal(38,0)")
+
+
 def fold_listings(observations: DataFrame) -> DataFrame:
     """Observations of ``clean_prices`` folded to one row per listing.
 
     Carries what the per-product reports need: row and price counts, the first
     and last price in (date, timestamp, obs_id) order, and where they lie.
+
+    Folded per listing and day, then per listing, so that the day, which may
+    differ from the timestamp's, leads the order. All buffers are fixed width:
+    both steps are hash aggregates and no raw row is sorted. Ids tell the
+    observations of one time apart; equal ids at one time leave it open which
+    price is taken.
     """
-    order = F.struct("date", "timestamp", "obs_id")
-    return observations.groupBy("product_id").agg(
+    at = observed_at()
+    days = observations.groupBy("product_id", "date").agg(
         F.count("*").alias("n_rows"),
         F.count("price").alias("n_prices"),
-        F.min(F.struct(order.alias("at"), F.col("price"))).alias("first_obs"),
-        F.max(F.struct(order.alias("at"), F.col("price"))).alias("last_obs"),
+        F.min(at).alias("first_at"),
+        F.max(at).alias("last_at"),
+        F.min_by("price", at).alias("first_price"),
+        F.max_by("price", at).alias("last_price"),
+    )
+    folded = days.groupBy("product_id").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_prices").alias("n_prices"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        *[F.min_by(f"first_{x}", "date").alias(f"first_{x}") for x in ("at", "price")],
+        *[F.max_by(f"last_{x}", "date").alias(f"last_{x}") for x in ("at", "price")],
     )
 
+    def observed(end: str) -> Column:
+        place = F.struct(F.col(f"{end}_date").alias("date"), F.col(f"{end}_at").alias("at"))
+        return F.struct(place.alias("at"), F.col(f"{end}_price").alias("price")).alias(f"{end}_obs")
+
+    return folded.select("product_id", "n_rows", "n_prices", observed("first"), observed("last"))
+
 
 def fold_products(
     products: DataFrame,

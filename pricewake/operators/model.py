@@ -76,8 +76,8 @@ def ols_moments(
 ) -> DataFrame:
     """Sums of the products of each two of ``1`` and ``columns``, as a square table.
 
-    Row ``i`` holds the sums with column ``i`` in ``m_0 .. m_k``; place 0 is the
-    constant, so ``m_0`` of row 0 counts the rows. Each input row is fanned out
+    Row ``i`` holds the sums with column ``i`` in ``m_0 .. m_k``, place 0 being the
+    constant, and the number of rows in ``n``. Each input row is fanned out
     by place, which keeps the aggregate narrow and compiled, and every task
     sends one row per place. ``centre`` is subtracted first, which keeps the
     products well conditioned.
@@ -92,7 +92,8 @@ def ols_moments(
         *[
             F.sum(F.col("xi") * F.get("x", F.lit(j))).alias(f"m_{j}")
             for j in range(len(columns) + 1)
-        ]
+        ],
+        F.count("*").alias("n"),
     )
 
 
@@ -101,17 +102,17 @@ def moments_table(rows: DataFrame, columns: list[str]) -> DataFrame:
     names = ["1", *columns]
     table = F.array(*[F.lit(n) for n in names])
     long = ols_moments(rows, columns).select(
-        "i", F.posexplode(F.array(*[f"m_{j}" for j in range(len(names))])).alias("j", "total")
+        "i",
+        "n",
+        F.posexplode(F.array(*[f"m_{j}" for j in range(len(names))])).alias("j", "total"),
     )
-    n = long.where((F.col("i") == 0) & (F.col("j") == 0)).select("total").scalar()
     return (
-        long.withColumn("n", n)
         # Each pair once, and not the constant with itself.
-        .where((F.col("j") > 0) & (F.col("i") <= F.col("j")))
+        long.where((F.col("j") > 0) & (F.col("i") <= F.col("j")))
         .select(
             F.get(table, F.col("i")).alias("x"),
             F.get(table, F.col("j")).alias("y"),
-            F.col("n").cast("bigint").alias("n"),
+            "n",
             (F.col("total") / F.col("n")).alias("mean_product"),
         )
     )
@@ -163,7 +164,7 @@ def fit(
     centre = {c: first[c] for c in columns}
     full = np.empty((len(columns) + 1, len(columns) + 1))
     for line in ols_moments(rows, columns, centre).collect():
-        full[line["i"]] = line[1:]
+        full[line["i"]] = line[1:-1]
     # What the rounding of the means left over.
     full = full[1:, 1:] - np.outer(full[0, 1:], full[0, 1:]) / full[0, 0]
     k = len(features)

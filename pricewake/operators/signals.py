@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewake.functions.text import egp, percent, signed_percent, title_case
+from pricewake.functions.text import egp, percent, signed_egp, signed_percent, title_case
 from pricewake.schema import KEY
 
 # Decision thresholds.
@@ -171,4 +171,5 @@ def compare_products(summary: DataFrame) -> DataFrame:
         egp(F.col("last_price")).alias("current_text"),
         egp(F.col("forecast_price")).alias("forecast_text"),
         signed_percent(F.col("change_pct")).alias("change_text"),
+        signed_egp(F.col("change")).alias("amount_text"),
     )

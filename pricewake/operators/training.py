@@ -14,6 +14,7 @@ from pricewake.operators.features import (
     whole_series,
 )
 from pricewake.schema import KEY
+from pricewake.sources.stored import store
 
 # Fixed values of the training recipe.
 MIN_OBS = 10
@@ -26,6 +27,8 @@ ROW = "row_in_product"
 
 # Ranges the product keys are cut into to find a row position without one global sort.
 _FENCES = 255
+# Keys that are accumulated in one task once a range holds no more.
+_FEW_KEYS = 10_000
 
 
 def eligible_products(daily: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
@@ -33,16 +36,6 @@ def eligible_products(daily: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
     return daily.groupBy(*KEY).agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
 
 
-def price_quantiles(
-    daily: DataFrame, low: float = LOW_QUANTILE, high: float = HIGH_QUANTILE
-) -> DataFrame:
-    """Exact interpolated price quantiles per product."""
-    band = F.percentile("price", [low, high])
-    return daily.groupBy(*KEY).agg(band.alias("band")).select(
-        *KEY, F.col("band")[0].alias("q_low"), F.col("band")[1].alias("q_high")
-    )
-
-
 def _interpolated(q: float, rank: Column, n: Column, counted: Column, all_rows) -> Column:
     """Linear quantile from the ranked prices, anchored at the nearer neighbour.
 
@@ -83,16 +76,24 @@ def _with_inside(rows: DataFrame, low: float, high: float, counted: Column) -> D
     )
     # Without counted rows there is no band and nothing lies inside.
     inside = F.coalesce(F.col("price").between(F.col("q_low"), F.col("q_high")), F.lit(False))
-    return banded.withColumn("inside", inside).drop(
-        "is_counted", "price_rank", "n_counted", "q_low", "q_high"
-    )
+    return banded.withColumn("inside", inside).drop("is_counted", "price_rank", "n_counted")
 
 
 def trim_outliers(
     daily: DataFrame, low: float = LOW_QUANTILE, high: float = HIGH_QUANTILE
 ) -> DataFrame:
     """Rows inside their own product's quantile band, bounds included."""
-    return _with_inside(daily, low, high, F.lit(True)).where("inside").drop("inside")
+    return _with_inside(daily, low, high, F.lit(True)).where("inside").drop(
+        "inside", "q_low", "q_high"
+    )
+
+
+def price_quantiles(
+    daily: DataFrame, low: float = LOW_QUANTILE, high: float = HIGH_QUANTILE
+) -> DataFrame:
+    """The band of ``trim_outliers`` per product: its own interpolated quantiles."""
+    banded = _with_inside(daily, low, high, F.lit(True))
+    return banded.groupBy(*KEY).agg(F.max("q_low").alias("q_low"), F.max("q_high").alias("q_high"))
 
 
 def train_rows(n: Column, test_size: float = TEST_SIZE) -> Column:
@@ -107,14 +108,9 @@ def per_product_split(daily: DataFrame, test_size: float = TEST_SIZE) -> DataFra
     return daily.withColumn("is_train", row <= train_rows(n, test_size))
 
 
-def _cut_point(counts: DataFrame, test_size: float) -> tuple[str, str, int] | None:
-    """The product the global split runs through, and its rows before the cut.
-
-    ``counts`` holds one row per product. Its keys are cut into ranges at a
-    sample of themselves; the driver sees one total per range, and only the
-    range the cut falls in is accumulated key by key.
-    """
-    # The keys of least hash: an even sample that depends on the data alone.
+def _in_ranges(counts: DataFrame) -> DataFrame | None:
+    """Adds ``range``, its keys being cut at an even sample of themselves; None without any."""
+    # The keys of least hash: a sample that depends on the data alone.
     sample = counts.orderBy(F.xxhash64(*KEY), *KEY).limit(_FENCES).select(*KEY).collect()
     if not sample:
         return None
@@ -123,24 +119,45 @@ def _cut_point(counts: DataFrame, test_size: float) -> tuple[str, str, int] | No
         [(sorted(map(tuple, sample)),)], f"fences array<struct<{parts}>>"
     ).scalar()
     key = F.struct(*KEY)
-    ranged = (
+    return (
         counts.withColumn("fences", fences)
         .withColumn("range", F.size(F.filter("fences", lambda f: f <= key)))
         .drop("fences")
     )
-    totals = sorted(ranged.groupBy("range").agg(F.sum("n_rows")).collect())
-    cut = int(sum(n for _, n in totals) * (1.0 - test_size))
-    before = 0
-    for hit, n in totals:
-        if before + n > cut:
+
+
+def _cut_point(
+    counts: DataFrame, test_size: float, few: int = _FEW_KEYS
+) -> tuple[str, str, int] | None:
+    """The product the global split runs through, and its rows before the cut.
+
+    ``counts`` holds one row per product. Its keys are cut into ranges, of which
+    the driver sees one total each; the range the cut falls in is cut again until
+    it holds ``few`` keys, which are then accumulated one by one.
+    """
+    left, before, cut = counts, 0, None
+    while True:
+        ranged = _in_ranges(left)
+        if ranged is None:
+            return None
+        totals = sorted(
+            ranged.groupBy("range").agg(F.sum("n_rows"), F.count("*")).collect()
+        )
+        if cut is None:
+            cut = int(sum(n for _, n, _ in totals) * (1.0 - test_size))
+        for hit, n, n_keys in totals:
+            if before + n > cut:
+                break
+            before += n
+        left = ranged.where(F.col("range") == hit).drop("range")
+        if n_keys <= few:
             break
-        before += n
     through = F.sum("n_rows").over(
-        Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(F.lit(0)).orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
     )
-    placed = ranged.where(F.col("range") == hit).withColumn("through", F.lit(before) + through)
     first = (
-        placed.where(F.col("through") > cut)
+        left.withColumn("through", F.lit(before) + through)
+        .where(F.col("through") > cut)
         .orderBy("through")
         .select(*KEY, (F.lit(cut) - F.col("through") + F.col("n_rows")).alias("head"))
         .first()
@@ -205,9 +222,15 @@ def tablet_training_rows(daily: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
 
 
 def tablet_training_set(
-    daily: DataFrame, min_obs: int = MIN_OBS, test_size: float = TEST_SIZE
+    daily: DataFrame, folder: str, min_obs: int = MIN_OBS, test_size: float = TEST_SIZE
 ) -> DataFrame:
-    return global_split(tablet_training_rows(daily, min_obs), test_size)
+    """Training rows with their split.
+
+    Finding the cut and the split itself both read the rows, so they are
+    computed once and stored in ``folder``, on shared storage; the result reads
+    them from there.
+    """
+    return global_split(store(tablet_training_rows(daily, min_obs), folder), test_size)
 
 
 def mobile_gate(
@@ -235,7 +258,7 @@ def mobile_gate(
         & (train_rows(rows_with_target, test_size) >= 1)
         & (train_rows(rows_with_target, test_size) < rows_with_target)
     )
-    return banded.withColumn("gate_open", gate).drop("in_head", "inside")
+    return banded.withColumn("gate_open", gate).drop("in_head", "inside", "q_low", "q_high")
 
 
 def mobile_training_set(
@@ -277,3 +300,23 @@ def training_report(daily: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
         F.sum(head).alias("n_train_rows"),
         F.sum(rows - head).alias("n_test_rows"),
     )
+
+
+def tablet_report(
+    daily: DataFrame, min_obs: int = MIN_OBS, test_size: float = TEST_SIZE
+) -> DataFrame:
+    """The same counts for the tablet recipe: eligible by trimmed rows, one cut through all of them."""
+    trimmed = _with_inside(daily, LOW_QUANTILE, HIGH_QUANTILE, F.lit(True))
+    per_product = trimmed.groupBy(*KEY).agg(
+        F.count("*").alias("n_days"), F.count_if("inside").alias("n_kept")
+    )
+    eligible = F.col("n_kept") >= min_obs
+    rows = F.coalesce(F.sum(F.when(eligible, F.col("n_kept"))), F.lit(0))
+    return per_product.agg(
+        F.sum("n_days").alias("n_daily_rows"),
+        F.count("*").alias("n_products"),
+        F.count_if(eligible).alias("n_eligible"),
+        F.count_if(~eligible).alias("n_skipped"),
+        train_rows(rows, test_size).alias("n_train_rows"),
+        (rows - train_rows(rows, test_size)).alias("n_test_rows"),
+    )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pricewake.operators import catalog, movers
-from pricewake.operators.features import TABLET, add_features
+from pricewake.operators.features import PROFILES, add_features
 from pricewake.operators.forecast import chart_series, forecast_bands, recursive_forecast
 from pricewake.operators.ingest import fold_products
 from pricewake.operators.model import LinearModel
@@ -45,10 +46,13 @@ def forecast_page(
 ) -> ForecastPage:
     """Everything the forecast page shows, for every product of the model's category."""
     folded = fold_products(products, prices, model.category)
-    results = recursive_forecast(daily, model)
+    own = daily.where(F.col("category") == model.category)
+    results = recursive_forecast(own, model)
+    anchor = F.lit(model.anchor) if model.anchor else None
+    featured = add_features(own, PROFILES[model.category], anchor)
     return ForecastPage(
         with_signal_text(product_summary(catalog.catalogue(folded), results)),
         forecast_bands(results),
-        chart_series(add_features(daily, TABLET), results),
+        chart_series(featured, results),
         catalog.latest_url(folded),
     )

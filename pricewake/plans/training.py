@@ -13,10 +13,10 @@ from pricewake.operators import training
 from pricewake.operators.daily import daily_prices
 from pricewake.operators.features import MOBILE, TABLET, Profile
 from pricewake.operators.forecast import score
-from pricewake.operators.ingest import clean_prices, tracked_products
 from pricewake.operators.metrics import mae_gap, regression_metrics
 from pricewake.operators.model import LinearModel, fit
 from pricewake.operators.training import MIN_OBS, TEST_SIZE
+from pricewake.schema import resolve_category
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,7 @@ class Trained:
     model: LinearModel
     # Training rows, persisted; the two reports below read them.
     rows: DataFrame
+    scored: DataFrame
     metrics: DataFrame
     gap: DataFrame
 
@@ -33,34 +34,31 @@ class Trained:
         return self.model
 
 
-def first_day(products: DataFrame, prices: DataFrame, category: str) -> DataFrame:
-    """First observed day of a category, straight from the cleaned rows.
-
-    The same day as the daily series' first, without building the series.
-    """
-    listed = tracked_products(products, category).where(F.col("product_key").isNotNull())
-    return clean_prices(prices).join(
-        listed.select("product_id"), "product_id", "left_semi"
-    ).agg(F.min("date").alias("anchor"))
-
-
 def _kept(rows: DataFrame) -> DataFrame:
     # Read by several aggregations. Spills to executor disk, and a lost
     # executor's share is recomputed from the lineage.
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _finish(kept: DataFrame, split: DataFrame, profile: Profile, anchor=None) -> Trained:
-    model = fit(split.where("is_train"), profile.features, profile.category, anchor=anchor)
-    scored = score(split, model)
-    return Trained(model, kept, regression_metrics(scored, ["is_train"]), mae_gap(scored))
+def _finish(kept: DataFrame, split, profile: Profile, anchor=None) -> Trained:
+    """Fit on ``split(kept)``; the kept rows are given back if that fails."""
+    try:
+        parts = split(kept)
+        model = fit(parts.where("is_train"), profile.features, profile.category, anchor=anchor)
+    except Exception:
+        kept.unpersist()
+        raise
+    scored = score(parts, model)
+    return Trained(
+        model, kept, scored, regression_metrics(scored, ["category", "is_train"]), mae_gap(scored)
+    )
 
 
 def train_tablet(
     daily: DataFrame, min_obs: int = MIN_OBS, test_size: float = TEST_SIZE
 ) -> Trained:
     rows = _kept(training.tablet_training_rows(daily, min_obs))
-    return _finish(rows, training.global_split(rows, test_size), TABLET)
+    return _finish(rows, lambda kept: training.global_split(kept, test_size), TABLET)
 
 
 def train_mobile(
@@ -72,17 +70,25 @@ def train_mobile(
     if anchor_day is None:
         anchor_day = daily.agg(F.min("date")).first()[0]
     rows = _kept(training.mobile_training_set(daily, min_obs, test_size, F.lit(anchor_day)))
-    return _finish(rows, rows, MOBILE, anchor_day)
+    return _finish(rows, lambda kept: kept, MOBILE, anchor_day)
 
 
 def train(products: DataFrame, prices: DataFrame, category: str, **options) -> Trained:
-    """Train the model of one category from the input tables."""
-    daily = daily_prices(products, prices, category)
-    if category == "tablet":
-        return train_tablet(daily, **options)
-    if category == "mobile":
-        anchor_day = first_day(products, prices, category).first()[0]
-        if anchor_day is None:
-            raise ValueError("no mobile observations to train on")
-        return train_mobile(daily, anchor_day, **options)
-    raise ValueError(f"no model for category {category!r}")
+    """Train the model of one category, named by any label, from the input tables."""
+    return train_daily(daily_prices(products, prices, category), category, **options)
+
+
+def train_daily(daily: DataFrame, category: str, **options) -> Trained:
+    """Train the model of one category from its daily series, best a stored one.
+
+    The series is read once for the training rows and, by the mobile recipe, once
+    more for its first day.
+    """
+    category = resolve_category(category)
+    own = daily.where(F.col("category") == category)
+    if category == TABLET.category:
+        return train_tablet(own, **options)
+    anchor_day = own.agg(F.min("date")).first()[0]
+    if anchor_day is None:
+        raise ValueError(f"no {category} observations to train on")
+    return train_mobile(own, anchor_day, **options)

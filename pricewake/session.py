@@ -20,13 +20,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
+def local_session(
+    cores: str = "*", partitions: int = 8, memory: str = "8g", **conf: str
+) -> SparkSession:
     """Local session for tests and benchmarks; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pricewake")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for name, value in conf.items():

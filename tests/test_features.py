@@ -1,9 +1,9 @@
 from __future__ import annotations
 
-import datetime
+import statistics
+from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,16 +59,24 @@ def test_features_use_one_sort_and_no_python(spark):
     assert "Python" not in plan and "SinglePartition" not in plan
 
 
-def _pandas_features(prices: list[float], dates: list[datetime.date]) -> pd.DataFrame:
-    p = pd.Series(prices)
-    out = pd.DataFrame({"date": dates, "price": p})
-    out["rolling_avg_3"] = p.rolling(3, min_periods=1).mean()
-    out["rolling_avg_7"] = p.rolling(7, min_periods=1).mean()
-    out["rolling_std_3"] = p.rolling(3, min_periods=1).std().fillna(0)
+def window_values(prices: list[float]) -> dict[str, list[float]]:
+    """Window features by their definition, from slices of the price list."""
+
+    def last(n: int, i: int) -> list[float]:
+        return prices[max(0, i - n + 1) : i + 1]
+
+    def back(k: int, i: int) -> float | None:
+        return prices[i - k] if i >= k else None
+
+    places = range(len(prices))
+    out = {f"rolling_avg_{n}": [statistics.fmean(last(n, i)) for i in places] for n in (3, 7)}
+    out["rolling_std_3"] = [statistics.stdev(last(3, i)) if i else 0.0 for i in places]
     for k in (1, 3, 7):
-        out[f"price_lag_{k}"] = p.shift(k).fillna(p.iloc[0])
+        out[f"price_lag_{k}"] = [prices[0] if back(k, i) is None else back(k, i) for i in places]
     for k in (1, 3):
-        out[f"pct_change_{k}"] = (p / p.shift(k) - 1).fillna(0)
+        out[f"pct_change_{k}"] = [
+            (prices[i] - back(k, i)) / back(k, i) if back(k, i) else 0.0 for i in places
+        ]
     return out
 
 
@@ -88,26 +96,29 @@ def _random_products(n: int, seed: int) -> dict[str, list[float]]:
     return products
 
 
-def test_features_against_pandas(spark):
+def test_features_equal_their_definition(spark):
     products = _random_products(20, 1)
     rows = [r for key, prices in products.items() for r in series(key, prices)]
-    found = features.add_features(daily_frame(spark, rows), features.TABLET).toPandas()
+    frame = features.add_features(daily_frame(spark, rows), features.TABLET).orderBy("date")
+    found: dict[str, list] = {}
+    for r in frame.collect():
+        found.setdefault(r["product_key"], []).append(r)
     for key, prices in products.items():
-        mine = found[found.product_key == key].sort_values("date").reset_index(drop=True)
-        theirs = _pandas_features(prices, list(mine["date"]))
-        for column in theirs.columns[1:]:
-            assert np.allclose(mine[column], theirs[column], atol=1e-6), (key, column)
+        for name, values in window_values(prices).items():
+            assert [r[name] for r in found[key]] == pytest.approx(values, abs=1e-6), (key, name)
 
 
-def test_trim_matches_pandas_to_the_last_bit(spark):
+def test_trim_keeps_what_lies_in_the_band_to_the_last_bit(spark):
     products = _random_products(120, 2)
     rows = [r for key, prices in products.items() for r in series(key, prices)]
     found = training.trim_outliers(daily_frame(spark, rows)).groupBy("product_key").count()
     counts = {r["product_key"]: r["count"] for r in found.collect()}
+    bands = {r["product_key"]: r for r in training.price_quantiles(daily_frame(spark, rows)).collect()}
     for key, prices in products.items():
-        p = pd.Series(prices)
-        kept = p[(p <= p.quantile(0.99)) & (p >= p.quantile(0.01))]
-        assert counts.get(key, 0) == len(kept), key
+        ordered = sorted(prices)
+        low, high = np.quantile(ordered, [0.01, 0.99])
+        assert (bands[key]["q_low"], bands[key]["q_high"]) == (low, high)
+        assert counts.get(key, 0) == bisect_right(ordered, high) - bisect_left(ordered, low), key
 
 
 def test_quantiles_of_one_to_ten(spark):
