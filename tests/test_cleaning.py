@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewake.functions import text
-from pricewake.operators import ingest
+from pricewake.operators import ingest, signals
 from pricewake.operators.daily import daily_prices
+from pricewake.plans import training as plans
 from pricewake.schema import resolve_category
 from tests.helpers import listing, prices_frame, products_frame
 
@@ -146,3 +147,48 @@ def test_title_case_and_number_text(spark):
     assert row["e"] == f"EGP {1234.5:,.0f}"
     assert row["p"] == f"{0.25:+.1f}%"
     assert row["m"] == f"{-0.4:+.1f}%"
+
+
+def test_percent_and_amount_texts(spark):
+    values = [999.95, 1234.56, -1234.56, -0.0, 0.0, -0.04, 0.25, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        text.percent(F.col("v")), text.signed_percent(F.col("v")), text.signed_egp(F.col("v")), text.egp(F.col("v"))
+    )
+    assert [tuple(r) for r in rows.collect()] == [
+        ("1000.0%", "+1000.0%", "+1,000 EGP", "EGP 1,000"),
+        ("1234.6%", "+1234.6%", "+1,235 EGP", "EGP 1,235"),
+        ("-1234.6%", "-1234.6%", "-1,235 EGP", "EGP -1,235"),
+        ("-0.0%", "-0.0%", "-0 EGP", "EGP -0"),
+        ("0.0%", "+0.0%", "+0 EGP", "EGP 0"),
+        ("-0.0%", "-0.0%", "-0 EGP", "EGP -0"),
+        ("0.2%", "+0.2%", "+0 EGP", "EGP 0"),
+        (None, None, None, None),
+    ]
+
+
+def test_signal_texts_are_the_stated_ones():
+    assert signals.TREND_TEXT["buy"] == ("💰 Buy Opportunity", "Price expected to drop")
+    assert signals.TREND_TEXT["wait"] == ("⏳ Wait Before Buying", "Price expected to rise")
+    assert signals.TREND_TEXT["neutral"] == ("📊 Stable Price", "Price expected to stay stable")
+    assert signals.SIGNAL_TEXT["volatile"] == ("⚠️", "CAUTION - HIGH PRICE VOLATILITY")
+    assert signals.SIGNAL_TEXT["buy"] == ("💰", "EXCELLENT BUYING OPPORTUNITY")
+    assert signals.SIGNAL_TEXT["wait"] == ("⏳", "NOT RECOMMENDED - PRICE RISING")
+    assert signals.SIGNAL_TEXT["hold"] == ("📊", "STABLE PRICING - BUY ANYTIME")
+
+
+def test_every_loader_resolves_or_refuses_a_category(spark):
+    products = products_frame(spark, [listing(1), listing(2, category="mobile")])
+    prices = prices_frame(spark, [(1, 1, "10", "2024-01-01T10:00:00"), (2, 2, "10", "2024-01-01T10:00:00")])
+    loaders = [
+        lambda c: ingest.active_products(products, c),
+        lambda c: ingest.semi_join_prices(products, prices, c),
+        lambda c: ingest.load_observations(products, prices, c),
+        lambda c: ingest.fold_products(products, prices, c),
+        lambda c: daily_prices(products, prices, c),
+    ]
+    for load in loaders:
+        assert load("tablets").count() == load("Mobile Phones").count() == 1
+        with pytest.raises(ValueError):
+            load("laptops")
+    with pytest.raises(ValueError):
+        plans.train(products, prices, "laptops")
