@@ -90,7 +90,10 @@ class Tables:
     def stored(self, category: str) -> DataFrame:
         """Daily series of a category, computed once for what reads it more than once."""
         if category not in self._stored:
-            self._stored[category] = store(self.daily(category), self.folder("daily"))
+            # Without the texts, which nothing that reads this needs.
+            columns = [*training.KEY, "date", "price", "ram_gb", "storage_gb"]
+            daily = self.daily(category).select(*columns)
+            self._stored[category] = store(daily, self.folder("daily"))
         return self._stored[category]
 
     def folder(self, name: str) -> str:
