@@ -73,7 +73,9 @@ def anchored_windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("words") - F.col("n_words")))
     placed = hits.select("doc", "words", "n_words", start.alias("start"))
     window = F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window")
-    return placed.select("doc", "start", "n_words", window).distinct()
+    windows = placed.select("doc", "start", "n_words", window)
+    # A place in one text need not exist in another of the same id.
+    return windows.where(F.size("window") >= SHINGLE).distinct()
 
 
 def _lanes(bits: Column) -> Column:
