@@ -191,7 +191,7 @@ def token_counts(
                 ["n_words", "n_tokens", "n_unknown"],
             )
 
-    counts = F.arrow_udf(count, "n_words long, n_tokens long, n_unknown long", F.ArrowUDFType.SCALAR_ITER)
+    counts = F.arrow_udf(count, "n_words long, n_tokens long, n_unknown long")
     names = ["n_words", "n_tokens", "n_unknown"]
     kept = [c for c in docs.columns if c not in names]
     rows = docs.withColumn("__counts", counts(text_of(text)))
