@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma-separated names, default the headline set).
+BENCH_QUERIES (comma-separated names, default the headline set), BENCH_MEMORY (default 16g).
 Every query is run once to warm up, then timed; the whole result is produced.
 """
 
@@ -42,7 +42,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    spark = local_session(cpus, int(cpus))
+    spark = local_session(cpus, int(cpus), memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("OFF")
     seconds = {}
     for name in names:
