@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pricewake-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
@@ -68,20 +71,32 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return l.join(r, [key, guard], how).drop(guard)
 
 
-def with_blocks(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:
+# So many hot keys, some 30 MB, are broadcast; more are joined by shuffle.
+HOT_KEYS = 1_000_000
+
+
+def with_blocks(
+    rows: DataFrame, key: str, member: str, size: int, counted: DataFrame | None = None
+) -> DataFrame:
     """Rows of each key in blocks, so that every two members of a key meet once.
 
     Adds ``block_a <= block_b`` and ``side``: a key of up to ``size`` rows is
     one block (0, 0). A larger one is cut into blocks of about that size by the
-    hash of ``member``, the same in every run and retry; each row appears once for every pair of blocks that contains its own, and
-    ``side`` says which of the two it is (0 or 1; 0 in a block's own pair).
-    No task holds more than two blocks of a key, and no pair is written out.
+    hash of ``member``, the same in every run and retry; each row appears once
+    for every pair of blocks that contains its own, and ``side`` says which of
+    the two it is (0 or 1; 0 in a block's own pair). No task holds more than two
+    blocks of a key, and no pair is written out.
+
+    ``counted`` may give the keys of the rows from a smaller frame. The keys
+    over ``size`` are few; counting them first spares a shuffle of all rows.
     """
-    hot = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > size)
-        .select(key, F.ceil(F.col("__n") / size).cast("int").alias("__g"))
-    )
-    dealt = join_split(rows, hot, key, "left").withColumn("__g", F.coalesce("__g", F.lit(1)))
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = cut(counts.where(F.col("__n") > size).select(key, F.ceil(F.col("__n") / size).cast("int").alias("__g")))
+    if hot.count() <= HOT_KEYS:
+        dealt = rows.join(F.broadcast(hot), key, "left")
+    else:
+        dealt = join_split(rows, hot, key, "left")
+    dealt = dealt.withColumn("__g", F.coalesce("__g", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(7), member), F.col("__g")).cast("int")
     dealt = dealt.withColumn("__own", F.when(F.col("__g") > 1, own).otherwise(0))
     other = F.explode(F.sequence(F.lit(0), F.col("__g") - 1)).alias("__other")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import prepare_python, crc_remainder, table, text_of
+from pricewake.llm.common import crc_remainder, prepare_python, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 UNKNOWN = "und"

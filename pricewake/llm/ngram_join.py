@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewake.llm.common import (
-    prepare_python,
     cut,
     fixed_width,
     join_split,
     local_roots,
+    prepare_python,
     table,
     text_of,
     whole_groups,
@@ -251,7 +251,7 @@ def _ties(banded: DataFrame, classes: DataFrame, setting: JoinSetting) -> DataFr
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(tied)), keys.take(pa.array(root[tied]))], ["a", "b"])
 
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    candidates = join_split(banded, shared, "band")
+    candidates = cut(join_split(banded, shared, "band"))
     dealt = with_blocks(candidates, "band", "key", setting.bucket_block)
     valued = join_split(dealt, classes.select("key", "values"), "key")
     keys = ["band", "block_a", "block_b"]
@@ -285,8 +285,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 409
     return result
 
 
-def _verified(texts: DataFrame, setting: JoinSetting) -> DataFrame:
-    """(key, links, low) for classes with a link, from (cluster, key, copies, text)."""
+def _verified(texts: DataFrame, clusters: DataFrame, setting: JoinSetting) -> DataFrame:
+    """(key, links, low) for classes with a link, from (cluster, key, copies, text); ``clusters`` has its keys alone."""
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ["cluster", "block_a", "block_b"]):
@@ -332,7 +332,7 @@ def _verified(texts: DataFrame, setting: JoinSetting) -> DataFrame:
             ["key", "links", "low"],
         )
 
-    dealt = with_blocks(texts, "cluster", "key", setting.cluster_block)
+    dealt = with_blocks(texts, "cluster", "key", setting.cluster_block, clusters)
     keys = ["cluster", "block_a", "block_b"]
     columns = [*keys, "side", "key", "copies", "text"]
     together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "key")
@@ -369,7 +369,7 @@ def near_duplicates(
         texts = source.join(F.broadcast(wanted), "least")
     else:
         texts = source.join(wanted, "least")
-    found = cut(_verified(texts, setting))
+    found = cut(_verified(texts, wanted, setting))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     components = connected_components(found, "key", "low").withColumnRenamed("node", "key")
     placed = classes.select("key", "copies", "least").join(components, "key", "left")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import prepare_python, crc_remainder, fit_logistic, table, text_of
+from pricewake.llm.common import crc_remainder, fit_logistic, prepare_python, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 # Character classes: 0 other signs, 1 lower or uncased letter, 2 upper, 3 digit, 4 space, 5 common punctuation.

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import bounded_batches, new_folder, table, text_of
-from pricewake.llm.tokens import encoder, public_tokenizer, read_tokenizer
+from pricewake.llm.common import new_folder, prepare_python, table, text_of
+from pricewake.llm.tokens import encoder, forget_encoders, public_tokenizer, read_tokenizer
 
 MAGIC = b"TOKBLK01"
 NULL_ID = -(1 << 63)
@@ -44,15 +44,25 @@ FILE_IDS = 24 << 20
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
-    filled = np.zeros(-(-len(values) // 4) * 4, "<u4")
-    filled[: len(values)] = values
-    extra = (filled > 0xFF).astype(np.uint8) + (filled > 0xFFFF) + (filled > 0xFFFFFF)
+def encode_values(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of unsigned 32-bit values, for each document of ``counts`` values."""
+    counts = np.array([len(values)]) if counts is None else counts
+    filled = -(-counts // 4) * 4
+    ends = np.cumsum(filled)
+    every = np.zeros(int(filled.sum()), "<u4")
+    every[np.arange(len(values)) + np.repeat(ends - filled - (np.cumsum(counts) - counts), counts)] = values
+    extra = (every > 0xFF).astype(np.uint8) + (every > 0xFFFF) + (every > 0xFFFFFF)
     codes = extra.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes()
     used = np.arange(4) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), filled.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    data = every.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    sizes = np.cumsum(np.r_[0, extra.astype(np.int64) + 1])
+    place = np.r_[0, ends].tolist()
+    cuts = sizes[place].tolist()
+    return (
+        [control[a // 4 : b // 4] for a, b in zip(place, place[1:])],
+        [data[a:b] for a, b in zip(cuts, cuts[1:])],
+    )
 
 
 def decode_values(control: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -116,7 +126,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id:
                 ["doc_id", "n", "ids"],
             )
 
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("__text"))
     return named.mapInArrow(tokenize, "doc_id long, n long, ids binary")
 
@@ -129,6 +139,7 @@ def _frequencies(tokens: DataFrame) -> DataFrame:
     """(id, count) over all documents, counted in each task before it is summed."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         total = np.zeros(0, np.int64)
         for given in batches:
             arrays = [_unpack(x, n) for x, n in zip(given.column(1).to_pylist(), given.column(0).to_pylist())]
@@ -176,20 +187,26 @@ def write_token_files(
     n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS))
     bounds = tokens.approxQuantile("doc_id", [i / n_files for i in range(1, n_files)], 0.1 / n_files) if total else []
     bounds = sorted({int(b) for b in bounds})
-    # Number of bounds at or below the id; an id decides its file, so ranges never overlap.
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(limits, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).alias("bucket")
+    limits = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    def bucket_of(ids: pa.Array) -> pa.Array:
+        """Number of bounds at or below the id, 0 for a null one: an id decides its file, so ranges never overlap."""
+        found = np.searchsorted(limits.value, ids.fill_null(NULL_ID).to_numpy(), side="right")
+        return pa.array(found, pa.int32())
 
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            coded = []
-            for raw, n in zip(given.column(3).to_pylist(), given.column(2).to_pylist()):
-                coded.append(encode_values(ranks.value[_unpack(raw, n)]))
-            yield pa.RecordBatch.from_arrays(
-                [*given.columns[:3], pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                ["bucket", "doc_id", "n", "control", "data"],
-            )
+            n = given.column(1).to_numpy()
+            raw = given.column(2).to_pylist()
+            buckets = bucket_of(given.column(0))
+            for low in range(0, len(raw), 64):
+                some = slice(low, low + 64)
+                values = np.concatenate([_unpack(x, k) for x, k in zip(raw[some], n[some].tolist())])
+                controls, datas = encode_values(ranks.value[values], n[some])
+                yield pa.RecordBatch.from_arrays(
+                    [buckets.slice(low, 64), *given.slice(low, 64).columns[:2], pa.array(controls, pa.binary()), pa.array(datas, pa.binary())],
+                    ["bucket", "doc_id", "n", "control", "data"],
+                )
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -209,7 +226,16 @@ def write_token_files(
         if held:
             yield done()
 
-    coded = tokens.select(bucket, "doc_id", "n", "ids").mapInArrow(
+    def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            buckets = bucket_of(given.column(0)).to_numpy()
+            found, place = np.unique(buckets, return_inverse=True)
+            ids = np.bincount(place, given.column(1).to_numpy(), len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(np.bincount(place, minlength=len(found))), pa.array(ids)], ["bucket", "docs", "ids"]
+            )
+
+    coded = tokens.select("doc_id", "n", "ids").mapInArrow(
         compress, "bucket int, doc_id long, n long, control binary, data binary"
     )
     in_order = coded.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
@@ -217,7 +243,8 @@ def write_token_files(
     # A cast to text keeps the bytes; the writer ends each block with a line end.
     lines.select("bucket", F.col("block").cast("string").alias("value")).write.partitionBy("bucket").text(f"{path}/files")
 
-    held = tokens.groupBy(bucket).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_ids"))
+    held = tokens.select("doc_id", "n").mapInArrow(totals, "bucket int, docs long, ids long").groupBy("bucket")
+    held = held.agg(F.sum("docs").alias("n_docs"), F.sum("ids").alias("n_ids"))
     _starts(held, "bucket", "n_ids").coalesce(1).write.parquet(f"{path}/manifest")
 
 
@@ -270,7 +297,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     if not by_rank:
         rows = spark.createDataFrame([], schema)
     else:
-        bounded_batches(spark)
+        prepare_python(spark)
         files = spark.read.format("binaryFile").load(f"{path}/files")
         rows = files.select(F.col("bucket").cast("int"), "content").mapInArrow(decode, schema)
     starts = spark.read.parquet(f"{path}/manifest").select(F.col("bucket").cast("int"), F.col("start").alias("__start"))

@@ -138,6 +138,8 @@ class TokenIds:
     def _split(self, text: str) -> tuple[str, list[str], bool]:
         """The first word, which no space precedes, and the others."""
         if self.drops_space:
+            if self.lower and _is_latin(text):
+                text = text.lower()
             return "", text.replace("\n", " ").split(" "), False
         regular = is_regular(text)
         if regular:
@@ -150,6 +152,15 @@ class TokenIds:
         return [b"".join(p) for p in self.parts(texts)]
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are Latin-1, whose lower case is one Latin-1 character that composition leaves alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def is_regular(text: str) -> bool:
     """Whether white space is single spaces and line ends between words."""
     return not (_TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace() or "\r" in text)
@@ -167,7 +178,7 @@ def sentence_ends(text: str, parts: list[bytes]) -> np.ndarray:
 _encoders: dict[bytes, TokenIds] = {}
 
 
-def encoder(content: str, kept: int = 800_000) -> TokenIds:
+def encoder(content: str, kept: int = 500_000) -> TokenIds:
     """The worker's encoder of this tokenizer, made once."""
     key = hashlib.blake2b(content.encode()).digest()
     if key not in _encoders:
@@ -176,6 +187,11 @@ def encoder(content: str, kept: int = 800_000) -> TokenIds:
     return _encoders[key]
 
 
+def forget_encoders() -> None:
+    """Give the memory of a worker's encoders back once a later step runs in it."""
+    _encoders.clear()
+
+
 def read_tokenizer(path: str) -> str:
     """Content of a tokenizer file; of fixed size, so it may go with the tasks."""
     with open(path, encoding="utf-8") as file:

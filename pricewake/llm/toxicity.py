@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import prepare_python, crc_remainder, fit_logistic, table, text_of
+from pricewake.llm.common import crc_remainder, fit_logistic, prepare_python, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
