@@ -84,11 +84,11 @@ class Tables:
         return daily_prices(self.products, self.prices, category)
 
     @cached_property
-    def _stored(self) -> dict[str, DataFrame]:
+    def _stored(self) -> dict[str | None, DataFrame]:
         return {}
 
-    def stored(self, category: str) -> DataFrame:
-        """Daily series of a category, computed once for what reads it more than once."""
+    def stored(self, category: str | None = None) -> DataFrame:
+        """Daily series of one or all categories, computed once for what reads it more than once."""
         if category not in self._stored:
             # Without the texts, which nothing that reads this needs.
             columns = [*training.KEY, "date", "price", "ram_gb", "storage_gb"]
@@ -346,7 +346,7 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         shape(**_DAY, is_train="="),
     ),
     "global_split": (
-        lambda t: training.global_split(t.daily()),
+        lambda t: training.global_split(t.stored()),
         shape(**_DAY, is_train="="),
     ),
     "tablet_training_set": (
