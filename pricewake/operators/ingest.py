@@ -103,53 +103,54 @@ def load_observations(
     )
 
 
+# Days that a stored date may be off its timestamp with the order still exact.
+DAYS_OFF = 10
+_DAY_MICROS = 86_400_000_000
+
+
 def observed_at() -> Column:
-    """Place of an observation within its day, by time and then id, as one fixed-width number.
+    """Place of an observation in (date, timestamp, obs_id) order as one fixed-width number.
 
-    Microseconds in the high digits, the id below them; a missing id comes first.
-    Whatever the sign of either, the numbers sort like (timestamp, obs_id).
+    From the high digits down: the day, how many days the timestamp is off it, the
+    time of day, the id; a missing id comes first. Of observations whose timestamp
+    is more than ``DAYS_OFF`` days off their stored date, only the time of day
+    counts within that date. Fits 38 digits for any id and the years 1 to 9999.
     """
-    micros = F.unix_micros("timestamp").cast("decimal(19,0)")
+    micros = F.unix_micros("timestamp")
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long")
+    own_day = F.floor(micros / _DAY_MICROS)
+    off = F.greatest(F.least(own_day - day, F.lit(DAYS_OFF)), F.lit(-DAYS_OFF)) + DAYS_OFF
+    time = (day * (2 * DAYS_OFF + 1) + off) * _DAY_MICROS + F.pmod(micros, F.lit(_DAY_MICROS))
     # More than there are ids, so that time always decides first.
-    span = F.lit(Decimal(20_000_000_000_000_000_000)).cast("decimal(20,0)")
+    ids = F.lit(Decimal(2**64 + 1)).cast("decimal(20,0)")
     lowest = F.lit(Decimal(2**63 + 1)).cast("decimal(20,0)")
     number = F.coalesce(F.col("obs_id").cast("decimal(20,0)") + lowest, F.lit(Decimal(0)))
-    return (micros * span + number).cast("decimal(38,0)")
+    return (time.cast("decimal(19,0)") * ids + number).cast("decimal(38,0)")
 
 
 def fold_listings(observations: DataFrame) -> DataFrame:
     """Observations of ``clean_prices`` folded to one row per listing.
 
     Carries what the per-product reports need: row and price counts, the first
-    and last price in (date, timestamp, obs_id) order, and where they lie.
-
-    Folded per listing and day, then per listing, so that the day, which may
-    differ from the timestamp's, leads the order. All buffers are fixed width:
-    both steps are hash aggregates and no raw row is sorted. Ids tell the
-    observations of one time apart; equal ids at one time leave it open which
-    price is taken.
+    and last price in the order of ``observed_at``, and where they lie. All
+    buffers are fixed width, so both phases are hash aggregates: no raw row is
+    sorted, and a busy listing leaves each map task as one row. Equal ids at one
+    time leave it open which price is taken.
     """
-    at = observed_at()
-    days = observations.groupBy("product_id", "date").agg(
+    placed = observations.select("product_id", "price", observed_at().alias("at"))
+    folded = placed.groupBy("product_id").agg(
         F.count("*").alias("n_rows"),
         F.count("price").alias("n_prices"),
-        F.min(at).alias("first_at"),
-        F.max(at).alias("last_at"),
-        F.min_by("price", at).alias("first_price"),
-        F.max_by("price", at).alias("last_price"),
-    )
-    folded = days.groupBy("product_id").agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.sum("n_prices").alias("n_prices"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-        *[F.min_by(f"first_{x}", "date").alias(f"first_{x}") for x in ("at", "price")],
-        *[F.max_by(f"last_{x}", "date").alias(f"last_{x}") for x in ("at", "price")],
+        F.min("at").alias("first_at"),
+        F.max("at").alias("last_at"),
+        F.min_by("price", "at").alias("first_price"),
+        F.max_by("price", "at").alias("last_price"),
     )
 
     def observed(end: str) -> Column:
-        place = F.struct(F.col(f"{end}_date").alias("date"), F.col(f"{end}_at").alias("at"))
-        return F.struct(place.alias("at"), F.col(f"{end}_price").alias("price")).alias(f"{end}_obs")
+        return F.struct(
+            F.col(f"{end}_at").alias("at"), F.col(f"{end}_price").alias("price")
+        ).alias(f"{end}_obs")
 
     return folded.select("product_id", "n_rows", "n_prices", observed("first"), observed("last"))
 

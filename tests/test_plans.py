@@ -47,7 +47,7 @@ def test_folding_raw_prices_sorts_nothing(spark, tmp_path):
 )
 def test_reports_sort_no_raw_row(tables, report):
     lines = planned(report(tables.folded)).splitlines()
-    # Plans print from the result down: below the fold by day nothing is sorted.
+    # Plans print from the result down: below the fold of the prices nothing is sorted.
     fold = max(i for i, line in enumerate(lines) if "Aggregate(keys=[product_id" in line)
     assert not any("Sort" in line for line in lines[fold:])
 
@@ -64,22 +64,47 @@ def ends_by_sorting(rows):
     }
 
 
+def folded_ends(spark, rows):
+    frame = spark.createDataFrame(rows, "obs_id long, product_id long, price double, t string, d string")
+    typed = frame.repartition(3).select(
+        "obs_id", "product_id", "price",
+        F.to_timestamp("t").alias("timestamp"), F.to_date("d").alias("date"),
+    )
+    found = ingest.fold_listings(typed).select(
+        "product_id", "first_obs.price", F.col("last_obs.price").alias("last"), "n_rows"
+    )
+    return {r["product_id"]: (r["price"], r["last"], r["n_rows"]) for r in found.collect()}
+
+
+IDS = [None, 0, -1, -(2**63), 2**63 - 1, 5, 6, 7, 8, 9]
+AGES = [
+    # Times before 1970, in one microsecond, and days around them up to ten off.
+    (["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "1970-01-02 03:00:00"], ["1969-12-31", "1970-01-01", "1970-01-11", "1969-12-23"]),
+    (["2024-03-01 10:00:00", "2024-03-01 10:00:00.000001", "2024-02-29 23:00:00"], ["2024-03-01", "2024-02-29", "2024-03-02"]),
+    (["0001-01-01 00:00:00", "0001-01-02 05:00:00"], ["0001-01-01", "0001-01-05"]),
+    (["9999-12-31 23:59:59", "9999-12-30 01:00:00"], ["9999-12-31", "9999-12-22"]),
+]
+
+
 def test_ends_of_a_fold_equal_a_sort(spark):
     rng = random.Random(7)
-    times = ["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-03-01 10:00:00", "2024-03-01 10:00:00.000001", "0001-01-01 00:00:00", "9999-12-31 23:59:59"]
-    days = ["1969-12-31", "2024-03-01", "2024-02-29", "2030-01-01"]
-    ids = [None, 0, -1, -(2**63), 2**63 - 1, 5, 6, 7, 8, 9]
     rows, used = [], set()
-    for _ in range(400):
-        row = (rng.choice(ids), rng.randrange(12), rng.choice([None, 1.0, 2.0, 3.5]), rng.choice(times), rng.choice(days))
+    for _ in range(500):
+        times, days = rng.choice(AGES)
+        row = (rng.choice(IDS), rng.randrange(40), rng.choice([None, 1.0, 2.0, 3.5]), rng.choice(times), rng.choice(days))
         if (row[0], *row[3:], row[1]) not in used:
             used.add((row[0], *row[3:], row[1]))
             rows.append(row)
-    frame = spark.createDataFrame(rows, "obs_id long, product_id long, price double, t string, d string").repartition(3)
-    typed = frame.select("obs_id", "product_id", "price", F.to_timestamp("t").alias("timestamp"), F.to_date("d").alias("date"))
-    found = ingest.fold_listings(typed).select("product_id", "first_obs.price", F.col("last_obs.price").alias("l"), "n_rows")
-    got = {r["product_id"]: (r["price"], r["l"], r["n_rows"]) for r in found.collect()}
-    assert got == ends_by_sorting(rows)
+    assert folded_ends(spark, rows) == ends_by_sorting(rows)
+
+
+def test_far_off_dates_still_lead_the_order(spark):
+    rows = [
+        (1, 1, 10.0, "2020-01-01 12:00:00", "2024-01-01"),
+        (2, 1, 20.0, "2030-01-01 13:00:00", "2023-12-31"),
+        (3, 1, 30.0, "2010-01-01 11:00:00", "2024-01-02"),
+    ]
+    assert folded_ends(spark, rows) == {1: (20.0, 30.0, 3)}
 
 
 def test_moments_run_the_windows_once(tables):
