@@ -17,48 +17,68 @@ from pricewake.operators.metrics import mae_gap, regression_metrics
 from pricewake.operators.model import LinearModel, fit
 from pricewake.operators.training import MIN_OBS, TEST_SIZE
 from pricewake.schema import resolve_category
+from pricewake.sources.stored import remove_folder, store
 
 
 @dataclass(frozen=True)
 class Trained:
     model: LinearModel
-    # Training rows, persisted; the two reports below read them.
+    # Training rows, persisted or stored in ``folder``; the reports below read them.
     rows: DataFrame
     scored: DataFrame
     metrics: DataFrame
     gap: DataFrame
+    folder: str | None = None
 
     def release(self) -> LinearModel:
-        """Give the persisted rows back and keep the model."""
-        self.rows.unpersist()
+        """Give the kept rows back and keep the model."""
+        _give_back(self.rows, self.folder)
         return self.model
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    # Read by several aggregations. Spills to executor disk, and a lost
-    # executor's share is recomputed from the lineage.
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+def _kept(rows: DataFrame, folder: str | None) -> DataFrame:
+    """Rows that several aggregations read: stored in ``folder`` or, without one, persisted.
+
+    A stored table survives lost executors; of persisted rows a lost share is
+    recomputed from the lineage.
+    """
+    return store(rows, folder) if folder else rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _give_back(kept: DataFrame, folder: str | None) -> None:
+    if folder:
+        remove_folder(kept.sparkSession, folder)
+    else:
+        kept.unpersist()
 
 
-def _finish(kept: DataFrame, split, profile: Profile, anchor=None) -> Trained:
+def _finish(kept: DataFrame, folder: str | None, split, profile: Profile, anchor=None) -> Trained:
     """Fit on ``split(kept)``; the kept rows are given back if that fails."""
     try:
         parts = split(kept)
         model = fit(parts.where("is_train"), profile.features, profile.category, anchor=anchor)
     except Exception:
-        kept.unpersist()
+        _give_back(kept, folder)
         raise
     scored = score(parts, model)
     return Trained(
-        model, kept, scored, regression_metrics(scored, ["category", "is_train"]), mae_gap(scored)
+        model,
+        kept,
+        scored,
+        regression_metrics(scored, ["category", "is_train"]),
+        mae_gap(scored),
+        folder,
     )
 
 
 def train_tablet(
-    daily: DataFrame, min_obs: int = MIN_OBS, test_size: float = TEST_SIZE
+    daily: DataFrame,
+    min_obs: int = MIN_OBS,
+    test_size: float = TEST_SIZE,
+    folder: str | None = None,
 ) -> Trained:
-    rows = _kept(training.tablet_training_rows(daily, min_obs))
-    return _finish(rows, lambda kept: training.global_split(kept, test_size), TABLET)
+    rows = _kept(training.tablet_training_rows(daily, min_obs), folder)
+    return _finish(rows, folder, lambda kept: training.global_split(kept, test_size), TABLET)
 
 
 def train_mobile(
@@ -66,11 +86,12 @@ def train_mobile(
     anchor_day: datetime.date | None = None,
     min_obs: int = MIN_OBS,
     test_size: float = TEST_SIZE,
+    folder: str | None = None,
 ) -> Trained:
     if anchor_day is None:
         anchor_day = daily.agg(F.min("date")).first()[0]
-    rows = _kept(training.mobile_training_set(daily, min_obs, test_size, F.lit(anchor_day)))
-    return _finish(rows, lambda kept: kept, MOBILE, anchor_day)
+    rows = training.mobile_training_set(daily, min_obs, test_size, F.lit(anchor_day))
+    return _finish(_kept(rows, folder), folder, lambda kept: kept, MOBILE, anchor_day)
 
 
 def train(products: DataFrame, prices: DataFrame, category: str, **options) -> Trained:
