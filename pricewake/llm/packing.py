@@ -126,7 +126,7 @@ class _Packer:
 
 
 # Words whose ids a worker keeps, some 200 bytes each.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 2_000_000
 _NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 

@@ -40,8 +40,18 @@ NULL_ID = -(1 << 63)
 BLOCK_IDS = 1 << 20
 FILE_IDS = 24 << 20
 
-# Control byte -> lengths of its four values.
+# Control byte -> lengths of its four values, where each starts, and all bytes together.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
+STARTS = (np.cumsum(LENGTHS, 1) - LENGTHS).astype(np.uint8)
+TOTALS = LENGTHS.sum(1, dtype=np.int64)
+
+
+def _not_filled(counts: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Which places hold a value when each document's ``counts`` are filled up to ``filled``."""
+    held, ends = np.ones(int(filled.sum()), bool), np.cumsum(filled)
+    for k in range(3):
+        held[ends[filled - counts > k] - 1 - k] = False
+    return held
 
 
 def encode_values(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[bytes], list[bytes]]:
@@ -50,7 +60,7 @@ def encode_values(values: np.ndarray, counts: np.ndarray | None = None) -> tuple
     filled = -(-counts // 4) * 4
     ends = np.cumsum(filled)
     every = np.zeros(int(filled.sum()), "<u4")
-    every[np.arange(len(values)) + np.repeat(ends - filled - (np.cumsum(counts) - counts), counts)] = values
+    every[_not_filled(counts, filled)] = values
     extra = (every > 0xFF).astype(np.uint8) + (every > 0xFFFF) + (every > 0xFFFFFF)
     codes = extra.reshape(-1, 4)
     control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes()
@@ -67,14 +77,13 @@ def encode_values(values: np.ndarray, counts: np.ndarray | None = None) -> tuple
 
 def decode_values(control: np.ndarray, data: np.ndarray) -> np.ndarray:
     """All values of the control bytes, fillers included."""
+    totals = TOTALS[control]
+    starts = ((np.cumsum(totals) - totals)[:, None] + STARTS[control]).ravel()
+    values = data[starts].astype(np.uint32)
     sizes = LENGTHS[control].ravel()
-    ends = np.cumsum(sizes, dtype=np.int64)
-    starts = ends - sizes
-    padded = np.concatenate([data, np.zeros(4, np.uint8)])
-    values = padded[starts].astype(np.uint32)
     for k in range(1, int(sizes.max(initial=1))):
         has = np.flatnonzero(sizes > k)
-        values[has] |= padded[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
+        values[has] |= data[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return values
 
 
@@ -101,14 +110,16 @@ def read_blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         control = np.frombuffer(content, np.uint8, n_control, at)
         data = np.frombuffer(content, np.uint8, n_data, at + n_control)
         values = decode_values(control, data)
-        first = np.repeat(np.cumsum(filled) - filled, filled)
-        keep = np.arange(len(values)) - first < np.repeat(lengths, filled)
-        yield ids, lengths, values[keep]
+        yield ids, lengths, values[_not_filled(lengths, filled)]
         at += n_control + n_data + 1
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): ids with the end id as little-endian unsigned integers of ``width`` bytes."""
+    """(doc_id, n, ids, seen): ids with the end id as little-endian unsigned integers of 2 or 4 bytes.
+
+    ``seen`` holds, in one row of every batch, the batch's ids and their counts,
+    so that frequencies need no second look at the ids.
+    """
     content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
     end = int(end_id).to_bytes(4, "little")
 
@@ -116,19 +127,29 @@ def _tokenized(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id:
         tokens = encoder(content.value)
         narrow = max(tokens.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         for given in batches:
+            if not given.num_rows:
+                continue
             texts = given.column(1).to_pylist()
             done = [x + end for low in range(0, len(texts), 64) for x in tokens.encode(texts[low : low + 64])]
             counts = [len(x) // 4 for x in done]
+            total = np.bincount(np.frombuffer(b"".join(done), "<u4"))
+            found = np.flatnonzero(total)
+            seen = np.stack([found, total[found]]).astype("<i8").tobytes()
             if narrow:
                 done = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in done]
             yield pa.RecordBatch.from_arrays(
-                [given.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(done, pa.binary())],
-                ["doc_id", "n", "ids"],
+                [
+                    given.column(0).cast(pa.int64()),
+                    pa.array(counts, pa.int64()),
+                    pa.array(done, pa.binary()),
+                    pa.array([seen] + [None] * (len(done) - 1), pa.binary()),
+                ],
+                ["doc_id", "n", "ids", "seen"],
             )
 
     prepare_python(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("__text"))
-    return named.mapInArrow(tokenize, "doc_id long, n long, ids binary")
+    return named.mapInArrow(tokenize, "doc_id long, n long, ids binary, seen binary")
 
 
 def _unpack(ids: bytes, n: int) -> np.ndarray:
@@ -136,21 +157,21 @@ def _unpack(ids: bytes, n: int) -> np.ndarray:
 
 
 def _frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, count) over all documents, counted in each task before it is summed."""
+    """(id, count) over all documents, summed in each task before it is shuffled."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         total = np.zeros(0, np.int64)
         for given in batches:
-            arrays = [_unpack(x, n) for x, n in zip(given.column(1).to_pylist(), given.column(0).to_pylist())]
-            seen = np.bincount(np.concatenate(arrays)) if arrays else total
-            if len(seen) > len(total):
-                seen, total = total, seen.astype(np.int64)
-            total[: len(seen)] += seen
+            for seen in given.column(0).to_pylist():
+                ids, counts = np.frombuffer(seen, "<i8").reshape(2, -1)
+                if ids[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(ids[-1] + 1 - len(total), np.int64)])
+                total[ids] += counts
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "c"])
 
-    counted = tokens.select("n", "ids").mapInArrow(count, "id long, c long")
+    counted = tokens.where("seen is not null").select("seen").mapInArrow(count, "id long, c long")
     return counted.groupBy("id").agg(F.sum("c").alias("count"))
 
 

@@ -8,6 +8,7 @@ applied to whole texts without this.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -51,6 +52,16 @@ class _Ends(dict):
         return found
 
 
+class _Known(dict):
+    """Ids of words, looked up elsewhere the first time."""
+
+    def __init__(self, look_up):
+        self.look_up = look_up
+
+    def __missing__(self, word: str) -> bytes:
+        return self.look_up(word)
+
+
 class TokenIds:
     """Encoder of one tokenizer file, given as its content.
 
@@ -75,51 +86,48 @@ class TokenIds:
         self.letters = _Written()
         self.ends = _Ends(self._encode)
         self.kept = kept
-        self.young: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.space = self.letters[" "] if self.keeps_space else ""
+        self.young: dict[str, bytes] = _Known(self._look_up)
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in done]
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words not held yet. A word stands for itself after a space, or as it is if it starts with a line end.
+    def _look_up(self, word: str) -> bytes:
+        """Ids of a word not held yet. It stands for itself after a space, or as it is if it starts with a line end.
 
-        Words of Latin letters, with or without a full stop or comma, go to the
+        Words of Latin letters, with or without marks at their end, go to the
         tokenizer's model alone; everything else takes the whole way.
         """
-        young, old = self.young, self.old
-        if len(young) > self.kept // 2:
-            self.old = old = young
-            self.young = young = {}
-        tokenize, lower = self.tokenizer.model.tokenize, self.lower
-        space = self.letters[" "] if self.keeps_space else ""
-        written_as, ends, odd = self.letters, self.ends, []
-        line_end = ends["\n"]
-        for word in words.difference(young):
-            known = old.get(word)
-            if known is not None:
-                young[word] = known
-                continue
-            stem, lead, begin = word.rstrip(_END_MARKS), space, b""
-            end = word[len(stem) :]
-            if stem[:1] == "\n" and space:
-                stem, lead, begin = stem[1:], "", line_end
-            if not stem.isalpha():
-                odd.append(word)
-                continue
-            if not stem.isascii():
-                if max(stem) >= _LATIN_END or _DOTTED in stem:
-                    odd.append(word)
-                    continue
-                stem = "".join(map(written_as.__getitem__, stem.lower() if lower else stem))
-            elif lower:
-                stem = stem.lower()
-            ids = array("I", [x.id for x in tokenize(lead + stem)]).tobytes()
-            young[word] = begin + ids + ends[end] if end else begin + ids
-        if odd:
-            lead = " " if self.keeps_space else ""
-            young.update(zip(odd, self._encode([w if w[:1] == "\n" or not w else lead + w for w in odd])))
+        young = self.young
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._word(word)
+        young[word] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        keeps_space = self.keeps_space
+        stem = word.rstrip(_END_MARKS)
+        end = self.ends[word[len(stem) :]] if len(stem) < len(word) else b""
+        begin, lead = b"", self.space
+        if keeps_space and stem[:1] == "\n":
+            stem, lead, begin = stem[1:], "", self.ends["\n"]
+        plain = stem.isascii()
+        if not stem.isalpha() or not plain and (max(stem) >= _LATIN_END or _DOTTED in stem):
+            return self._encode([word if not keeps_space or word[:1] == "\n" else " " + word])[0]
+        if end and not begin:
+            # The word may be known without its marks.
+            ids = self.young.get(stem)
+            if ids is not None:
+                return ids + end
+        if self.lower:
+            stem = stem.lower()
+        if not plain:
+            stem = "".join(map(self.letters.__getitem__, stem))
+        return begin + array("I", [x.id for x in self.tokenize(lead + stem)]).tobytes() + end
 
     def parts(self, texts: list[str]) -> list[list[bytes]]:
         """Per text the ids of its words in order; joined, they are the ids of the text."""
@@ -129,8 +137,19 @@ class TokenIds:
         """Per text the ids of its words in order, and whether a word ends at each space or line end and nowhere else."""
         if not (self.keeps_space or self.drops_space):
             return [([x], False) for x in self._encode(texts)]
+        # Nothing below makes reference cycles, and looking for them among so many words takes long.
+        looking = gc.isenabled()
+        gc.disable()
+        try:
+            return self._parts_of_words(texts)
+        finally:
+            if looking:
+                gc.enable()
+
+    def _parts_of_words(self, texts: list[str]) -> list[tuple[list[bytes], bool]]:
         split = [self._split(t) for t in texts]
-        self._learn(set().union(*(words for _, words, _ in split)))
+        if len(self.young) > self.kept // 2:
+            self.old, self.young = self.young, _Known(self._look_up)
         ids = self.young.__getitem__
         heads = self._encode([head for head, _, _ in split])
         return [([h, *map(ids, words)], regular) for h, (_, words, regular) in zip(heads, split)]
@@ -178,7 +197,7 @@ def sentence_ends(text: str, parts: list[bytes]) -> np.ndarray:
 _encoders: dict[bytes, TokenIds] = {}
 
 
-def encoder(content: str, kept: int = 500_000) -> TokenIds:
+def encoder(content: str, kept: int = 2_000_000) -> TokenIds:
     """The worker's encoder of this tokenizer, made once."""
     key = hashlib.blake2b(content.encode()).digest()
     if key not in _encoders:

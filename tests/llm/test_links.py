@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from pricewake.llm import ngram_join, vectors
+from pricewake.llm import common, ngram_join, vectors
 from pricewake.llm.components import connected_components
 from pricewake.llm.ngram_join import JoinSetting, drop_near_duplicates, least_matches, near_duplicates, overlaps, shingle_set
 
@@ -110,7 +110,8 @@ def plain_join(rows):
 
 
 @pytest.mark.parametrize("blocks", [(8192, 512, 10**6), (8, 7, 0)])
-def test_near_duplicates_equal_all_pairs(spark, blocks):
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, blocks):
+    monkeypatch.setattr(common, "HOT_KEYS", blocks[2])
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, key string, cluster int").repartition(4)
     setting = JoinSetting(bucket_block=blocks[0], cluster_block=blocks[1], broadcast_rows=blocks[2])
@@ -169,7 +170,8 @@ def embeddings():
 
 
 @pytest.mark.parametrize("block", [4096, 5])
-def test_links_equal_all_cosines(spark, block):
+def test_links_equal_all_cosines(spark, monkeypatch, block):
+    monkeypatch.setattr(common, "HOT_KEYS", 10**6 if block == 5 else -1)
     given = embeddings()
     rows = [(1000 - i, v) for i, v in enumerate(given)] + [(None, given[0])]
     frame = spark.createDataFrame([(i, v, 0, b"") for i, v in rows], "vec_id long, embedding array<double>, bucket int, key binary").repartition(3)
