@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows, on built-in functions only.
 
 1. Words are the runs of letters and digits of the lower-cased text; a shingle is
-   five words in a row. A window is *anchored* by a shingle it shares with a
-   benchmark item: it is as long as the item and starts where the item would
-   start for that shingle to be in place (moved inwards at the ends of a text).
-   A window without a shared shingle has similarity 0 to every item, so none of
-   them is fingerprinted.
+   five words in a row. A window is as long as a benchmark item. It starts at a
+   shingle shared with the item (moved inwards at the end of a text), or is
+   *anchored* by one: it starts where the item would start for that shingle to
+   be in place. Sliding a window right to the next shared shingle drops none, so
+   no other start gives more similarity. Windows at shared shingles that hold too
+   few of them for the threshold are not fingerprinted.
 2. Every anchored window gets a 64-bit SimHash of its shingles, each weighted by
    its number of occurrences.
 3. Windows and items of equal length are matched through a multi-index over
@@ -58,24 +59,36 @@ def _anchors(items: DataFrame) -> DataFrame:
     return places.select(_shingle_hash(F.col("words"), F.col("place")).alias("h"), "place", "n_words").distinct()
 
 
-def anchored_windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Distinct (doc, start, length, window) for (doc, words)."""
-    long_enough = docs.where(F.size("words") >= SHINGLE)
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at")
-    hashed = long_enough.select("doc", "words", at).withColumn("h", _shingle_hash(F.col("words"), F.col("at")))
+def candidate_windows(docs: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (doc, start, n_words, window) for (doc, words); no other window is better and reaches ``threshold``."""
+    docs = docs.select("doc", "words", F.xxhash64("words").alias("text"), F.size("words").alias("size"))
+    long_enough = docs.where(F.col("size") >= SHINGLE)
+    at = F.explode(F.sequence(F.lit(0), F.col("size") - SHINGLE)).alias("at")
+    hashed = long_enough.select("doc", "words", "text", "size", at)
+    hashed = hashed.select("doc", "text", "size", "at", _shingle_hash(F.col("words"), F.col("at")).alias("h"))
     if anchors.count() <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
-        hits = hashed.join(anchors, "h")
-    else:
-        # Text is not shuffled by shingle: a hit goes back to its text by id.
-        keys = hashed.select("doc", "at", "h").join(anchors, "h").drop("h")
-        hits = keys.join(docs, "doc")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("words") - F.col("n_words")))
-    placed = hits.select("doc", "words", "n_words", start.alias("start"))
+    last = F.greatest(F.lit(0), F.col("size") - F.col("n_words"))
+    anchored = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), last))
+    # Text is not shuffled by shingle: places go back to their text by id and hash.
+    hits = hashed.join(anchors, "h").groupBy("doc", "text", "size", "n_words").agg(
+        F.sort_array(F.collect_set("at")).alias("at"), F.collect_set(anchored).alias("anchored")
+    )
+    # At the threshold so many of the window's places at least are shared.
+    both = F.least("size", "n_words") + F.col("n_words") - 2 * (SHINGLE - 1)
+    least = F.greatest(F.lit(1), F.ceil(both * (threshold / (1 + threshold)) - 1e-9).cast("int"))
+    hits = hits.select("*", last.alias("last"), least.alias("least"))
+    enough = F.filter(
+        "at",
+        lambda x, i: (x <= F.col("last"))
+        & (F.get(F.col("at"), i + F.col("least") - 1) <= x + F.col("n_words") - SHINGLE),
+    )
+    at_end = F.get("at", F.size("at") - F.col("least")) >= F.col("last")
+    starts = F.concat("anchored", enough, F.when(at_end, F.array("last")).otherwise(F.array().cast("array<int>")))
+    placed = hits.select("doc", "text", "n_words", F.explode(F.array_distinct(starts)).alias("start")).join(docs, ["doc", "text"])
     window = F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window")
-    windows = placed.select("doc", "start", "n_words", window)
-    # A place in one text need not exist in another of the same id.
-    return windows.where(F.size("window") >= SHINGLE).distinct()
+    # Equal texts of one id give a window once.
+    return placed.select("doc", "start", "n_words", window).distinct()
 
 
 def _lanes(bits: Column) -> Column:
@@ -169,8 +182,8 @@ def find_leaks(
 ) -> DataFrame:
     """(doc, item, start, similarity) of every document and benchmark item of which it has a window.
 
-    The best anchored window, the first of equals; ``start`` counts words from
-    0. At similarity 0.8 a bit of the two fingerprints differs with probability
+    The best of all windows as long as the item; of equals the first that is
+    anchored or starts at a shared shingle. ``start`` counts words from 0. At similarity 0.8 a bit of the two fingerprints differs with probability
     0.15, so a radius of 19 of 64 bits passes all but 5 in 10,000 of the pairs
     that only just reach the threshold, and more of all others.
 
@@ -181,7 +194,7 @@ def find_leaks(
     items = benchmark_items(benchmark)
     named = docs.where(F.col(doc_id).isNotNull())
     texts = named.select(F.col(doc_id).alias("doc"), words_of(text_of(text)).alias("words"))
-    windows = anchored_windows(texts, _anchors(items))
+    windows = candidate_windows(texts, _anchors(items), threshold)
     marked = with_simhash(windows, ["doc", "start", "n_words", "window"], "window")
     item_marks = with_simhash(items, ["item", "words", "n_words"], "words").select(
         "item", F.col("words").alias("item_words"), "n_words", F.col("fingerprint").alias("item_fingerprint")

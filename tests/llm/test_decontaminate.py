@@ -123,3 +123,51 @@ def test_multi_index_finds_every_pair_in_the_radius(spark):
     rows = [(r["doc"], r["item"]) for r in decontaminate.within_radius(w, t, 19).collect()]
     expected = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if (x ^ y).bit_count() <= 19]
     assert sorted(rows) == expected
+
+
+def edited(rng, n, ends, middle):
+    """An item of ``n`` words, and it with ``ends`` words replaced at each end and ``middle`` inserted, in other text."""
+    item = [f"i{rng.randrange(10**9)}" for _ in range(n)]
+    other = lambda k: [f"o{rng.randrange(10**9)}" for _ in range(k)]
+    body = item[ends : n - ends]
+    body[len(body) // 2 : len(body) // 2] = other(middle)
+    return " ".join(item), other(50) + other(ends) + body + other(ends), other(50)
+
+
+def best_of_all(text, item):
+    """Greatest similarity over every start place, and those of each place."""
+    dw, iw = words(text), words(item)
+    b = Counter(shingles(iw))
+    scores = []
+    for start in range(max(1, len(dw) - len(iw) + 1)):
+        a = Counter(shingles(dw[start : start + len(iw)]))
+        m = sum((a & b).values())
+        scores.append(m / (sum(a.values()) + sum(b.values()) - m))
+    return max(scores), scores
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+def test_best_window_may_start_at_any_place(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    rng = random.Random(12)
+    docs, items = [], []
+    for n, ends, middle in [(100, 3, 6), (200, 8, 16), (400, 16, 32), (60, 1, 2)] * 2:
+        item, before, after = edited(rng, n, ends, middle)
+        # The second half of the passages stand at the end of their text.
+        docs.append((len(docs), " ".join(before + (after if len(docs) < 4 else []))))
+        items.append((len(items), item))
+    found = {(r["doc"], r["item"]): r for r in find_leaks(*frames(spark, docs, items)).collect()}
+    assert sorted(found) == [(i, i) for i in range(8)]
+    assert not set(plain_leaks(docs, items)) & {(i, i) for i in range(4)}
+    for (i, _), r in found.items():
+        best, scores = best_of_all(docs[i][1], items[i][1])
+        assert r["similarity"] == pytest.approx(best) and scores[r["start"]] == best >= 0.8
+
+
+def test_similarity_is_the_best_of_every_start(spark):
+    docs, items = fixture()
+    docs = [(d, t) for d, t in docs if d is not None and d < 200]
+    items = [(i, t) for i, t in items if i is not None and len(words(t)) >= 5]
+    expected = {(d, i): round(best_of_all(t, x)[0], 9) for d, t in docs if len(words(t)) >= 5 for i, x in items}
+    found = find_leaks(*frames(spark, docs, items)).collect()
+    assert {(r["doc"], r["item"]): round(r["similarity"], 9) for r in found} == {k: s for k, s in expected.items() if s >= 0.8}
