@@ -92,28 +92,27 @@ def candidate_windows(docs: DataFrame, anchors: DataFrame, threshold: float) ->
 
 
 def _lanes(bits: Column) -> Column:
-    """Four bits spread to the four 16-bit lanes of a long, so that one sum counts all four."""
-    lane = lambda k: F.shiftleft(bits.bitwiseAND(F.lit(1 << k)), 15 * k)
-    return lane(0).bitwiseOR(lane(1)).bitwiseOR(lane(2)).bitwiseOR(lane(3))
+    """Two bits spread to the two 32-bit lanes of a long, so that one sum counts both."""
+    return bits.bitwiseAND(F.lit(1)).bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit(2)), 31))
 
 
 def with_simhash(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
     """``keys`` and ``fingerprint``: bit k is set if more than half of the shingles' hashes have it.
 
-    Each lane counts to 65,535 shingles; the top one is read without its sign.
+    Each lane counts more shingles than an array holds; the top one is read without its sign.
     """
     places = F.explode(F.sequence(F.lit(0), F.size(words) - SHINGLE)).alias("__at")
     hashed = rows.select(*keys, words, places).select(*keys, _shingle_hash(F.col(words), F.col("__at")).alias("__h"))
     sums = [
-        F.sum(_lanes(F.shiftrightunsigned("__h", 4 * j).bitwiseAND(F.lit(15).cast("long")))).alias(f"__s{j}")
-        for j in range(BITS // 4)
+        F.sum(_lanes(F.shiftrightunsigned("__h", 2 * j).bitwiseAND(F.lit(3).cast("long")))).alias(f"__s{j}")
+        for j in range(BITS // 2)
     ]
     counted = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *sums)
-    lanes = F.array(*[F.col(f"__s{j}") for j in range(BITS // 4)])
+    lanes = F.array(*[F.col(f"__s{j}") for j in range(BITS // 2)])
 
     def bit(k: Column) -> Column:
-        lane = F.call_function("shiftrightunsigned", F.get(F.col("__lanes"), F.floor(k / 4).cast("int")), 16 * (k % 4))
-        set_ = 2 * lane.bitwiseAND(F.lit(0xFFFF).cast("long")) > F.col("__n")
+        lane = F.call_function("shiftrightunsigned", F.get(F.col("__lanes"), F.floor(k / 2).cast("int")), 32 * (k % 2))
+        set_ = 2 * lane.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) > F.col("__n")
         return F.when(set_, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
 
     bits = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit)

@@ -171,3 +171,9 @@ def test_similarity_is_the_best_of_every_start(spark):
     expected = {(d, i): round(best_of_all(t, x)[0], 9) for d, t in docs if len(words(t)) >= 5 for i, x in items}
     found = find_leaks(*frames(spark, docs, items)).collect()
     assert {(r["doc"], r["item"]): round(r["similarity"], 9) for r in found} == {k: s for k, s in expected.items() if s >= 0.8}
+
+
+def test_simhash_counts_beyond_16_bits(spark):
+    rows = spark.createDataFrame([(n, ["a"] * n) for n in (9, 70_000, 140_000)], "n int, words array<string>")
+    marks = decontaminate.with_simhash(rows, ["n"], "words").collect()
+    assert len(marks) == 3 and len({r["fingerprint"] for r in marks}) == 1
