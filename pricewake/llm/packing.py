@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewake.llm.common import prepare_python, table, text_of
-from pricewake.llm.tokens import encoder, public_tokenizer, read_tokenizer, sentence_ends
+from pricewake.llm.tokens import encoder, public_tokenizer, read_tokenizer
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,6 @@ def pack_documents(
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(content.value, KEPT_WORDS)
-        nowhere = np.zeros(0, np.int64)
         packer = _Packer(costs, TaskContext.get().partitionId() << 40, with_ids)
         schema = None
 
@@ -174,8 +173,7 @@ def pack_documents(
             for low in range(0, len(texts), 64):
                 some = texts[low : low + 64]
                 for name, whole, (parts, regular) in zip(ids[low : low + 64], some, tokens.parts_and_shape(some)):
-                    stops = sentence_ends(whole, parts) if regular else nowhere
-                    packer.add(name, b"".join(parts) + end, stops)
+                    packer.add(name, b"".join(parts) + end, tokens.sentence_ends(whole, parts, regular))
                     if packer.ready():
                         rows = packer.cut(last=False)
                         if rows:

@@ -21,9 +21,23 @@ _LATIN_END, _DOTTED = "\u0250", "\u0130"
 # No letters, digits or white space, and nothing a contraction starts with.
 _END_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TWO_SPACES = re.compile(r"\s\s")
-_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+_WIDE_ENDS = "。！？｡．"
+_OTHER_SPACES = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = re.compile(f"[{_OTHER_SPACES}{_WIDE_ENDS}]")
+_CLOSERS = "\"')\\]}’”»›」』）】》〉"
+# Tokenizers split before white space, and between marks and a letter or digit but for contractions.
+_WIDE_END = f"(?<=[{_WIDE_ENDS}])|(?<=[{_WIDE_ENDS}][{_CLOSERS[:1] + _CLOSERS[2:]}])|(?<=[{_WIDE_ENDS}][{_CLOSERS}][{_CLOSERS[:1] + _CLOSERS[2:]}])"
+_PIECES = re.compile(f"(?<=\\S)(?=[ \\t\\n\\r\\f\\v{_OTHER_SPACES}])|(?:{_WIDE_END})(?=[^\\W_])")
+_ENDS_SENTENCE = re.compile(f"[.!?{_WIDE_ENDS}][{_CLOSERS}]*\\Z")
+_WIDE_STOP = re.compile(f"[{_WIDE_ENDS}]+[{_CLOSERS}]*")
+_STARTS_LINE = re.compile(r"\s*[\n\r\f\v\x85\u2028\u2029]")
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?"]] = True
+_WIDE_CLOSERS = {c.encode() for c in "’”›」』）】》〉"}
+_MAY_CLOSE = np.zeros(256, bool)
+_MAY_CLOSE[[0xBB, *(c[-1] for c in _WIDE_CLOSERS)]] = True
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[ord(c) for c in "\"')]}"]] = True
 
 
 class _Written(dict):
@@ -96,7 +110,7 @@ class TokenIds:
         return [array("I", x.ids).tobytes() for x in done]
 
     def _look_up(self, word: str) -> bytes:
-        """Ids of a word not held yet. It stands for itself after a space, or as it is if it starts with a line end.
+        """Ids of a word not held yet. It stands for itself after a space, or as it is if it starts with a line end or follows a space here.
 
         Words of Latin letters, with or without marks at their end, go to the
         tokenizer's model alone; everything else takes the whole way.
@@ -110,6 +124,8 @@ class TokenIds:
 
     def _word(self, word: str) -> bytes:
         keeps_space = self.keeps_space
+        if keeps_space and word[:1] == " ":
+            return self._encode([word[1:]])[0]
         stem = word.rstrip(_END_MARKS)
         end = self.ends[word[len(stem) :]] if len(stem) < len(word) else b""
         begin, lead = b"", self.space
@@ -164,9 +180,40 @@ class TokenIds:
         if regular:
             head, *words = text.replace("\n", " \n").split(" ")
         else:
-            head, *words = _BETWEEN_WORDS.split(text)
+            head, *pieces = pieces_of(text)
+            words = [_key(x) for x in pieces]
         return head, words, regular
 
+    def sentence_ends(self, text: str, parts: list[bytes], regular: bool) -> np.ndarray:
+        """Number of ids before each place where a sentence or line ends; a tokenizer not split by words has none."""
+        if regular:
+            return sentence_ends(text, parts)
+        if self.keeps_space:
+            pieces = pieces_of(text)
+            stops = [bool(_ENDS_SENTENCE.search(a) or _STARTS_LINE.match(b)) for a, b in zip(pieces, pieces[1:])]
+        elif self.drops_space:
+            words = re.split("([ \n])", text)
+            # The first part is the empty one before the first word.
+            stops = [False, *[gap == "\n" or bool(_ENDS_SENTENCE.search(a)) for a, gap in zip(words[::2], words[1::2])]]
+        else:
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+        found = ends[:-1][np.array(stops, bool)]
+        if self.keeps_space and _WIDE_STOP.search(text):
+            inside = [e - len(p) // 4 + k for x, p, e in zip(pieces, parts, ends) for k in self._stops_inside(x, p)]
+            found = np.union1d(found, np.array(inside, np.int64))
+        return found
+
+    def _stops_inside(self, piece: str, ids: bytes) -> list[int]:
+        """Number of ids of a piece before each wide end mark in it, as far as an id ends there."""
+        marks = [len(piece[: m.end()].encode()) for m in _WIDE_STOP.finditer(piece) if m.end() < len(piece)]
+        if not marks:
+            return []
+        # Byte-level tokens have one sign a byte.
+        bounds = np.cumsum([len(self.tokenizer.id_to_token(x)) for x in np.frombuffer(ids, np.uint32).tolist()])
+        at = np.searchsorted(bounds, marks)
+        return (at[bounds[at] == marks] + 1).tolist()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(p) for p in self.parts(texts)]
 
@@ -181,8 +228,24 @@ def _is_latin(text: str) -> bool:
 
 
 def is_regular(text: str) -> bool:
-    """Whether white space is single spaces and line ends between words."""
-    return not (_TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace() or "\r" in text)
+    """Whether white space is single spaces and line ends between words, and no wide mark ends a sentence without it."""
+    if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
+        return False
+    if "\r" in text or "\t" in text or "\f" in text or "\v" in text:
+        return False
+    return text.isascii() or not _WIDE.search(text)
+
+
+def pieces_of(text: str) -> list[str]:
+    """A text split where tokenizers that keep white space do, so that its ids are those of the pieces."""
+    return _PIECES.split(text)
+
+
+def _key(piece: str) -> str:
+    """What a piece is held under: after one space by itself, after one line end with it, else as it is after a space."""
+    if piece[:1] in " \n" and not piece[1:2].isspace():
+        return piece[1:] if piece[0] == " " else piece
+    return " " + piece
 
 
 def sentence_ends(text: str, parts: list[bytes]) -> np.ndarray:
@@ -190,10 +253,29 @@ def sentence_ends(text: str, parts: list[bytes]) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
     raw = np.frombuffer(text.encode(), np.uint8)
     gaps = np.flatnonzero((raw == 32) | (raw == 10))
-    stops = (raw[gaps] == 10) | _SENTENCE_END[raw[gaps - 1]]
+    last = gaps - 1
+    closed = _closers(raw, last)
+    while closed.any():
+        last = last - closed
+        closed = _closers(raw, last)
+    stops = (raw[gaps] == 10) | _SENTENCE_END[raw[last]] & (last >= 0)
     return ends[:-1][stops]
 
 
+def _closers(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of the closing quote or bracket that ends at each place, 0 for none."""
+    end = raw[at]
+    found = _CLOSING[end].astype(np.int64)
+    for i in np.flatnonzero(_MAY_CLOSE[end]):
+        k = int(at[i])
+        if raw[k - 1 : k + 1].tobytes() == b"\xc2\xbb":
+            found[i] = 2
+        elif raw[max(0, k - 2) : k + 1].tobytes() in _WIDE_CLOSERS:
+            found[i] = 3
+    found[at < 0] = 0
+    return found
+
+
 _encoders: dict[bytes, TokenIds] = {}
 
 

@@ -181,3 +181,44 @@ def test_packing_query_covers_documents(spark, sf_dir):
     rows = packing.op2_packing(spark, sf_dir).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in rows)
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+IRREGULAR = [
+    ("One two.\n\nThree four! Five\n", (8, 21, 26)),
+    ("  Lead. Two\r\nnext.  Last", (7, 11, 18)),
+    ('He said "stop." Then (he left.) So “why?” End', (15, 31, 41)),
+    ("句子一。句子二！「他说。」然后？　完", (4, 8, 13, 16)),
+    ("Tab.\tNext\x0bline. x", (4, 9, 15)),
+    ("He left.» Then ’ “x", (9,)),
+    ("« Oui. » Non.\xa0» fin", (6, 13)),
+]
+
+
+@pytest.mark.parametrize("text, places", IRREGULAR)
+def test_sentence_ends_in_any_text(libraries, text, places):
+    own, library = libraries[FILES[0]]
+    (parts, regular), = own.parts_and_shape([text])
+    assert b"".join(parts) == ids_of(library, text)
+    expected = [len(ids_of(library, text[:k])) // 4 for k in places]
+    assert own.sentence_ends(text, parts, regular).tolist() == expected
+
+
+def test_places_split_ids_in_odd_texts(libraries):
+    signs = [*SIGNS, *"。！？」”’»　\xa0     \x0b\x0c٣²ⅷ๗́", "'s", "’s"]
+    rng = random.Random(7)
+    for own, library in libraries.values():
+        for _ in range(4000):
+            text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
+            (parts, regular), = own.parts_and_shape([text])
+            assert b"".join(parts) == ids_of(library, text), repr(text)
+            own.sentence_ends(text, parts, regular)
+
+
+def test_packing_cuts_between_paragraphs(spark):
+    text = "".join(f"This is the sentence of paragraph number {i}, in plain words.\n\n" for i in range(400))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    rows = pack_documents(docs, public_tokenizer(FILES[0])).orderBy("start").collect()
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizer(FILES[0]))
+    assert len(rows) > 4 and all(library.decode(list(np.frombuffer(r["ids"], "<u4"))).endswith("words.") for r in rows[:-1])
