@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -50,6 +50,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def columns_without(frame: DataFrame, names: Iterable[str]) -> list[Column]:
+    """Columns of the frame but those that bear one of the names, as Spark tells names apart."""
+    exact = frame.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = str if exact else str.lower
+    taken = {fold(n) for n in names}
+    return [quoted(c) for c in frame.columns if fold(c) not in taken]
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_of(column: str | Column) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -152,6 +165,21 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def worker_cache(owner: str, key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing, of the operator that asked last.
+
+    Workers outlive the operator they were started for. The first task of
+    another one that runs in a worker frees what the one before it had kept.
+    """
+    if (owner, key) not in _held:
+        _held.clear()
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
 _shipped: set[str] = set()
 
 

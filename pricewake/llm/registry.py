@@ -5,6 +5,7 @@ from __future__ import annotations
 from pricewake.llm import (
     decontaminate,
     langid,
+    merges,
     ngram_join,
     packing,
     quality,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_quality": quality.op10_quality,
+    "op12_byte_bpe": merges.op12_byte_bpe,
 }
 
 ORACLE_SQL = {
