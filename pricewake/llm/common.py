@@ -42,6 +42,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote and no frame in use reads."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder, its lineage cut."""
     context = frame.sparkSession.sparkContext

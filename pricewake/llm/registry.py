@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pricewake.llm import (
     decontaminate,
+    filter_audit,
     langid,
     merges,
     ngram_join,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_quality": quality.op10_quality,
+    "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
     "op12_byte_bpe": merges.op12_byte_bpe,
 }
 
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op1_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
     "op7_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op9_secret_scans": sql.SECRET_SCANS,
+    "op11_filter_interaction_audit": sql.FILTER_INTERACTION_AUDIT,
 }

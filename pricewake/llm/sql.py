@@ -98,3 +98,44 @@ degree as (select a, count(*) as n from links group by a)
 select d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) as class_id, coalesce(n, 0) as n_links
 from documents d left join lowest on lowest.a = d.doc_id left join degree on degree.a = d.doc_id
 """
+
+FILTER_INTERACTION_AUDIT = r"""
+with docs as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+firsts as (select t, min(doc_id) as least from docs group by t),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels group by doc_id),
+split as (
+  select d.*, f.least, list_filter(string_split_regex(d.t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from docs d join firsts f on d.t = f.t),
+judged as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (case when len(w) < 50 then 1 else 0 end)
+    + (case when 100 * len(list_distinct(w)) < 65 * len(w) then 2 else 0 end)
+    + (case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) then 4 else 0 end)
+    + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+    + (case when s.doc_id > least then 16 else 0 end) as fails
+  from split s left join marks m on s.doc_id = m.doc_id),
+cells as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by part, fails),
+letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, bit)),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a, letters b, letters c, letters d, letters e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::bigint as before
+  from orders, (select unnest(range(1, 6)) as step)),
+lines as (
+  select part, filter_order, step, bit,
+    sum(case when fails & (before | bit) = 0 then n else 0 end) as kept,
+    sum(case when fails & before = 0 and fails & bit > 0 then n else 0 end) as removed,
+    sum(case when fails & before > 0 and fails & bit > 0 then n else 0 end) as redundant,
+    sum(case when fails = bit then n else 0 end) as unique_fails,
+    sum(case when fails & before = 0 and fails & bit > 0 then good else 0 end) as good_lost,
+    sum(case when fails & before = 0 and fails & bit > 0 then toxic else 0 end) as toxic_lost
+  from cells, steps group by part, filter_order, step, bit)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from lines
+"""
