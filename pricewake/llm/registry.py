@@ -14,6 +14,7 @@ from pricewake.llm import (
     sql,
     tokenfiles,
     toxicity,
+    turn_trie,
     vectors,
     wordpieces,
 )
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
     "op12_byte_bpe": merges.op12_byte_bpe,
+    "op13_conversation_trie": turn_trie.op13_conversation_trie,
 }
 
 ORACLE_SQL = {
@@ -38,4 +40,5 @@ ORACLE_SQL = {
     "op7_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op9_secret_scans": sql.SECRET_SCANS,
     "op11_filter_interaction_audit": sql.FILTER_INTERACTION_AUDIT,
+    "op13_conversation_trie": sql.CONVERSATION_TRIE,
 }

@@ -139,3 +139,49 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
   cast(sum(removed) over (partition by part, bit) as bigint) as shapley
 from lines
 """
+
+CONVERSATION_TRIE = r"""
+with own as (
+  select conv_id, role, text,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(role) || ':' || role || text)) - 1 as pos
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+sizes as (select conv_id, count(*) as n from own group by conv_id),
+heads as (
+  select conv_id, n, conv_id - conv_id % 20 as base,
+    xor(4294967295, list_reduce(
+      list_concat([4294967295], list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ord(c) as bigint))),
+      lambda crc, b: list_reduce(
+        list_concat([xor(crc, b)], range(8)),
+        lambda y, z: case when y % 2 = 1 then xor(y >> 1, 3988292384) else y >> 1 end))) % 4 as h
+  from sizes),
+convs as (
+  select c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) as taken
+  from heads c left join sizes b on b.conv_id = c.base),
+rebuilt as (
+  select c.conv_id, t.pos, t.role, t.text from convs c join own t on t.conv_id = c.base and t.pos < c.taken
+  union all
+  select c.conv_id, t.pos - c.h + c.taken, t.role, t.text from convs c join own t on t.conv_id = c.conv_id and t.pos >= c.h),
+paths as (
+  select conv_id, pos + 1 as depth, list({'r': role, 't': text}) over (partition by conv_id order by pos) as prefix,
+    len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as words,
+    lead(pos) over (partition by conv_id order by pos) is null as ends
+  from rebuilt
+  union all
+  select conv_id, 0, [], 0, conv_id not in (select conv_id from rebuilt) from convs),
+nodes as (
+  select depth, prefix, min(conv_id) as conv_id, count(*) as n_convs, min(words) as words,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from paths group by depth, prefix),
+owners as (select p.conv_id as member, p.depth, n.conv_id as owner from paths p join nodes n on p.depth = n.depth and p.prefix = n.prefix),
+linked as (
+  select n.*, o.owner as parent_conv_id
+  from nodes n left join owners o on o.member = n.conv_id and o.depth = n.depth - 1),
+children as (select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from linked where depth > 0 group by all),
+counted as (select l.*, coalesce(c.n_children, 0) as n_children from linked l left join children c using (conv_id, depth)),
+sums as (
+  select o.owner as conv_id, o.depth, sum(case when c.n_children = 0 then 1 else 0 end) as n_leaves, sum((c.n_convs - 1) * c.words) as saved_tokens
+  from counted c join owners o on o.member = c.conv_id and o.depth <= c.depth group by all)
+select conv_id, cast(depth as bigint) as depth, parent_conv_id, n_convs, n_children,
+  cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from counted join sums using (conv_id, depth)
+"""
