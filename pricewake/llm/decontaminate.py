@@ -7,8 +7,9 @@
    be in place. Sliding a window right to the next shared shingle drops none, so
    no other start gives more similarity. Windows at shared shingles that hold too
    few of them for the threshold are not fingerprinted.
-2. Every anchored window gets a 64-bit SimHash of its shingles, each weighted by
-   its number of occurrences.
+2. Every window gets a 64-bit SimHash of its shingles, the k-th copy of a shingle
+   being an element of its own. Windows and items of one length then are sets of
+   one size, and their overlap is that of the weighted similarity below.
 3. Windows and items of equal length are matched through a multi-index over
    ``radius + 1`` blocks of the fingerprint: two fingerprints within the radius
    differ in at most ``radius`` bits, so at least one block is equal. All pairs
@@ -96,13 +97,35 @@ def _lanes(bits: Column) -> Column:
     return bits.bitwiseAND(F.lit(1)).bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit(2)), 31))
 
 
+def _copies(words: Column) -> Column:
+    """A hash for every shingle of the words and number of its copy: (s, 1), (s, 2) and so on.
+
+    Sorting brings copies together. The one-element arrays bind what is used
+    more than once; every step passes over the shingles once.
+    """
+    places = F.sequence(F.lit(0), F.size(words) - SHINGLE)
+    hashes = F.array_sort(F.transform(places, lambda p: _shingle_hash(words, p)))
+
+    def runs(h: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        return F.struct(h.alias("h"), begins.alias("begins"))
+
+    def numbered(x: Column) -> Column:
+        def run(begin: Column, j: Column) -> Column:
+            length = F.coalesce(F.get(x["begins"], j + 1), F.size(x["h"])) - begin
+            return F.transform(F.sequence(F.lit(1), length), lambda k: F.xxhash64(F.get(x["h"], begin), k))
+
+        return F.flatten(F.transform(x["begins"], run))
+
+    return F.get(F.transform(F.transform(F.array(hashes), runs), numbered), F.lit(0))
+
+
 def with_simhash(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """``keys`` and ``fingerprint``: bit k is set if more than half of the shingles' hashes have it.
+    """``keys`` and ``fingerprint``: bit k is set if more than half of the hashes of ``_copies`` have it.
 
     Each lane counts more shingles than an array holds; the top one is read without its sign.
     """
-    places = F.explode(F.sequence(F.lit(0), F.size(words) - SHINGLE)).alias("__at")
-    hashed = rows.select(*keys, words, places).select(*keys, _shingle_hash(F.col(words), F.col("__at")).alias("__h"))
+    hashed = rows.select(*keys, F.explode(_copies(F.col(words))).alias("__h"))
     sums = [
         F.sum(_lanes(F.shiftrightunsigned("__h", 2 * j).bitwiseAND(F.lit(3).cast("long")))).alias(f"__s{j}")
         for j in range(BITS // 2)
@@ -182,9 +205,11 @@ def find_leaks(
     """(doc, item, start, similarity) of every document and benchmark item of which it has a window.
 
     The best of all windows as long as the item; of equals the first that is
-    anchored or starts at a shared shingle. ``start`` counts words from 0. At similarity 0.8 a bit of the two fingerprints differs with probability
-    0.15, so a radius of 19 of 64 bits passes all but 5 in 10,000 of the pairs
-    that only just reach the threshold, and more of all others.
+    anchored or starts at a shared shingle. ``start`` counts words from 0. At
+    similarity 0.8 two sets of one size share 8 of 9 elements, repeated shingles
+    or not, and a bit of their fingerprints differs with probability 0.15; so a
+    radius of 19 of 64 bits passes all but 5 in 10,000 of the pairs that only
+    just reach the threshold, and more of all others.
 
     Null or short texts (fewer than five words) and rows without an id yield
     nothing; an item of fewer than five words has no shingle and is never found.
@@ -213,8 +238,9 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without a benchmark passage, columns unchanged; rows without an id stay."""
-    leaked = find_leaks(docs, benchmark, doc_id, text).select(F.col("doc").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(doc_id) == F.col("__leaked"), "left_anti")
+    leaked = find_leaks(docs, benchmark, doc_id, text).select("doc").distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(leaked, F.col("row")[doc_id] == F.col("doc"), "left_anti").select("row.*")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

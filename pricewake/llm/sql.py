@@ -18,22 +18,30 @@ placed as (
   select kind, pos, least, r, val, cast(ends - length(hit) as bigint) as s, cast(ends as bigint) as e
   from (select *, sum(length(gap) + length(hit)) over (partition by kind, r order by k) as ends from parts)),
 base as (select * from placed where pos < 3 and length(val) >= least),
-candidates as (
-  select r, s, val, case when regexp_matches(val, '^[0-9a-fA-F]+$') then 3.05
-    when regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') then 3.65 else 4.15 end as bits
-  from placed where pos = 3 and not regexp_matches(val, '^[0-9]+$')
-    and not regexp_matches(val, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
-    and not regexp_matches(val, '(?i)example|sample|placeholder|dummy|changeme|your[_-]')
-    and not regexp_matches(val, '^[/+_=-]*$') and not regexp_matches(val, '^(0123456789|abcdefghij)')),
-windows as (select r, s, bits, unnest(range(length(val) - 19)) as w, val from candidates),
-letters as (select r, s, bits, w, unnest(string_split(val[w + 1:w + 20], '')) as c from windows),
-counts as (select r, s, bits, w, c, count(*) as n from letters group by all),
+-- Allowed parts of a run of candidate characters are blanked out.
+blanked as (
+  select r, s, array_to_string(list_transform(regexp_extract_all(val, '[A-Za-z0-9+-]+|[/=_]+'), lambda p: case
+    when regexp_matches(p, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
+      or regexp_matches(p, '(?i)example|sample|placeholder|dummy|changeme|your-|your$')
+      or regexp_matches(p, '^[+-]*$') or regexp_matches(p, '^(0123456789|abcdefghij)')
+    then repeat(' ', length(p)) else p end), '') as val
+  from placed where pos = 3),
+windows as (select r, s, unnest(range(length(val) - 19)) as w, val from blanked),
+whole as (
+  select r, s, w, val[w + 1:w + 20] as x, w - length(regexp_extract(val[1:w], '[^ ]*$')) as piece
+  from windows where not contains(val[w + 1:w + 20], ' ') and not regexp_matches(val[w + 1:w + 20], '^[0-9]+$')),
+judged as (
+  select *, case when regexp_matches(x, '^[0-9a-fA-F]+$') then 3.05
+    when regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Za-z]') then 3.65 else 4.15 end as bits
+  from whole),
+letters as (select r, s, piece, bits, w, unnest(string_split(x, '')) as c from judged),
+counts as (select r, s, piece, bits, w, c, count(*) as n from letters group by all),
 noisy as (
-  select r, s, w from counts group by r, s, w, bits
+  select r, s, piece, w from counts group by r, s, piece, w, bits
   having log2(20) - sum(n * log2(n)) / 20 >= bits - 1e-10),
 spans as (
   select r, kind, pos, s, e from base
-  union all select r, 'entropy', 3, s + min(w), s + max(w) + 20 from noisy group by r, s),
+  union all select r, 'entropy', 3, s + min(w), s + max(w) + 20 from noisy group by r, s, piece),
 written as (
   select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
     count(*) filter (kind = 'hex') as n_hex,
@@ -56,9 +64,15 @@ doc_at as (select doc, w, unnest(range(len(w) - 4)) as p from doc_words where le
 item_at as (select item, w, len(w) as n, unnest(range(len(w) - 4)) as p from item_words where len(w) >= 5),
 doc_shingles as (select doc, len(w) as dn, p, array_to_string(w[p + 1:p + 5], ' ') as s from doc_at),
 item_shingles as (select item, n, p, array_to_string(w[p + 1:p + 5], ' ') as s from item_at),
-windows as (
-  select distinct d.doc, i.n, greatest(0, least(d.p - i.p, d.dn - i.n)) as start
+shared_places as (
+  select distinct d.doc, d.dn, i.n, d.p, greatest(0, least(d.p - i.p, d.dn - i.n)) as anchored, greatest(0, least(d.p, d.dn - i.n)) as inwards
   from doc_shingles d join item_shingles i using (s)),
+-- Every start place of a window that holds a shingle of an item of its length; the others have similarity 0.
+windows as (
+  select distinct doc, n, unnest(range(greatest(0, least(p - n + 5, dn - n)), greatest(0, least(p, dn - n)) + 1)) as start
+  from shared_places),
+first_choice as (
+  select doc, n, anchored as start from shared_places union select doc, n, inwards from shared_places),
 window_counts as (
   select v.doc, v.n, v.start, d.s, count(*) as c
   from windows v join doc_shingles d on d.doc = v.doc and d.p between v.start and v.start + v.n - 5 group by all),
@@ -71,8 +85,10 @@ scored as (
   select doc, item, start, m / (z.size + (n - 4) - m) as similarity
   from shared join window_sizes z using (doc, n, start)),
 best as (
-  select *, row_number() over (partition by doc, item order by similarity desc, start) as k
-  from scored where similarity >= 0.8)
+  select s.*, row_number() over (partition by s.doc, s.item order by similarity desc, f.start is null, s.start) as k
+  from (select scored.*, i.n from scored join (select distinct item, n from item_counts) i using (item)) s
+    left join first_choice f on f.doc = s.doc and f.n = s.n and f.start = s.start
+  where similarity >= 0.8)
 select doc as doc_id, item as item_id, cast(start as bigint) as start, round(similarity, 6) as similarity from best where k = 1
 """
 

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricewake.llm import secrets
 from pricewake.llm.secrets import KINDS, EntropyRule, redact, secret_spans
@@ -14,27 +16,33 @@ ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=
 RULE = EntropyRule()
 
 
+def is_noisy(x: str) -> bool:
+    """A window judged by its own characters."""
+    if re.fullmatch("[0-9]+", x):
+        return False
+    if re.fullmatch("[0-9a-fA-F]+", x):
+        bits = RULE.hex_bits
+    elif re.search("[0-9]", x) and re.search("[A-Za-z]", x):
+        bits = RULE.mixed_bits
+    else:
+        bits = RULE.plain_bits
+    counts = [x.count(c) for c in set(x)]
+    return -sum(n / len(x) * math.log2(n / len(x)) for n in counts) >= bits - 1e-10
+
+
 def plain_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
-        s = m[0]
-        if re.fullmatch("[0-9]+", s) or any(re.search(a, s) for a in RULE.allowed):
-            continue
-        if re.fullmatch("[0-9a-fA-F]+", s):
-            bits = RULE.hex_bits
-        elif re.search("[0-9]", s) and re.search("[A-Za-z]", s):
-            bits = RULE.mixed_bits
-        else:
-            bits = RULE.plain_bits
-        hits = []
-        for w in range(len(s) - 19):
-            counts = [s[w : w + 20].count(c) for c in set(s[w : w + 20])]
-            if -sum(n / 20 * math.log2(n / 20) for n in counts) >= bits - 1e-10:
-                hits.append(w)
-        if hits:
-            found.append((m.start() + hits[0], 3, m.start() + hits[-1] + 20))
+        # Allowed parts are blanked out; what they leave is judged piece by piece.
+        blank = lambda p: " " * len(p[0]) if p[0][0] not in "/=_" and any(re.search(a, p[0]) for a in RULE.allowed) else p[0]
+        for piece in re.finditer("[^ ]{20,}", re.sub("[A-Za-z0-9+-]+|[/=_]+", blank, m[0])):
+            s = piece[0]
+            hits = [w for w in range(len(s) - 19) if is_noisy(s[w : w + 20])]
+            if hits:
+                at = m.start() + piece.start()
+                found.append((at + hits[0], 3, at + hits[-1] + 20))
     return sorted(found)
 
 
@@ -64,8 +72,10 @@ def test_no_python_in_the_plan(spark):
 
 def test_redaction_cuts_merged_spans_and_keeps_columns(spark):
     texts = hard_texts()
-    docs = spark.createDataFrame([(i, t, len(t), "k") for i, t in enumerate(texts)], "i int, text string, n_chars long, `__clean` string")
-    out = {r["i"]: r for r in redact(docs.drop("__clean")).collect()}
+    names = ["secret_spans", "__clean", "clean", "row", "Spans"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "i int, text string, n_chars long")
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    out = {r["i"]: r for r in redact(docs).collect()}
     for i, text in enumerate(texts):
         expected, at, end = "", 0, 0
         for start, _, stop in plain_spans(text):
@@ -75,7 +85,37 @@ def test_redaction_cuts_merged_spans_and_keeps_columns(spark):
         expected += text[end:]
         assert out[i]["text"] == expected
         assert out[i]["n_chars"] == len(expected)
-    assert redact(docs.drop("__clean")).columns == ["i", "text", "n_chars"]
+        assert [out[i][n] for n in names] == names
+    assert redact(docs).columns == docs.columns
+    spans = secret_spans(docs.withColumnRenamed("secret_spans", "SECRET_spans"))
+    assert spans.columns == ["i", "text", "n_chars", *names[1:], "secret_spans"]
+
+
+def test_time_grows_with_the_matches(spark):
+    """200,000 keys in one text, with characters of two and four bytes between them; running maxima cross strides."""
+    n = 200_000
+    text = "".join(f"{i:016x}é " if i % 5 else f"{i:016x}\U0001f600 " for i in range(n))
+    docs = spark.createDataFrame([(1, text, 0)], "i int, text string, n_chars long")
+    begin = time.monotonic()
+    spans = secret_spans(docs).select(F.size("secret_spans").alias("n"), F.col("secret_spans")[n - 1].alias("last")).first()
+    assert spans["n"] == n and spans["last"]["end"] == len(text) - 2
+    clean = redact(docs).first()["text"]
+    assert clean == re.sub("[0-9a-f]{16}", "<secret>", text)
+    assert time.monotonic() - begin < 60
+
+
+def test_class_and_allowed_words_are_those_of_the_window(spark):
+    """A hex key keeps its class beside other signs; an allowed word hides its own part alone."""
+    key = "4f9c1e7a2b8d3f60e5a1c97b42d8f30e"
+    texts = [f"/keys/{key.upper()}", f"SIGNATURE={key.upper()}", f"sample/{key.upper()}/{key.upper()[::-1]}", f"{key.upper()}_your_dummy_{key.upper()}"]
+    found = secret_spans(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    entropy = [[(s["start"], s["end"]) for s in r["secret_spans"] if s["kind"] == 3] for r in found]
+    assert len(entropy[0]) == 1 and entropy[0][0][1] == len(texts[0])
+    assert len(entropy[1]) == 1 and entropy[1][0][1] == len(texts[1])
+    assert len(entropy[2]) == 1 and entropy[2][0][0] >= 6 and entropy[2][0][1] == len(texts[2])
+    assert len(entropy[3]) == 2
+    for r, text in zip(found, texts):
+        assert [tuple(s) for s in r["secret_spans"]] == plain_spans(text)
 
 
 def test_empty_table_nulls_and_repeats(spark):
