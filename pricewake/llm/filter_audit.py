@@ -9,6 +9,7 @@ of filters, and an order reads its steps off the sets it passes.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, permutations
 from math import factorial
 
@@ -21,13 +22,20 @@ from pricewake.llm.common import cut, join_split, new_folder, quoted, remove_fol
 REPEATED = "E"
 # All orders are listed, so the number of filters is small.
 MOST_FILTERS = 6
+# Sets of filters that are counted by one job.
+AT_ONCE = 5
 
 
 def text_filters(text: Column) -> dict[str, Column]:
     """Failure conditions on one text: too short, too repetitive, too many capitals, signs of markup."""
-    # Words stand between ASCII white space; a text is split once for both counts.
-    words = F.array_remove(F.split(F.translate(text, "\t\n\v\f\r", "     "), " "), "")
-    counts = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d")))[0]
+    # Words stand between ASCII white space; a text is split once for both counts. No word at all is one empty one.
+    spaced = F.trim(F.regexp_replace(text, "[\\x09-\\x0D\\x20]{2,}|[\\x09-\\x0D]", " "))
+
+    def counted(words: Column) -> Column:
+        none = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
+        return F.struct((F.size(words) - none).alias("n"), (F.size(F.array_distinct(words)) - none).alias("d"))
+
+    counts = F.transform(F.array(F.split(spaced, " ")), counted)[0]
     n, distinct = counts["n"].cast("long"), counts["d"].cast("long")
     points = F.length(text).cast("long")
     capitals = points - F.length(F.regexp_replace(text, "[A-Z]+", ""))
@@ -72,8 +80,10 @@ def store_failures(
     return rows.select("row", "doc_id", "part"), {n: failures.where(F.col("filter") == n).select("row") for n in names}
 
 
-def prefix_counts(rows: DataFrame, failures: dict[str, DataFrame]) -> DataFrame:
-    """Per part and set of filters (``passed``, a bit each): ``kept``, ``good``, ``toxic`` of the rows that no filter of the set fails.
+def prefix_counts(rows: DataFrame, failures: dict[str, DataFrame]) -> list[DataFrame]:
+    """A frame for every set of filters and every filter, small plans each, with the same columns.
+
+    Per part and set of filters (``passed``, a bit each): ``kept``, ``good``, ``toxic`` of the rows that no filter of the set fails.
 
     Per part and filter also the rows that fail it, in ``kept`` beside
     ``fails``, its place; there ``passed`` is null. Parts without such rows have
@@ -92,13 +102,13 @@ def prefix_counts(rows: DataFrame, failures: dict[str, DataFrame]) -> DataFrame:
         )
 
     left = {(): rows}
-    found = counted(rows, 0, None)
+    found = [counted(rows, 0, None)]
     for size in range(1, len(names) + 1):
         for chosen in combinations(range(len(names)), size):
             left[chosen] = left[chosen[:-1]].join(failures[names[chosen[-1]]], "row", "left_anti")
-            found = found.unionByName(counted(left[chosen], sum(1 << i for i in chosen), None))
+            found.append(counted(left[chosen], sum(1 << i for i in chosen), None))
     for i, name in enumerate(names):
-        found = found.unionByName(counted(rows.join(failures[name], "row", "left_semi"), None, i))
+        found.append(counted(rows.join(failures[name], "row", "left_semi"), None, i))
     return found
 
 
@@ -187,7 +197,12 @@ def audit_filters(
         "row", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")
     )
     marked.write.parquet(f"{folder}/marked")
-    counts = cut(prefix_counts(spark.read.parquet(f"{folder}/marked"), failures))
+    frames = prefix_counts(spark.read.parquet(f"{folder}/marked"), failures)
+    for low in range(0, len(frames), AT_ONCE):
+        # One plan of all sets would hold some eighty joins.
+        some = reduce(DataFrame.unionByName, frames[low : low + AT_ONCE])
+        some.write.mode("append").parquet(f"{folder}/counts")
+    counts = cut(spark.read.parquet(f"{folder}/counts"))
     remove_folder(spark, folder)
     return order_report(counts, [*filters, REPEATED])
 

@@ -142,5 +142,9 @@ def test_plan_has_no_hot_group(spark):
     docs, labels = sample_rows(30)
     rows = spark.createDataFrame([(i, "p", 0, 1) for i in range(30)], "row long, part string, good int, toxic int")
     ids = {n: rows.where(F.col("row") % k == 0).select("row") for n, k in zip("ABC", (2, 3, 5))}
-    plan = filter_audit.prefix_counts(rows, {k: v.hint("merge") for k, v in ids.items()})._jdf.queryExecution().toString()
-    assert "LeftAnti" in plan and "LeftSemi" in plan and "Cartesian" not in plan
+    frames = filter_audit.prefix_counts(rows, {k: v.hint("merge") for k, v in ids.items()})
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in frames]
+    assert len(plans) == 11 and "LeftSemi" in plans[-1]
+    whole = plans[7]
+    # The rows are dealt once for three joins, and each id table once.
+    assert whole.count("LeftAnti") == 3 and whole.count("hashpartitioning(row") == 4 and "Cartesian" not in whole
