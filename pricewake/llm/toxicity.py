@@ -1,20 +1,28 @@
 """Toxicity from the nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over a vocabulary that the labels select;
-similarity is their cosine, exact. Examples lie in blocks of an inverted index
-that knows the largest weight of every term in every block. For a text this
-bounds the similarity of all examples of a block; blocks are read from the
-highest bound down, until no bound reaches the k-th best similarity found.
-Votes of the k nearest examples, weighted by similarity, are calibrated by a
-logistic curve fitted to the examples' own leave-one-out votes.
+Examples and texts are TF-IDF vectors over all their terms; similarity is their
+cosine, exact. Examples lie in blocks of an inverted index that knows the
+largest weight of every term in every block. For a text this bounds the
+similarity of all examples of a block; blocks are read from the highest bound
+down, until no bound reaches the k-th best similarity found. Votes of the k
+nearest examples, weighted by similarity, are calibrated by a logistic curve
+fitted to the examples' own leave-one-out votes.
+
+A term weighs (1 + log of its count) times the square of log(documents / documents
+with it); the square keeps a few telling terms from drowning in a long text's
+common ones. Document frequencies are those of all documents, for every term
+that an example has. A term that none has adds to the length of a text alone; it
+counts as one that no document has.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -22,51 +30,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import crc_remainder, fit_logistic, prepare_python, table, text_of
+from pricewake.llm.common import columns_without, crc_remainder, cut, fit_logistic, prepare_python, quoted, table, text_of, worker_cache
 from pricewake.llm.sampling import bounded_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
 # Lengths of the word beginnings that are terms too.
 PREFIXES = (4, 6, 8)
+# Words whose terms a worker keeps, some 250 bytes each.
+KEPT_WORDS = 400_000
 
 
 @dataclass(frozen=True)
 class Setting:
-    """Sample bound (rows of each label), vocabulary bound and neighbours.
+    """Sample bound (rows of each label), neighbours, examples of a block, and neighbours shown as evidence."""
 
-    A term needs ``least_documents`` examples and an association with the label
-    of ``least_z`` standard errors; the strongest ``vocabulary`` ones are taken.
-    """
-
-    per_label: int = 1500
-    vocabulary: int = 512
-    least_documents: int = 3
-    least_z: float = 3.5
-    neighbours: int = 15
+    per_label: int = 1000
+    neighbours: int = 100
     block: int = 64
     seed: int = 23
     evidence: int = 3
 
 
-def terms_of(text: str) -> Counter:
-    """Words in lower case, and the first letters of longer words with a mark, with their counts."""
-    words = Counter(_WORD.findall(text.lower()))
-    starts: Counter = Counter()
-    for word, n in words.items():
-        for k in PREFIXES:
-            if len(word) <= k:
-                break
-            starts[f"^{word[:k]}"] += n
-    words.update(starts)
-    return words
+def terms_of_word(word: str) -> list[str]:
+    """A word and, with a mark, the first letters of a longer one."""
+    return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)]
+
 
+class Terms(dict):
+    """Numbers of the terms of a word, as many as ``WIDTH``, -1 where there are fewer.
 
-def _weights(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.log(counts)
+    Terms of the examples have fixed numbers. Others get the next ones, which
+    stand until the words are forgotten and serve to add them up within a text.
+    """
+
+    WIDTH = 1 + len(PREFIXES)
+
+    def __init__(self, known: dict[str, int]):
+        self.known = known
+        self.others: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        n = len(self.known)
+        numbers = []
+        for term in terms_of_word(word):
+            number = self.known.get(term)
+            if number is None:
+                number = self.others.setdefault(term, n + len(self.others))
+            numbers.append(number)
+        numbers += [-1] * (self.WIDTH - len(numbers))
+        self[word] = found = array("i", numbers).tobytes()
+        return found
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's terms in order, and how often each stands there."""
+        words = Counter(_WORD.findall(text.lower()))
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.others.clear()
+        numbers = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), self.WIDTH)
+        order = np.argsort(numbers, kind="stable")
+        order = order[np.searchsorted(numbers[order], 0) :]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        numbers = numbers[order]
+        first = np.flatnonzero(np.diff(numbers, prepend=-1))
+        return numbers[first].astype(np.int64), np.add.reduceat(times[order], first)
+
+    def distinct(self, text: str) -> np.ndarray:
+        """Numbers of those terms of a text that examples have."""
+        words = set(_WORD.findall(text.lower()))
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.others.clear()
+        numbers = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        return np.unique(numbers[(numbers >= 0) & (numbers < len(self.known))])
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors, its postings sorted by block and term."""
+    """Inverted index of vectors, its postings sorted by block and term."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int):
         self.n, self.block, self.n_terms = len(vectors), block, n_terms
@@ -75,151 +117,168 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(self.n), sizes)
         self.n_blocks = max(1, -(-self.n // block))
-        cell = example // block * n_terms + term
+        # By term and then block, so that what a text reads lies together.
+        cell = term * self.n_blocks + example // block
         order = np.argsort(cell, kind="stable")
-        self.example, self.weight = example[order], weight[order]
-        self.first = np.searchsorted(cell[order], np.arange(self.n_blocks * n_terms + 1))
-        self.largest = np.zeros(self.n_blocks * n_terms)
-        np.maximum.at(self.largest, cell, weight)
-        self.largest = self.largest.reshape(self.n_blocks, n_terms)
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.first = np.searchsorted(cell[order], np.arange(self.n_blocks * n_terms + 1)).astype(np.int32)
+        largest = np.zeros(self.n_blocks * n_terms)
+        np.maximum.at(largest, cell, weight)
+        self.largest = largest.reshape(n_terms, self.n_blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (all but one, if named) and their cosines over 0, nearest first, ties by number."""
-        bound = self.largest[:, terms] @ weights
+        """The k nearest examples (all but one, if named) and their cosines over 0, nearest first, ties by number.
+
+        Blocks are read in rounds, each of what the k-th best cosine so far
+        leaves over; where that is most of them, all are read in one go.
+        """
+        bound = weights @ self.largest[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[: np.searchsorted(-bound[order], 0.0)]
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, width = 0, 2
+        sums = np.zeros(self.n)
+        best, cosines = np.zeros(0, np.int64), np.zeros(0)
+        at, width = 0, max(1, -(-2 * k // self.block))
         while at < len(order):
-            # A hair below the bound, as sums in another order differ in the last bits.
-            if len(found) >= k and bound[order[at]] < cosines[k - 1] - 1e-9:
-                break
-            blocks = order[at : at + width]
-            at, width = at + width, 2 * width
-            cells = (blocks[:, None] * self.n_terms + terms).ravel()
+            if len(best) >= k:
+                # A hair below the bound, as sums in another order differ in the last bits.
+                order = order[: np.searchsorted(-bound[order], -(cosines[k - 1] - 1e-9), "right")]
+            if at and 2 * (len(order) - at) > self.n_blocks:
+                width = len(order)
+                sums[:] = 0
+                self._add(sums, terms, weights, np.arange(self.n_blocks))
+            else:
+                blocks = order[at : at + width]
+                if not len(blocks):
+                    break
+                self._add(sums, terms, weights, blocks)
+            at, width = at + width, 4 * width
+            if 0 <= but < self.n:
+                sums[but] = 0
+            best = np.flatnonzero(sums > 0)
+            if len(best) > k:
+                least = np.partition(sums[best], -k)[-k]
+                best = best[sums[best] >= least]
+            best = best[np.lexsort((best, -sums[best]))][:k]
+            cosines = sums[best]
+        return best, cosines
+
+    def _add(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> None:
+        """Add to each example of the blocks its products with the text; a block's examples are added once."""
+        if len(blocks) == self.n_blocks:
+            low, high = self.first[terms * self.n_blocks], self.first[(terms + 1) * self.n_blocks]
+        else:
+            cells = (terms[:, None] * self.n_blocks + blocks).ravel()
             low, high = self.first[cells], self.first[cells + 1]
-            sizes = high - low
-            total = int(sizes.sum())
-            if not total:
-                continue
-            places = np.repeat(low - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(total)
-            share = np.repeat(np.tile(weights, len(blocks)), sizes) * self.weight[places]
-            examples, where = np.unique(self.example[places], return_inverse=True)
-            sums = np.bincount(where, share)
-            kept = examples != but
-            found, cosines = np.r_[found, examples[kept]], np.r_[cosines, sums[kept]]
-            best = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-        return found, cosines
+            weights = np.repeat(weights, len(blocks))
+        full = high > low
+        low, high, weights = low[full], high[full], weights[full]
+        sizes = high - low
+        total = int(sizes.sum())
+        if not total:
+            return
+        places = np.repeat(low - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(total)
+        sums += np.bincount(self.example[places], np.repeat(weights, sizes) * self.weight[places], self.n)
 
 
 @dataclass
 class NearestExamples:
-    """The fitted model; everything in it is bounded by the setting."""
+    """The fitted model; its size goes with the examples, which the setting bounds."""
 
     setting: Setting
     term_ids: dict[str, int]
     idf: np.ndarray
+    # Of a term that no example has.
+    rarest: float
     labels: np.ndarray
-    ids: np.ndarray
+    ids: list
+    id_type: str
     index: BlockMaxIndex
     slope: float = 0.0
     offset: float = 0.0
     base_rate: float = 0.0
-    # Score of a text without any term of the vocabulary.
+    # Score of a text without any term of an example.
     blank: float = 0.0
+    key: str = field(default="")
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self.term_ids
-        pairs = [(known[t], n) for t, n in terms_of(text).items() if t in known]
-        return unit_vector(pairs, self.idf)
+    def vector(self, numbers: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those terms of a text that examples have, and their weights in a vector of length 1 over all its terms."""
+        known = int(np.searchsorted(numbers, len(self.idf)))
+        weights = 1 + np.log(times)
+        weights[:known] *= self.idf[numbers[:known]]
+        weights[known:] *= self.rarest
+        length = np.sqrt(weights @ weights)
+        return numbers[:known], weights[:known] / (length if length else 1.0)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic among the neighbours, nearer ones counting more (by the square of the cosine).
+        """Share of toxic among the neighbours, each counting by its cosine.
 
-        One neighbour at the least distance of interest stands for the base rate,
-        so that a few far examples decide nothing.
+        Some far neighbour's weight stands for the base rate, so that a few far
+        examples decide nothing.
         """
-        w = cosines**2
-        return float((w @ self.labels[found] + 0.05 * self.base_rate) / (w.sum() + 0.05))
+        return float((cosines @ self.labels[found] + FAR * self.base_rate) / (cosines.sum() + FAR))
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        terms, weights = self.vector(text)
-        if not len(terms) or not self.index.n:
+    def score(self, text: str, terms: Terms) -> tuple[float, np.ndarray, np.ndarray]:
+        numbers, weights = self.vector(*terms.counts(text))
+        if not len(numbers) or not self.index.n:
             return self.blank, np.zeros(0, np.int64), np.zeros(0)
-        found, cosines = self.index.nearest(terms, weights, self.setting.neighbours)
+        found, cosines = self.index.nearest(numbers, weights, self.setting.neighbours)
         if not len(found):
             return self.blank, found, cosines
         return _logistic(self.slope * self.vote(found, cosines) + self.offset), found, cosines
 
 
-def unit_vector(pairs: list[tuple[int, int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted term numbers and TF-IDF weights of length 1."""
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0)
-    terms, counts = np.array(sorted(pairs), np.int64).T
-    weights = _weights(counts) * idf[terms]
-    return terms, weights / np.sqrt(weights @ weights)
+# The weight of the base rate in a vote.
+FAR = 0.2
 
 
 def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
 
-def _select_vocabulary(sample: DataFrame, text: str, setting: Setting) -> list[str]:
-    """Terms whose share of examples differs most between the labels."""
+def _examples(sample: DataFrame) -> list[tuple[int, object, Counter]]:
+    """(label, id, counts of its terms) of every row of a bounded sample."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: list[Counter] = [Counter(), Counter()]
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals[label].update(terms_of(text_).keys())
-        for label in (0, 1):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(totals[label]), pa.string()), pa.array([label] * len(totals[label]), pa.int32()), pa.array(list(totals[label].values()), pa.int64())],
-                ["term", "label", "n"],
-            )
-
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return []
-    counted = sample.select("label", text_of(text).alias("__text")).mapInArrow(count, "term string, label int, n long")
-    by_term = counted.groupBy("term").agg(
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("b"),
-    )
-    share = (F.col("a") + F.col("b") + 1) / (n0 + n1 + 2)
-    z = (F.col("b") / n1 - F.col("a") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    # Rounded, so that terms on equal counts tie and fall by name.
-    strong = by_term.withColumn("z", F.round(F.abs(z), 6)).where(
-        (F.col("a") + F.col("b") >= setting.least_documents) & (F.col("z") >= setting.least_z)
-    )
-    return [r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(setting.vocabulary).collect()]
-
-
-def _document_frequencies(docs: DataFrame, text: str, term_ids: dict[str, int]) -> tuple[int, np.ndarray]:
+            terms, times = [], []
+            for text in batch.column("text").to_pylist():
+                counts: Counter = Counter()
+                for word, n in Counter(_WORD.findall(text.lower())).items():
+                    for term in terms_of_word(word):
+                        counts[term] += n
+                terms.append(list(counts))
+                times.append(list(counts.values()))
+            columns = [batch.column("label"), batch.column("id"), pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "id", "terms", "times"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sample.select("label", "id", "text").mapInArrow(counted, f"label int, id {kind}, terms array<string>, times array<long>").toArrow()
+    return [
+        (label, name, Counter(dict(zip(terms, times))))
+        for label, name, terms, times in zip(*(rows.column(c).to_pylist() for c in ("label", "id", "terms", "times")))
+    ]
+
+
+def _document_frequencies(docs: DataFrame, text: str, term_ids: dict[str, int], key: str) -> tuple[int, np.ndarray]:
     """Number of documents, and of those with each term, over the whole table."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(term_ids)
     n_terms = len(term_ids)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, known = np.zeros(n_terms + 1, np.int64), 0, sent.value
+        total = np.zeros(n_terms + 1, np.int64)
+        terms = worker_cache("toxicity", key, lambda: Terms(sent.value))
         for batch in batches:
             for text_ in batch.column(0).to_pylist():
-                words = set(_WORD.findall(text_.lower()))
-                hits = {known[w] for w in words if w in known}
-                hits.update(known[p] for p in {f"^{w[:k]}" for w in words for k in PREFIXES if len(w) > k} if p in known)
-                total[list(hits)] += 1
+                total[terms.distinct(text_)] += 1
                 total[n_terms] += 1
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(total[kept], pa.int64())], ["t", "c"])
 
-    rows = docs.select(text_of(text).alias("__text")).mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).collect()
+    counted = docs.select(text_of(quoted(text)).alias("text")).mapInArrow(count, "t long, c long")
+    rows = counted.groupBy("t").agg(F.sum("c").alias("c")).toArrow()
     found = np.zeros(n_terms + 1, np.int64)
-    for r in rows:
-        found[r["t"]] = r["c"]
+    found[rows.column("t").to_numpy()] = rows.column("c").to_numpy()
     return int(found[n_terms]), found[:n_terms]
 
 
@@ -239,86 +298,87 @@ def fit(
     """
     spark = docs.sparkSession
     prepare_python(spark)
-    usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
+    usable = labels.select(quoted(doc_id).alias("id"), quoted(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    picked = bounded_sample(usable, "label", "__id", setting.per_label, setting.seed)
-    sample = docs.select(doc_id, text).join(F.broadcast(picked), F.col(doc_id) == F.col("__id"))
-    terms = _select_vocabulary(sample, text, setting)
-    term_ids = {t: i for i, t in enumerate(terms)}
-    model = NearestExamples(setting, term_ids, np.ones(len(terms)), np.zeros(0), np.zeros(0, np.int64), BlockMaxIndex([], max(1, len(terms)), setting.block), base_rate=base, blank=base)
-    if not terms:
+    picked = bounded_sample(usable, "label", "id", setting.per_label, setting.seed)
+    texts = docs.select(quoted(doc_id).alias("id"), text_of(quoted(text)).alias("text"))
+    examples = _examples(cut(texts.join(F.broadcast(picked), "id")))
+    known = Counter(x[0] for x in examples)
+    term_ids: dict[str, int] = {}
+    if known[0] and known[1]:
+        # Numbered by name, so that a rerun gives the same model.
+        term_ids = {t: i for i, t in enumerate(sorted({t for _, _, counts in examples for t in counts}))}
+    kind = docs.schema[doc_id].dataType.simpleString()
+    model = NearestExamples(
+        setting, term_ids, np.ones(len(term_ids)), 1.0, np.zeros(0), [], kind, BlockMaxIndex([], max(1, len(term_ids)), setting.block),
+        base_rate=base, blank=base, key=uuid.uuid4().hex,
+    )
+    if not term_ids:
         return model
-    n_docs, frequency = _document_frequencies(docs, text, term_ids)
-    model.idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-
-    sent = spark.sparkContext.broadcast(term_ids)
-
-    @F.pandas_udf("array<int>")
-    def counts(texts: pd.Series) -> pd.Series:
-        rows = [[x for t, n in terms_of(t).items() if t in sent.value for x in (sent.value[t], n)] for t in texts]
-        return pd.Series([np.array(r, np.int32) for r in rows], dtype=object)
-
-    rows = sample.select("__id", "label", counts(text_of(text)).alias("counts")).collect()
-    examples = []
-    for r in rows:
-        pairs = list(zip(r["counts"][::2], r["counts"][1::2]))
-        examples.append((r["label"], r["__id"], unit_vector(pairs, model.idf)))
+    n_docs, frequency = _document_frequencies(docs, text, term_ids, model.key)
+    model.idf = np.log((1 + n_docs) / (1 + frequency)) ** 2
+    model.rarest = float(np.log(1 + n_docs) ** 2)
+
+    vectors = []
+    for label_, name, counts in examples:
+        numbers = np.array(sorted((term_ids[t], n) for t, n in counts.items()), np.int64).reshape(-1, 2)
+        vectors.append((label_, name, model.vector(numbers[:, 0], numbers[:, 1])))
     # Like next to like: by label, then by the heaviest term, so that a block's bounds are tight.
     heaviest = lambda v: int(v[0][v[1].argmax()]) if len(v[0]) else -1
-    examples.sort(key=lambda e: (e[0], heaviest(e[2]), e[1]))
-    y = np.array([e[0] for e in examples], float)
+    vectors.sort(key=lambda e: (e[0], heaviest(e[2]), e[1]))
+    y = np.array([e[0] for e in vectors], float)
     # Each label weighs as in all labelled rows, not as in the sample.
     weight = np.where(y == 1, base / max(1, y.sum()), (1 - base) / max(1, (1 - y).sum()))
-    blank = np.array([not len(e[2][0]) for e in examples])
-    model.labels, model.ids = y, np.array([e[1] for e in examples])
-    model.index = BlockMaxIndex([e[2] for e in examples], len(terms), setting.block)
+    blank = np.array([not len(e[2][0]) for e in vectors])
+    model.labels, model.ids = y, [e[1] for e in vectors]
+    model.index = BlockMaxIndex([e[2] for e in vectors], len(term_ids), setting.block)
     model.blank = float((weight[blank] @ y[blank] + 1e-3 * base) / (weight[blank].sum() + 1e-3))
     votes = []
     for i in np.flatnonzero(~blank):
-        found, cosines = model.index.nearest(*examples[i][2], setting.neighbours, but=i)
+        found, cosines = model.index.nearest(*vectors[i][2], setting.neighbours, but=i)
         votes.append(model.vote(found, cosines))
     model.slope, model.offset = fit_logistic(np.array(votes), y[~blank], weight[~blank] * len(y))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text") -> DataFrame:
-    """Every column of ``docs`` and score, predicted, evidence (replaced where present).
+    """Every column of ``docs`` and score, predicted, evidence (replaced where present, in any case).
 
     ``score`` is the calibrated chance of label 1, ``predicted`` whether it is
     at least 0.5, ``evidence`` the nearest examples as (id, cosine, label). A
-    null or empty text, or one without a known term, gets the chance of such
-    examples and no evidence. Rows are scored one by one over their whole text;
-    the model is broadcast and bounded by its setting.
+    null or empty text, or one that shares no term with an example, gets the
+    chance of such examples and no evidence. Rows are scored one by one over
+    their whole text; the model is broadcast and bounded by its setting.
     """
     spark = docs.sparkSession
     prepare_python(spark)
     sent = spark.sparkContext.broadcast(model)
+    key = model.key
 
-    @F.pandas_udf("score double, predicted int, evidence array<struct<id:long,cosine:double,label:int>>")
+    @F.pandas_udf(f"score double, predicted int, evidence array<struct<id:{model.id_type},cosine:double,label:int>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
+        terms = worker_cache("toxicity", key, lambda: Terms(m.term_ids))
         top = m.setting.evidence
         for batch in batches:
             rows = []
             for t in batch:
-                score, found, cosines = m.score(t)
-                near = [{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(found[:top], cosines[:top])]
+                score, found, cosines = m.score(t, terms)
+                near = [{"id": m.ids[i], "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(found[:top], cosines[:top])]
                 rows.append((score, int(score >= 0.5), near))
             yield pd.DataFrame(rows, columns=["score", "predicted", "evidence"])
 
     names = ["score", "predicted", "evidence"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    rows = docs.withColumn("__tox", judge(text_of(text)))
-    return rows.select(*kept, *[F.col(f"__tox.{n}").alias(n) for n in names])
+    rows = docs.select(F.struct(*columns_without(docs, names)).alias("kept"), judge(text_of(quoted(text))).alias("found"))
+    return rows.select("kept.*", *[F.col(f"found.{n}").alias(n) for n in names])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Documents that are not predicted toxic, columns unchanged."""
     model = fit(docs, labels, text, doc_id)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__t"))
-    kept = score_toxicity(rows, model, "__t").where("predicted = 0")
-    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), quoted(text).alias("whole"))
+    return score_toxicity(rows, model, "whole").where("predicted = 0").select("row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,6 +164,80 @@ def test_toxicity_edges(spark, sf01):
     assert kept.columns == edges(spark).columns and kept.count() == len(EDGES)
 
 
+def plain_scores(docs, labels, setting):
+    """Cosines, votes and scores in plain Python; the sample holds all labelled rows."""
+    texts = {i: t or "" for i, t in docs}
+
+    def counts(text):
+        found = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            found.update([word, *("^" + word[:k] for k in (4, 6, 8) if len(word) > k)])
+        return found
+
+    frequency = Counter(t for _, text in docs for t in counts(text or ""))
+    examples = {i: (y, counts(texts[i])) for i, y in labels}
+    known = {t for _, c in examples.values() for t in c}
+    weigh = lambda t: math.log((1 + len(docs)) / (1 + (frequency[t] if t in known else 0))) ** 2
+
+    def vector(c):
+        w = {t: (1 + math.log(n)) * weigh(t) for t, n in c.items()}
+        length = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / length for t, x in w.items()}
+
+    vectors = {i: vector(c) for i, (_, c) in examples.items()}
+    base = sum(y for _, y in labels) / len(labels)
+
+    def near(text, but=None):
+        v = vector(counts(text))
+        cosines = {i: sum(x * u.get(t, 0.0) for t, x in v.items()) for i, u in vectors.items() if i != but}
+        best = sorted((c for c in cosines.items() if c[1] > 1e-12), key=lambda c: -c[1])[: setting.neighbours]
+        total = sum(c for _, c in best)
+        vote = (sum(c * examples[i][0] for i, c in best) + toxicity.FAR * base) / (total + toxicity.FAR)
+        return vote, best
+
+    order = [i for i in examples if examples[i][1]]
+    y = np.array([examples[i][0] for i in order], float)
+    n1, n = sum(y for y, _ in examples.values()), len(examples)
+    weight = np.where(y == 1, base / n1, (1 - base) / (n - n1)) * n
+    slope, offset = fit_logistic(np.array([near(texts[i], i)[0] for i in order]), y, weight)
+    found = {}
+    for i, text in docs:
+        vote, best = near(text or "")
+        found[i] = (1 / (1 + math.exp(-(slope * vote + offset))), best) if best else None
+    return found
+
+
+@pytest.mark.parametrize("names", ["number", "text"])
+def test_toxicity_equals_a_plain_computation(spark, names):
+    """Ids may be texts; the result's names, in any case, give way."""
+    rng = random.Random(6)
+    common, foul = [f"word{chr(97 + i)}" for i in range(26)], ["vile", "scummy", "rotten", "abominable"]
+    docs = []
+    for i in range(150):
+        words = [rng.choice(common) for _ in range(rng.randint(5, 40))] + ["".join(rng.choice("abcdefgh") for _ in range(6))]
+        words += [rng.choice(foul) for _ in range(rng.randint(1, 3))] if i % 3 == 0 else []
+        rng.shuffle(words)
+        docs.append((i if names == "number" else f"d{i}", " ".join(words)))
+    docs += [(900 if names == "number" else "none", None), (901 if names == "number" else "new", "zzz qqq")]
+    labels = [(d, int(i % 3 == 0)) for i, (d, _) in enumerate(docs[:100])]
+    setting = toxicity.Setting(neighbours=9, block=8)
+    kind = "long" if names == "number" else "string"
+    frame = spark.createDataFrame([(*d, "s", "p", "e", "k") for d in docs], f"doc_id {kind}, text string, SCORE string, `__tox` string, Evidence string, kept string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, f"doc_id {kind}, toxic int"), setting=setting)
+    scored = toxicity.score_toxicity(frame, model)
+    assert scored.columns == ["doc_id", "text", "__tox", "kept", "score", "predicted", "evidence"]
+    expected = plain_scores(docs, labels, setting)
+    for row in scored.collect():
+        if expected[row["doc_id"]] is None:
+            assert row["score"] == pytest.approx(model.blank) and row["evidence"] == []
+            continue
+        score, best = expected[row["doc_id"]]
+        assert row["score"] == pytest.approx(score, abs=1e-6)
+        assert [e["cosine"] for e in row["evidence"]] == pytest.approx([c for _, c in best[:3]])
+        assert all(e["cosine"] == pytest.approx(dict(best)[e["id"]]) for e in row["evidence"])
+    assert toxicity.drop_toxic(frame, spark.createDataFrame(labels, f"doc_id {kind}, toxic int")).columns == frame.columns
+
+
 # Quality
 
 
