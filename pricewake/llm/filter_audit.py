@@ -26,24 +26,27 @@ MOST_FILTERS = 6
 AT_ONCE = 5
 
 
-def text_filters(text: Column) -> dict[str, Column]:
-    """Failure conditions on one text: too short, too repetitive, too many capitals, signs of markup."""
-    # Words stand between ASCII white space; a text is split once for both counts. No word at all is one empty one.
-    spaced = F.trim(F.regexp_replace(text, "[\\x09-\\x0D\\x20]{2,}|[\\x09-\\x0D]", " "))
-
-    def counted(words: Column) -> Column:
-        none = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
-        return F.struct((F.size(words) - none).alias("n"), (F.size(F.array_distinct(words)) - none).alias("d"))
-
-    counts = F.transform(F.array(F.split(spaced, " ")), counted)[0]
-    n, distinct = counts["n"].cast("long"), counts["d"].cast("long")
-    points = F.length(text).cast("long")
-    capitals = points - F.length(F.regexp_replace(text, "[A-Z]+", ""))
+def measures(text: Column) -> Column:
+    """What the filters ask of a text: ``counts`` of words, ``n``, and distinct ones, ``d``, ``points``, ``capitals``, ``marked``."""
+    # Words stand between ASCII white space; a text is split once for both counts, by one sign, as that is quick.
+    spaced = reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit(" ")), "\t\n\v\f\r", text)
+    words = F.array_remove(F.split(spaced, " "), "")
+    both = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("d"))
+    return F.struct(
+        F.transform(F.array(words), both)[0].alias("counts"),
+        F.length(text).cast("long").alias("points"),
+        F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("capitals"),
+        text.rlike("[#$%&*|]").alias("marked"),
+    )
+
+
+def text_filters(of: Column) -> dict[str, Column]:
+    """Failure conditions on the measures of a text: too short, too repetitive, too many capitals, signs of markup."""
     return {
-        "A": n < 50,
-        "B": 100 * distinct < 65 * n,
-        "C": 100 * capitals > 5 * points,
-        "D": text.rlike("[#$%&*|]"),
+        "A": of["counts"]["n"] < 50,
+        "B": 100 * of["counts"]["d"] < 65 * of["counts"]["n"],
+        "C": 100 * of["capitals"] > 5 * of["points"],
+        "D": of["marked"],
     }
 
 
@@ -184,7 +187,11 @@ def audit_filters(
     are made, at once, one row per part and set of filters.
     """
     spark = docs.sparkSession
-    filters = text_filters(text_of(quoted(text))) if filters is None else filters
+    if filters is None:
+        docs = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"), quoted(part).alias("part"))
+        # A generator of one row, so that the measures are taken once and not by every filter.
+        docs = docs.select("*", F.inline(F.array(F.struct(measures(text_of("text")).alias("measures")))))
+        doc_id, text, part, filters = "id", "text", "part", text_filters(F.col("measures"))
     if len(filters) >= MOST_FILTERS or REPEATED in filters or any(len(n) != 1 for n in filters):
         raise ValueError(f"up to {MOST_FILTERS - 1} filters, named by one letter other than {REPEATED}")
     folder = new_folder(spark, "filter-audit")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewake.llm import filter_audit
-from pricewake.llm.filter_audit import audit_filters, store_failures, text_filters
+from pricewake.llm.filter_audit import audit_filters, measures, store_failures, text_filters
 
 COLUMNS = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
@@ -116,7 +116,7 @@ def test_empty_tables(spark):
 def test_id_tables(spark, tmp_path):
     docs, _ = sample_rows(80)
     frame = spark.createDataFrame(docs, DOCS)
-    rows, failures = store_failures(frame, text_filters(F.coalesce("text", F.lit(""))), str(tmp_path / "a"))
+    rows, failures = store_failures(frame, text_filters(measures(F.coalesce("text", F.lit("")))), str(tmp_path / "a"))
     ids = {r["row"]: r["doc_id"] for r in rows.collect()}
     assert len(ids) == 80
     for name in "ABCDE":
