@@ -187,6 +187,11 @@ def worker_cache(owner: str, key: str, make: Callable[[], object]) -> object:
     return _held[owner, key]
 
 
+def free_worker_cache() -> None:
+    """Give back what the worker keeps, before a step that needs none of it."""
+    _held.clear()
+
+
 _shipped: set[str] = set()
 
 

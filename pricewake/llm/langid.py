@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import crc_remainder, prepare_python, table, text_of
+from pricewake.llm.common import columns_without, crc_remainder, prepare_python, quoted, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 UNKNOWN = "und"
@@ -97,7 +97,7 @@ class LanguageModel:
         return _softmax((means + self.bias) / self.temperature), has
 
     def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Every column of ``docs`` and lang_pred, score, accepted (replaced where present).
+        """Every column of ``docs`` and lang_pred, score, accepted (replaced where present, in any case).
 
         ``lang_pred`` is a learned language, or ``und`` with score 0 for a null
         text, one without a letter, or a model that learned none; ``accepted``
@@ -116,9 +116,8 @@ class LanguageModel:
                 yield pd.concat(parts) if parts else model._judge([])
 
         names = ["lang_pred", "score", "accepted"]
-        kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-        rows = docs.withColumn("__lang", score(text_of(text)))
-        return rows.select(*kept, *[F.col(f"__lang.{n}").alias(n) for n in names])
+        rows = docs.select(F.struct(*columns_without(docs, names)).alias("kept"), score(text_of(quoted(text))).alias("found"))
+        return rows.select("kept.*", *[F.col(f"found.{n}").alias(n) for n in names])
 
     def _judge(self, texts: list[str]) -> pd.DataFrame:
         if not self.languages or not texts:

@@ -38,6 +38,7 @@ from pricewake.llm.common import (
     text_of,
     whole_groups,
     with_blocks,
+    worker_cache,
 )
 from pricewake.llm.components import connected_components
 
@@ -93,9 +94,6 @@ class _WordHash(dict):
         return found
 
 
-_words = _WordHash()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _MIX[0]
     h = (h ^ (h >> np.uint64(33))) * _MIX[1]
@@ -108,7 +106,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    known = worker_cache("ngram_join", "words", _WordHash)
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     if n < width:
         return _mixed((hashes * _POWERS[:n]).sum(keepdims=True) + np.uint64(n))
     total = np.zeros(n - width + 1, np.uint64)
@@ -391,8 +390,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Of rows with one id all stay or all go; rows without an id stay.
     """
     found = near_duplicates(docs, doc_id, text)
-    gone = found.where("class_id <> id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone = found.where("class_id <> id").select("id").distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row")[doc_id] == F.col("id"), "left_anti").select("row.*")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

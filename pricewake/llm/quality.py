@@ -13,16 +13,18 @@ relabelled, and it is trained again.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import crc_remainder, fit_logistic, prepare_python, table, text_of
+from pricewake.llm.common import columns_without, crc_remainder, fit_logistic, prepare_python, quoted, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 # Character classes: 0 other signs, 1 lower or uncased letter, 2 upper, 3 digit, 4 space, 5 common punctuation.
@@ -32,10 +34,15 @@ OWN = 10
 
 @dataclass(frozen=True)
 class Training:
-    """Sample bound (rows of each label; training texts of at most ``longest`` characters) and the fit."""
+    """Sample bounds (rows of each label, lines of each text) and the fit.
+
+    A text of more than ``lines`` lines gives ``spans`` stretches of neighbouring
+    lines, one drawn from each of as many equal parts of it, of so many together.
+    """
 
     per_label: int = 500
-    longest: int = 100_000
+    lines: int = 256
+    spans: int = 4
     steps: int = 120
     rate: float = 0.15
     ridge: float = 1e-3
@@ -209,19 +216,50 @@ def _fit_field(x: np.ndarray, y: np.ndarray, weight: np.ndarray, chains: Chains,
     return w, t
 
 
-def fit(samples: list[tuple[int, str]], share_good: float, how: Training = Training()) -> LineField:
-    """Field of (label, text) samples; ``share_good`` is the share of label 1 in all labelled rows.
+def drawn_spans(n: int, how: Training, seed: int) -> list[tuple[int, int]]:
+    """Stretches (first, end) of the n lines of a text to learn from, in order: all, or ``how.lines`` of them."""
+    if n <= how.lines:
+        return [(0, n)]
+    rng = np.random.default_rng([how.seed, seed])
+    length = how.lines // how.spans
+    edges = [round(k * n / how.spans) for k in range(how.spans + 1)]
+    firsts = [int(rng.integers(low, high - length + 1)) for low, high in zip(edges, edges[1:])]
+    return [(x, x + length) for x in firsts]
+
+
+@dataclass(frozen=True)
+class Drawn:
+    """What is learned from of one text: features and sizes of its drawn lines, and the lengths of its stretches."""
+
+    label: int
+    features: np.ndarray
+    sizes: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(label: int, text: str, how: Training) -> Drawn:
+        """Features are taken within the whole text, so a stretch's ends know their neighbours."""
+        x, sizes, counts = line_features([text])
+        spans = drawn_spans(int(counts[0]), how, zlib.crc32(text.encode("utf-8", "surrogatepass")))
+        lines = np.concatenate([np.arange(a, b) for a, b in spans])
+        return Drawn(label, x[lines], sizes[lines], np.array([b - a for a, b in spans]))
+
+
+def fit(samples: list[Drawn], share_good: float, how: Training = Training()) -> LineField:
+    """Field of drawn texts; ``share_good`` is the share of label 1 in all labelled rows.
 
     With one label only, or none, every text gets the share as its score.
     """
-    samples = sorted(samples)
-    label = np.array([s[0] for s in samples], float)
+    samples = sorted(samples, key=lambda s: (s.label, len(s.sizes), s.features.tobytes()))
+    label = np.array([s.label for s in samples], float)
     if not len(label) or label.min() == label.max():
         share = min(max(share_good, 1e-6), 1 - 1e-6)
         return LineField(np.zeros(3 * OWN + 1), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
-    x, sizes, counts = line_features([s[1] for s in samples])
-    chains, starts = Chains(counts), np.cumsum(counts) - counts
-    inner = np.setdiff1d(np.arange(len(x)), starts)
+    x, sizes = np.concatenate([s.features for s in samples]), np.concatenate([s.sizes for s in samples])
+    stretches = np.concatenate([s.counts for s in samples])
+    counts = np.array([len(s.sizes) for s in samples])
+    chains, starts = Chains(stretches), np.cumsum(counts) - counts
+    inner = np.setdiff1d(np.arange(len(x)), np.cumsum(stretches) - stretches)
     owner = np.repeat(np.arange(len(counts)), counts)
     y = label[owner]
     # Each label weighs the same, and a text as much as any other of its label.
@@ -249,22 +287,36 @@ def train(
     label: str = "quality",
     how: Training = Training(),
 ) -> LineField:
-    """Field from a bounded sample of labelled texts.
+    """Field from a bounded sample of labelled texts, long ones too.
 
-    ``labels`` has (doc_id, label 0 or 1); rows with a null id or label, and
-    texts over ``how.longest`` characters, are not learned from.
+    ``labels`` has (doc_id, label 0 or 1); rows with a null id or label are not
+    learned from. The driver gets the features of at most ``how.lines`` lines of
+    each text of the sample, whatever their length.
     """
-    usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
+    prepare_python(docs.sparkSession)
+    usable = labels.select(quoted(doc_id).alias("id"), quoted(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    picked = bounded_sample(usable, "label", "__id", how.per_label, how.seed)
-    rows = docs.select(doc_id, text_of(text).alias("__text")).join(F.broadcast(picked), F.col(doc_id) == F.col("__id"))
-    rows = rows.where(F.length("__text") <= how.longest).select("label", "__text").collect()
-    return fit([(r["label"], r["__text"]) for r in rows], share, how)
+    picked = bounded_sample(usable, "label", "id", how.per_label, how.seed)
+    texts = docs.select(quoted(doc_id).alias("id"), text_of(quoted(text)).alias("text"))
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Drawn.of(y, t, how) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            parts = [[getattr(d, name).tobytes() for d in found] for name in ("features", "sizes", "counts")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p, pa.binary()) for p in parts)], ["label", "features", "sizes", "counts"])
+
+    drawn = texts.join(F.broadcast(picked), "id").select("label", "text")
+    rows = drawn.mapInArrow(draw, "label int, features binary, sizes binary, counts binary").toArrow().to_pylist()
+    samples = [
+        Drawn(r["label"], np.frombuffer(r["features"]).reshape(-1, 3 * OWN + 1), np.frombuffer(r["sizes"]), np.frombuffer(r["counts"], np.int64))
+        for r in rows
+    ]
+    return fit(samples, share, how)
 
 
 def score_quality(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
-    """Every column of ``docs`` and score, predicted, n_lines, n_bad_lines (replaced where present).
+    """Every column of ``docs`` and score, predicted, n_lines, n_bad_lines (replaced where present, in any case).
 
     ``score`` is the calibrated chance of label 1, ``predicted`` whether it is
     at least 0.5. A null or empty text is one empty line. Rows are scored one by
@@ -295,9 +347,8 @@ def score_quality(docs: DataFrame, field: LineField, text: str = "text") -> Data
             )
 
     names = ["score", "predicted", "n_lines", "n_bad_lines"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    rows = docs.withColumn("__quality", judge(text_of(text)))
-    return rows.select(*kept, *[F.col(f"__quality.{n}").alias(n) for n in names])
+    rows = docs.select(F.struct(*columns_without(docs, names)).alias("kept"), judge(text_of(quoted(text))).alias("found"))
+    return rows.select("kept.*", *[F.col(f"found.{n}").alias(n) for n in names])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import new_folder, prepare_python, table, text_of
-from pricewake.llm.tokens import encoder, forget_encoders, public_tokenizer, read_tokenizer
+from pricewake.llm.common import free_worker_cache, new_folder, prepare_python, table, text_of
+from pricewake.llm.tokens import encoder, public_tokenizer, read_tokenizer
 
 MAGIC = b"TOKBLK01"
 NULL_ID = -(1 << 63)
@@ -160,7 +160,7 @@ def _frequencies(tokens: DataFrame) -> DataFrame:
     """(id, count) over all documents, summed in each task before it is shuffled."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        free_worker_cache()
         total = np.zeros(0, np.int64)
         for given in batches:
             for seen in given.column(0).to_pylist():

@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from pricewake.llm.common import worker_cache
+
 # Letters below this are single code points under composition and, but for one, lower-casing.
 _LATIN_END, _DOTTED = "\u0250", "\u0130"
 # No letters, digits or white space, and nothing a contraction starts with.
@@ -276,21 +278,10 @@ def _closers(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-_encoders: dict[bytes, TokenIds] = {}
-
-
 def encoder(content: str, kept: int = 2_000_000) -> TokenIds:
     """The worker's encoder of this tokenizer, made once."""
-    key = hashlib.blake2b(content.encode()).digest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TokenIds(content, kept)
-    return _encoders[key]
-
-
-def forget_encoders() -> None:
-    """Give the memory of a worker's encoders back once a later step runs in it."""
-    _encoders.clear()
+    key = f"{hashlib.blake2b(content.encode()).hexdigest()}-{kept}"
+    return worker_cache("tokens", key, lambda: TokenIds(content, kept))
 
 
 def read_tokenizer(path: str) -> str:

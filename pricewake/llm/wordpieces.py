@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import prepare_python, table, text_of
+from pricewake.llm.common import columns_without, prepare_python, quoted, table, text_of, worker_cache
 from pricewake.llm.tokens import public_tokenizer
 
 DEAD = -1
@@ -141,7 +141,6 @@ def read_ranks(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in file if line.strip()]
 
 
-_counters: dict[bytes, tuple[PieceCounter, dict[bytes, int]]] = {}
 # Words whose counts a worker keeps.
 KEPT_WORDS = 1_000_000
 
@@ -158,20 +157,17 @@ def token_counts(
     Words are what stands between white space (ASCII); each is preceded by
     ``lead`` and split greedily. A word that cannot be split counts as one
     unknown token, in ``n_tokens`` too. A null or empty text has no words.
-    Columns of ``docs`` with these three names are replaced. Rows are handled
+    Columns of ``docs`` with these three names, in any case, are replaced. Rows are handled
     one by one: repeats, ties and an empty table need no care. The vocabulary is
     a broadcast parameter; nothing is shuffled.
     """
     spark = docs.sparkSession
     prepare_python(spark)
     vocabulary = spark.sparkContext.broadcast((list(first), list(later)))
-    key = hashlib.blake2b(b"\0".join(first) + b"\1" + b"\0".join(later) + b"\1" + lead).digest()
+    key = hashlib.blake2b(b"\0".join(first) + b"\1" + b"\0".join(later) + b"\1" + lead).hexdigest()
 
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = PieceCounter(*vocabulary.value), {}
-        counter, known = _counters[key]
+        counter, known = worker_cache("wordpieces", key, lambda: (PieceCounter(*vocabulary.value), {}))
         for given in texts:
             split = [t.encode().split() for t in given.to_pylist()]
             new = list(set().union(*split).difference(known))
@@ -193,9 +189,8 @@ def token_counts(
 
     counts = F.arrow_udf(count, "n_words long, n_tokens long, n_unknown long")
     names = ["n_words", "n_tokens", "n_unknown"]
-    kept = [c for c in docs.columns if c not in names]
-    rows = docs.withColumn("__counts", counts(text_of(text)))
-    return rows.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__counts.{n}").alias(n) for n in names])
+    rows = docs.select(F.struct(*columns_without(docs, names)).alias("kept"), counts(text_of(quoted(text))).alias("found"))
+    return rows.select("kept.*", *[F.col(f"found.{n}").alias(n) for n in names])
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pricewake.llm import langid, quality, toxicity
+from pyspark.sql import functions as F
+
+from pricewake.llm import langid, ngram_join, quality, toxicity, wordpieces
 from pricewake.llm.common import crc_remainder, fit_logistic
 from pricewake.llm.sampling import bounded_sample
 from pricewake.llm.toxicity import BlockMaxIndex
@@ -272,6 +274,100 @@ def test_line_features_by_hand():
     assert (x[:, -1] == 1).all()
 
 
+def test_drawn_spans():
+    how = quality.Training(lines=12, spans=3)
+    assert quality.drawn_spans(12, how, 1) == [(0, 12)]
+    for n in (13, 50, 1000):
+        spans = quality.drawn_spans(n, how, n)
+        assert [b - a for a, b in spans] == [4, 4, 4] and spans == sorted(spans) and spans[-1][1] <= n
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and spans == quality.drawn_spans(n, how, n)
+    # A stretch knows the lines beside it.
+    text = "\n".join(f"line {i} " + "x" * (i % 7) for i in range(100))
+    drawn, (x, _, _) = quality.Drawn.of(1, text, how), quality.line_features([text])
+    lines = np.concatenate([np.arange(a, b) for a, b in quality.drawn_spans(100, how, zlib.crc32(text.encode()))])
+    assert np.array_equal(drawn.features, x[lines]) and drawn.counts.tolist() == [4, 4, 4]
+
+
+def test_quality_is_learned_from_long_texts(spark):
+    """One label lives in texts of over 100,000 characters only."""
+    rng = random.Random(9)
+    prose = lambda: " ".join(f"{rng.choice(['the', 'a'])} {''.join(rng.choice('abcdefghij') for _ in range(rng.randint(3, 9)))}" for _ in range(9)) + "."
+    junk = lambda: " ".join(rng.choice(["BUY", "$$$", "NOW!!!", "100%", "|", ">>"]) for _ in range(12))
+    docs = [(i, "\n".join(junk() for _ in range(4000))) for i in range(12)] + [(i, "\n".join(prose() for _ in range(6))) for i in range(12, 40)]
+    assert min(len(t) for _, t in docs[:12]) > 100_000
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 12)) for i, _ in docs if i % 2], "doc_id long, quality int")
+    field = quality.train(frame, labels)
+    assert field.weights.any()
+    for row in quality.score_quality(frame, field).collect():
+        assert row["predicted"] == int(row["doc_id"] >= 12)
+
+
+def plain_quality(text, field):
+    """Features, marginals by enumeration over label pairs, and score of a text, line by line."""
+    kind = lambda c: (2 if c.isupper() else 1) if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 5 if c in PUNCTUATION else 0
+    lines = text.split("\n")
+    own = []
+    for line in lines:
+        kinds, words = Counter(map(kind, line)), line.split()
+        letters, n = kinds[1] + kinds[2], max(1, len(line))
+        copies = lines.count(line) if line else 1
+        own.append([
+            kinds[0] / n * 4, kinds[2] / max(1, letters), kinds[3] / n, kinds[5] / n * 4, 1 - kinds[1] / n,
+            1 - len(set(words)) / max(1, len(words)), float(len(words) - len(set(words)) >= 5), math.log(copies) / 2,
+            min(letters / max(1, len(words)), 20) / 10, math.log1p(len(line)) / 6,
+        ])
+    none = [0.0] * 10
+    score = [float(np.dot(own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [1.0], field.weights)) for i in range(len(own))]
+    t = field.transitions
+    good = []
+    for k in range(len(lines)):
+        # Sums over all labellings, label by label from both ends.
+        ahead = [1.0, math.exp(score[0])]
+        for i in range(1, k + 1):
+            ahead = [sum(ahead[a] * math.exp(t[a, b]) for a in (0, 1)) * (math.exp(score[i]) if b else 1.0) for b in (0, 1)]
+        behind = [1.0, 1.0]
+        for i in range(len(lines) - 1, k, -1):
+            behind = [sum(math.exp(t[a, b]) * (math.exp(score[i]) if b else 1.0) * behind[b] for b in (0, 1)) for a in (0, 1)]
+        good.append(ahead[1] * behind[1] / (ahead[0] * behind[0] + ahead[1] * behind[1]))
+    mean = sum(g * (len(x) + 1) for g, x in zip(good, lines)) / sum(len(x) + 1 for x in lines)
+    return 1 / (1 + math.exp(-(field.slope * mean + field.offset))), len(lines), sum(g < 0.5 for g in good)
+
+
+def test_quality_scores_equal_a_plain_computation(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    field = quality.train(docs, spark.read.parquet(f"{sf01}/labels.parquet"))
+    short = docs.where("n_chars < 600").select("doc_id", "text").limit(40)
+    odd = spark.createDataFrame([(-1, "A b\n\n\nA b\nÉé 12 %%"), (-2, "")], short.schema)
+    rows = quality.score_quality(short.unionByName(odd), field).collect()
+    assert len(rows) == 42
+    for r in rows:
+        score, n, bad = plain_quality(r["text"], field)
+        assert r["score"] == pytest.approx(score, abs=1e-9) and (r["n_lines"], r["n_bad_lines"]) == (n, bad)
+
+
+PUNCTUATION = ".,;:'\"?()-"
+NAMES = ["kept", "found", "row", "id", "text_", "__lang", "__tox", "__quality", "__counts", "__gone", "LANG_PRED", "Score", "Predicted", "N_TOKENS"]
+
+
+def test_reserved_and_case_changed_names(spark, sf01):
+    """Columns of any name pass through; those named like a result's, in any case, give way."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").limit(200).select("doc_id", "text", "lang", *[F.lit(n).alias(n) for n in NAMES])
+    labels = spark.read.parquet(f"{sf01}/labels.parquet")
+    results = {
+        "lang_pred score accepted": langid.train(docs, "text", "lang", "doc_id").predict(docs),
+        "score predicted n_lines n_bad_lines": quality.score_quality(docs, quality.train(docs, labels)),
+        "n_words n_tokens n_unknown": wordpieces.token_counts(docs, [bytes([b]) for b in range(256)], [bytes([b]) for b in range(256)]),
+    }
+    for new, frame in results.items():
+        new = new.split()
+        assert frame.columns == [c for c in docs.columns if c.lower() not in new] + new
+        row = frame.first()
+        assert all(row[n] == n for n in NAMES if n.lower() not in new)
+    kept = ngram_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.first()["row"] == "row"
+
+
 def test_quality_accuracy(spark, sf01):
     rows = quality.op10_quality(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()

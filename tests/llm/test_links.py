@@ -210,7 +210,8 @@ def test_bits_and_tables_follow_the_size():
 
 
 def test_vector_recall_against_brute_force(spark):
-    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(4000)
+    """All vectors of the largest sample tables."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     given = frame.toPandas()
     x = np.array(given.embedding.tolist(), np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -21,7 +21,7 @@ def test_queries_against_sql(spark, sf_dir, name):
 
 def test_registered_under_their_numbers():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
 
@@ -67,3 +67,29 @@ def test_stages_take_effect(spark, tmp_path):
 def test_run_applies_the_stages(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.count() > 0 and "sequence_id" in pieces.columns
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    """What packing kept is gone when the join, the next operator in the same worker, begins."""
+    from pricewake.llm import common, tokens, wordpieces  # noqa: F401
+
+    content = tokens.read_tokenizer(tokens.public_tokenizer("byte_bpe_50k.json"))
+    first = tokens.encoder(content)
+    first.encode(["some words to keep"])
+    assert tokens.encoder(content) is first and len(first.young) > 2
+    ngram_join.shingle_set("one two three four five six", 5)
+    assert [owner for owner, _ in common._held] == ["ngram_join"]
+    assert tokens.encoder(content) is not first
+    common.free_worker_cache()
+    assert not common._held
+
+
+def test_run_leaves_no_folder_but_the_last(spark):
+    import os
+
+    from pricewake.llm.common import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    new = [x for x in os.listdir(shared_dir(spark)) if x not in before and x.startswith("pipeline-")]
+    assert len(new) == 1 and new[0].startswith("pipeline-packing")
