@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewake.llm import decontaminate, ngram_join, packing, secrets, toxicity
-from pricewake.llm.common import new_folder, table
+from pricewake.llm.common import new_folder, remove_folder, table
 from pricewake.llm.tokens import public_tokenizer
 
 
@@ -52,10 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``, each written to the shared folder and read again.
+
+    A stage's folder is removed once the next one is written; the last stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, "pipeline-" + name.lower().replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
