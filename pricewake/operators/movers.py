@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewake.functions.text import egp, percent
@@ -53,14 +53,47 @@ def mover_text(movers: DataFrame) -> DataFrame:
     )
 
 
+def ranked_movers(movers: DataFrame, n: int = CHART_ROWS) -> DataFrame:
+    """The n largest drops and the n largest rises of every category, with ``side`` and ``place``.
+
+    Both sides come from one pass over the movers. The bound on the place is
+    applied within each task first, so that no more than n rows of a category
+    and side leave it, and none is sorted whole in one place.
+    """
+    sides = F.inline(
+        F.array(
+            F.struct(F.lit("drop").alias("side"), F.col("change_pct").alias("by")),
+            F.struct(F.lit("rise").alias("side"), (-F.col("change_pct")).alias("by")),
+        )
+    )
+    order = Window.partitionBy("category", "side").orderBy("by", "product_key")
+    ranked = movers.select("*", sides).withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= n).drop("by")
+
+
+def _of_side(ranked: DataFrame, side: str, n: int) -> DataFrame:
+    rows = ranked.where((F.col("side") == side) & (F.col("place") <= n))
+    return rows.orderBy("category", "place").drop("side", "place")
+
+
+def mover_lists(ranked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Table of drops, table of rises and rows of the bar chart from ``ranked_movers``, stored or not."""
+    return (
+        _of_side(ranked, "drop", TABLE_ROWS),
+        _of_side(ranked, "rise", TABLE_ROWS),
+        _of_side(ranked, "rise", CHART_ROWS),
+    )
+
+
 def top_drops(movers: DataFrame, n: int = TABLE_ROWS) -> DataFrame:
-    return movers.orderBy(F.asc("change_pct"), *KEY).limit(n)
+    """The n largest drops of every category; equal ones by key."""
+    return _of_side(ranked_movers(movers, n), "drop", n)
 
 
 def top_rises(movers: DataFrame, n: int = TABLE_ROWS) -> DataFrame:
-    return movers.orderBy(F.desc("change_pct"), *KEY).limit(n)
+    return _of_side(ranked_movers(movers, n), "rise", n)
 
 
 def top_changes(movers: DataFrame) -> DataFrame:
-    """Rows of the bar chart."""
+    """Rows of the bar chart, per category."""
     return top_rises(movers, CHART_ROWS)

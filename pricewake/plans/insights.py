@@ -13,6 +13,7 @@ from pricewake.operators.forecast import chart_series, forecast_bands, recursive
 from pricewake.operators.ingest import fold_products
 from pricewake.operators.model import LinearModel
 from pricewake.operators.signals import product_summary, with_signal_text
+from pricewake.sources.stored import store
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,20 @@ class MarketInsights:
     chart: DataFrame
 
 
-def market_insights(products: DataFrame, prices: DataFrame, category: str) -> MarketInsights:
+def market_insights(
+    products: DataFrame,
+    prices: DataFrame,
+    category: str | None = None,
+    folder: str | None = None,
+) -> MarketInsights:
+    """The movers page of one category or, a list each, of all.
+
+    With a ``folder`` the largest changes are stored there, so that one pass
+    over the prices serves the three lists.
+    """
     table = movers.market_movers(fold_products(products, prices, category))
-    return MarketInsights(
-        table, movers.top_drops(table), movers.top_rises(table), movers.top_changes(table)
-    )
+    ranked = movers.ranked_movers(table)
+    return MarketInsights(table, *movers.mover_lists(store(ranked, folder) if folder else ranked))
 
 
 @dataclass(frozen=True)

@@ -22,8 +22,8 @@ def test_every_query_has_its_sql():
 
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
-    assert len(rows) == 5
-    assert rows[0]["change_pct"] <= rows[-1]["change_pct"]
+    assert [r["category"] for r in rows] == ["mobile"] * 5 + ["tablet"] * 5
+    assert rows[0]["change_pct"] <= rows[4]["change_pct"] and rows[5]["change_pct"] <= rows[9]["change_pct"]
 
 
 def _keeps_plan_rules(plan: str) -> None:

@@ -56,6 +56,12 @@ def test_top_lists_break_ties_by_key(market):
     table = movers.market_movers(market[2])
     assert _keys(movers.top_drops(table, 2)) == ["drop a shopa 4 64", "drop b shopa 4 64"]
     assert _keys(movers.top_rises(table, 1)) == ["rise shopb 0 512"]
+    mixed = table.unionByName(table.withColumn("category", F.lit("mobile")))
+    assert _keys(movers.top_drops(mixed, 1)) == ["drop a shopa 4 64"] * 2
+    assert [r["category"] for r in movers.top_changes(mixed).collect()] == ["mobile"] * 4 + ["tablet"] * 4
+    plan = movers.ranked_movers(mixed, 3)._jdf.queryExecution().executedPlan().toString()
+    # Bounded before the exchange and after it.
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
     text = {r["product"]: r for r in movers.mover_text(table).collect()}
     assert (text["Rise"]["change"], text["Rise"]["current"]) == ("59.0%", "EGP 15")
 
