@@ -12,6 +12,8 @@ from checks.queries import (
     FIXED_MODEL,
     HISTORY_FROM,
     HISTORY_TO,
+    LATE_DAYS,
+    LATE_EVERY,
     REGISTRY,
     SEARCH_TERM,
 )
@@ -554,16 +556,52 @@ BODIES: dict[str, tuple[dict[str, str], str]] = {
     "market_movers": ({}, "select * from movers"),
     "top_drops": (
         {},
-        "select * from movers order by change_pct, product_key, category limit 5",
+        """select * from movers qualify row_number() over (
+             partition by category order by change_pct, product_key) <= 5""",
     ),
     "top_rises": (
         {},
-        "select * from movers order by change_pct desc, product_key, category limit 5",
+        """select * from movers qualify row_number() over (
+             partition by category order by change_pct desc, product_key) <= 5""",
     ),
     "top_changes": (
         {},
-        "select * from movers order by change_pct desc, product_key, category limit 15",
+        """select * from movers qualify row_number() over (
+             partition by category order by change_pct desc, product_key) <= 15""",
     ),
+    "mover_lists": (
+        {},
+        """
+select *, 'drop' as side, row_number() over (partition by category order by change_pct, product_key) as place
+from movers qualify place <= 15
+union all
+select *, 'rise' as side, row_number() over (partition by category order by change_pct desc, product_key) as place
+from movers qualify place <= 15""",
+    ),
+    "late_roll_up": (
+        {
+            "arrived": f"""
+select * from ({PRICES_FROM_EVENTS.format(events="events")})
+where price is not null and timestamp is not null
+  and not (id % {LATE_EVERY} = 0
+           and timestamp < (select max(ts) from events) - interval '{2 * LATE_DAYS} days')"""
+        },
+        """select product_id, cast(timestamp as date) as date, avg(price) as price, count(price) as n_obs,
+                  min(timestamp) as timestamp
+           from arrived group by all""",
+    ),
+    "stored_range": (
+        {},
+        f"select * from daily where date between date '{HISTORY_FROM}' and date '{HISTORY_TO}'",
+    ),
+    "stored_selection": (
+        {"busiest": "select * from catalogue order by n_obs desc, category, product_key limit 3"},
+        f"""select d.* from daily d join busiest using (category, product_key)
+            where date between date '{HISTORY_FROM}' and date '{HISTORY_TO}'""",
+    ),
+    "memoised_daily": ({}, "select * from daily"),
+    "stored_movers": ({}, "select * from movers"),
+    "stored_catalogue": ({}, "select * from catalogue"),
     "mover_text": (
         {},
         f"""select product, website, {_pct("change_pct")} as change,

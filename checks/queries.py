@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -27,8 +28,10 @@ from pricewake.plans import training as plans
 from pricewake.plans.baseline import baseline_forecast
 from pricewake.session import configure
 from pricewake.sources import sample_tables
+from pricewake.sources.series import read_selected, read_series, store_series
 from pricewake.sources.stored import remove_folder, scratch_folder, store
 from pricewake.sources.tables import scan_counts
+from pricewake.streaming import rollup
 
 # Inputs of the interactive operators.
 SEARCH_TERM = "RED.*brand#1|^ *blue"
@@ -39,6 +42,8 @@ FACETS = {
     "storages": [128, 512],
 }
 HISTORY_FROM, HISTORY_TO = "1996-01-01", "1998-12-31"
+# Of the events, every so many-th is sent at the very end; the store waits so many days.
+LATE_EVERY, LATE_DAYS = 7, 2
 
 # Stated coefficients, so that a forecast can be checked apart from any fit.
 FIXED_MODEL = model.LinearModel(
@@ -96,6 +101,72 @@ class Tables:
             self._stored[category] = store(daily, self.folder("daily"))
         return self._stored[category]
 
+    def memoised(self) -> DataFrame:
+        """Daily series loaded twice, the second time from the version stored by the first."""
+        folder = self.folder("loads")
+        for _ in range(2):
+            daily = plans.loaded_daily(self.products, self.prices, folder)
+        return daily
+
+    @cached_property
+    def series(self) -> str:
+        """Folder of the daily series, stored for reads of a part of it."""
+        path = self.folder("series")
+        store_series(self.daily().select(*training.KEY, "date", "price"), path)
+        return path
+
+    def price_store(self) -> str:
+        """Prices sent in three batches and folded as they came, the first two compacted."""
+        source, path = self.folder("sent"), self.folder("price-store")
+        for k in range(3):
+            part = self.prices.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k)
+            part.write.mode("append").parquet(source)
+            rollup.store_prices(rollup.read_new_prices(self.spark, source), path).awaitTermination()
+            if k == 1:
+                rollup.compact_store(self.spark, path)
+        remove_folder(self.spark, source)
+        return path
+
+    @cached_property
+    def refolded(self) -> DataFrame:
+        """What ``folded`` holds, from the store."""
+        path = self.price_store()
+        ends = ingest.merge_ends(rollup.stored_ends(self.spark, path))
+        kept = store(ends, self.folder("ends"))
+        remove_folder(self.spark, path)
+        return ingest.folded_from_ends(self.products, kept)
+
+    def late_days(self) -> DataFrame:
+        """Event means per listing and day from a source that repeats and delays observations.
+
+        First come all events of the earlier half but every ``LATE_EVERY``-th, then
+        the later half with a third of the first batch again, last the ones held
+        back and the whole second batch again.
+        """
+        source, path = self.folder("sent"), self.folder("late-store")
+        events = self.events
+        first, last = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+        half = F.col("timestamp") < F.lit(first + (last - first) / 2)
+        held = (F.col("id") % LATE_EVERY == 0) & (
+            F.col("timestamp") < F.lit(last - datetime.timedelta(days=2 * LATE_DAYS))
+        )
+        again = half & ~held & (F.col("id") % 3 == 0)
+        for sent in ([half & ~held], [~half & ~held, again], [held, ~half & ~held]):
+            for part in sent:
+                events.where(part).write.mode("append").parquet(source)
+            arrived = rollup.read_new_prices(self.spark, source)
+            rollup.store_days(arrived, path, f"{LATE_DAYS} days").awaitTermination()
+        days = store(rollup.merge_days(rollup.stored_days(self.spark, path)), self.folder("days"))
+        for done in (source, path):
+            remove_folder(self.spark, done)
+        return days.select(
+            "product_id",
+            "date",
+            F.try_divide("price_sum", "price_n").alias("price"),
+            F.col("price_n").alias("n_obs"),
+            F.col("first_ts").alias("timestamp"),
+        )
+
     def folder(self, name: str) -> str:
         return scratch_folder(self.spark, name)
 
@@ -300,6 +371,33 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
     "top_drops": (lambda t: movers.top_drops(movers.market_movers(t.folded)), _MOVER),
     "top_rises": (lambda t: movers.top_rises(movers.market_movers(t.folded)), _MOVER),
     "top_changes": (lambda t: movers.top_changes(movers.market_movers(t.folded)), _MOVER),
+    "mover_lists": (
+        lambda t: movers.ranked_movers(movers.market_movers(t.folded)),
+        shape(**_MOVER, side="=", place="i"),
+    ),
+    # From the series stored by month and shard.
+    "stored_range": (
+        lambda t: read_series(t.spark, t.series, HISTORY_FROM, HISTORY_TO),
+        shape(**_DAY),
+    ),
+    "stored_selection": (
+        # The three busiest products of the catalogue over the same days.
+        lambda t: read_selected(
+            t.spark, t.series, catalog.catalogue(t.folded).limit(3), HISTORY_FROM, HISTORY_TO
+        ),
+        shape(**_DAY),
+    ),
+    "memoised_daily": (lambda t: t.memoised(), shape(**_DAY, **_LABELS, URL="=", timestamp="t")),
+    # From the store that new files are folded into.
+    "stored_movers": (lambda t: movers.market_movers(t.refolded), _MOVER),
+    "stored_catalogue": (
+        lambda t: catalog.catalogue(t.refolded),
+        shape(**_KEY, **_LABELS, n_obs="l"),
+    ),
+    "late_roll_up": (
+        lambda t: t.late_days(),
+        shape(product_id="l", date="d", price="r", n_obs="l", timestamp="t"),
+    ),
     "mover_text": (
         lambda t: movers.mover_text(movers.market_movers(t.folded)),
         shape(product="=", website="=", change="=", current="="),

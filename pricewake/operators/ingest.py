@@ -44,12 +44,16 @@ def tracked_products(products: DataFrame, category: str | None = None) -> DataFr
 
 
 def clean_prices(
-    prices: DataFrame, stored_date: bool = False, keep_missing_price: bool = False
+    prices: DataFrame,
+    stored_date: bool = False,
+    keep_missing_price: bool = False,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Typed observations; rows without a usable time are dropped.
 
     ``stored_date`` takes the day from the ``date`` column instead of the
-    timestamp. ``keep_missing_price`` keeps rows whose price is unusable.
+    timestamp. ``keep_missing_price`` keeps rows whose price is unusable. Columns
+    named by ``also`` are passed on.
     """
     types = {f.name: f.dataType for f in prices.schema.fields}
     parsed = {
@@ -64,7 +68,7 @@ def clean_prices(
         # parsing, which would then run again for each of them. Typed columns
         # stay plain, so that their filters do reach the scan.
         columns = [F.inline(F.array(F.struct(*columns)))]
-    typed = prices.select(F.col("id").alias("obs_id"), "product_id", *columns)
+    typed = prices.select(F.col("id").alias("obs_id"), "product_id", *also, *columns)
     kept = F.col("timestamp").isNotNull()
     if stored_date:
         kept = kept & F.col("date").isNotNull()
@@ -137,8 +141,13 @@ def fold_listings(observations: DataFrame) -> DataFrame:
     sorted, and a busy listing leaves each map task as one row. Equal ids at one
     time leave it open which price is taken.
     """
+    return _observed(fold_ends(observations))
+
+
+def fold_ends(observations: DataFrame) -> DataFrame:
+    """``fold_listings`` in plain columns, which merge with those of other observations."""
     placed = observations.select("product_id", "price", observed_at().alias("at"))
-    folded = placed.groupBy("product_id").agg(
+    return placed.groupBy("product_id").agg(
         F.count("*").alias("n_rows"),
         F.count("price").alias("n_prices"),
         F.min("at").alias("first_at"),
@@ -147,12 +156,31 @@ def fold_listings(observations: DataFrame) -> DataFrame:
         F.max_by("price", "at").alias("last_price"),
     )
 
+
+def merge_ends(ends: DataFrame) -> DataFrame:
+    """Rows of ``fold_ends`` merged to one per listing, in any order; buffers stay fixed width."""
+    return ends.groupBy("product_id").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_prices").alias("n_prices"),
+        F.min_by("first_price", "first_at").alias("first_price"),
+        F.max_by("last_price", "last_at").alias("last_price"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+
+
+def _observed(ends: DataFrame) -> DataFrame:
     def observed(end: str) -> Column:
         return F.struct(
             F.col(f"{end}_at").alias("at"), F.col(f"{end}_price").alias("price")
         ).alias(f"{end}_obs")
 
-    return folded.select("product_id", "n_rows", "n_prices", observed("first"), observed("last"))
+    return ends.select("product_id", "n_rows", "n_prices", observed("first"), observed("last"))
+
+
+def folded_from_ends(products: DataFrame, ends: DataFrame, category: str | None = None) -> DataFrame:
+    """What ``fold_products`` gives, from partial rows folded batch by batch."""
+    return _observed(merge_ends(ends)).join(tracked_products(products, category), "product_id")
 
 
 def fold_products(

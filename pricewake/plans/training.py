@@ -17,6 +17,7 @@ from pricewake.operators.metrics import mae_gap, regression_metrics
 from pricewake.operators.model import LinearModel, fit
 from pricewake.operators.training import MIN_OBS, TEST_SIZE
 from pricewake.schema import resolve_category
+from pricewake.sources.snapshot import MAX_AGE_SECONDS, load_or_refresh
 from pricewake.sources.stored import remove_folder, store
 
 
@@ -94,6 +95,20 @@ def train_mobile(
     return _finish(_kept(rows, folder), folder, lambda kept: kept, MOBILE, anchor_day)
 
 
+def loaded_daily(
+    products: DataFrame,
+    prices: DataFrame,
+    folder: str,
+    category: str | None = None,
+    max_age: float = MAX_AGE_SECONDS,
+) -> DataFrame:
+    """The daily series of one or all categories, computed anew only when its stored version has expired."""
+    name = "all" if category is None else resolve_category(category)
+    return load_or_refresh(
+        products.sparkSession, f"{folder}/{name}", lambda: daily_prices(products, prices, category), max_age
+    )
+
+
 def train(products: DataFrame, prices: DataFrame, category: str, **options) -> Trained:
     """Train the model of one category, named by any label, from the input tables."""
     return train_daily(daily_prices(products, prices, category), category, **options)

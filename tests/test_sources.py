@@ -2,11 +2,18 @@ from __future__ import annotations
 
 import json
 
+import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
 from pricewake.operators.daily import daily_prices
 from pricewake.schema import PRICE_HISTORY, PRODUCTS
 from pricewake.sources import tables
+from pricewake.operators.catalog import history_range, product_history
+from pricewake.plans.training import loaded_daily
+from pricewake.sources import snapshot
+from pricewake.sources.series import read_selected, read_series, store_series
 from pricewake.sources.snapshot import load_or_refresh
 from tests.helpers import listing, prices_frame, products_frame
 
@@ -63,6 +70,98 @@ def test_snapshot_is_reused_until_it_expires(spark, tmp_path):
     assert first.count() == 1  # an open reader keeps its own
 
 
+def test_a_refresh_does_not_disturb_readers(spark, tmp_path):
+    """A reader that began before, and one that begins while a version is being written, see whole versions."""
+    path = str(tmp_path / "snap")
+    snapshot.refresh(spark, path, lambda: spark.range(100), now=1.0)
+    began = load_or_refresh(spark, path, lambda: pytest.fail(), now=2.0)
+    seen = []
+
+    def build():
+        # In the middle of the refresh the old version is the one to read.
+        seen.append(spark.read.parquet(snapshot.current_version(spark, path)[0]).count())
+        return spark.range(7)
+
+    snapshot.refresh(spark, path, build, now=3.0)
+    assert seen == [100] and began.count() == 100
+    assert load_or_refresh(spark, path, lambda: pytest.fail(), now=4.0).count() == 7
+
+    def broken():
+        return spark.range(5).select(F.raise_error(F.lit("no")).alias("id"))
+
+    with pytest.raises(Exception, match="no"):
+        snapshot.refresh(spark, path, broken, now=5.0)
+    assert load_or_refresh(spark, path, lambda: pytest.fail(), now=6.0).count() == 7
+
+
+def test_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    for k in range(5):
+        snapshot.refresh(spark, path, lambda k=k: spark.range(k), now=float(k))
+    assert len(list((tmp_path / "snap" / "versions").iterdir())) == snapshot.KEPT_VERSIONS
+    assert load_or_refresh(spark, path, lambda: pytest.fail(), now=4.0).count() == 4
+
+
+def test_plans_read_a_stored_version(spark, tmp_path):
+    products, folder = products_frame(spark, [listing(1)]), str(tmp_path / "loads")
+    first = loaded_daily(products, prices_frame(spark, [(1, 1, "5", "2024-01-01")]), folder, "Tablets")
+    again = loaded_daily(products, prices_frame(spark, []), folder, "tablet")
+    assert again.collect() == first.collect() and first.count() == 1
+    assert loaded_daily(products, prices_frame(spark, []), folder, "tablet", max_age=0).count() == 0
+
+
+def files_read(frame) -> int:
+    """Files that the scans of a frame opened, in a first run of its plan."""
+    frame = frame.select("*")
+    frame.collect()
+    plan, found = frame._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            found.append(node.metrics().apply("numFiles").value())
+        for inner in ("executedPlan", "plan"):
+            if name == "AdaptiveSparkPlan" and inner == "executedPlan" or name.endswith("QueryStage") and inner == "plan":
+                return walk(getattr(node, inner)())
+        children = node.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return max(found)
+
+
+def test_series_reads_only_what_is_asked_for(spark, tmp_path):
+    path = str(tmp_path / "series")
+    rows = [
+        (c, f"p{k}", datetime.date(2024, m, d), float(k + m), 4, 64)
+        for c in ("tablet", "mobile") for k in range(12) for m in (1, 2, 3, 4) for d in (1, 15, 28)
+    ]
+    daily = spark.createDataFrame(rows, "category string, product_key string, date date, price double, ram_gb int, storage_gb int")
+    store_series(daily, path, shards=4)
+    whole = read_series(spark, path, shards=4)
+    assert sorted(whole.collect()) == sorted(daily.collect())
+    every = files_read(whole)
+
+    ranged = read_series(spark, path, "2024-02-15", "2024-03-14", shards=4)
+    assert sorted(ranged.collect()) == sorted(history_range(daily, "2024-02-15", "2024-03-14").collect())
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "(month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert files_read(ranged) <= every // 2
+
+    one = read_series(spark, path, products=[("tablet", "p3")], shards=4)
+    assert sorted(one.collect()) == sorted(product_history(daily, "tablet", "p3").collect())
+    assert files_read(one) < every // 2 and "EqualTo(product_key,p3)" in one._jdf.queryExecution().executedPlan().toString()
+    assert read_series(spark, path, products=[], shards=4).count() == 0
+
+    chosen = daily.where("product_key = 'p5' and category = 'mobile'")
+    picked = read_selected(spark, path, chosen, "2024-02-01", shards=4)
+    assert sorted(picked.collect()) == sorted(daily.where("product_key = 'p5' and category = 'mobile' and date >= '2024-02-01'").select(picked.columns).collect())
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert files_read(picked) < every // 2
+
+
 def test_snapshot_equals_the_computed_table(spark, tmp_path):
     products = products_frame(spark, [listing(1)])
     prices = prices_frame(spark, [(1, 1, "5", "2024-01-01"), (2, 1, "7", "2024-01-01")])
