@@ -590,6 +590,19 @@ where price is not null and timestamp is not null
                   min(timestamp) as timestamp
            from arrived group by all""",
     ),
+    "appended_features": (
+        {},
+        f"""select * from (select *, {_select(TABLET_COLUMNS)} from daily where category = 'tablet')
+            where date in (select distinct date from daily where category = 'tablet' order by date desc limit 3)""",
+    ),
+    "refit_appended": (
+        {
+            "whole_rows": f"""
+select *, price as target, {_select(TABLET_COLUMNS)}, true as is_train from daily where category = 'tablet'""",
+            **_fit_ctes("whole_rows", TABLET_FEATURES, "whole"),
+        },
+        _coefficients("whole", "tablet", TABLET_FEATURES, "null::date"),
+    ),
     "stored_range": (
         {},
         f"select * from daily where date between date '{HISTORY_FROM}' and date '{HISTORY_TO}'",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from checks.shape import Shape, shape, shape_frame
 from pricewake.functions.calendar import calendar_fields, spec_fields
 from pricewake.operators import (
+    appended,
     catalog,
     features,
     forecast,
@@ -115,6 +116,37 @@ class Tables:
         store_series(self.daily().select(*training.KEY, "date", "price"), path)
         return path
 
+    def last_days(self, n: int) -> tuple[DataFrame, DataFrame]:
+        """Tablet series up to, and from, its last n days."""
+        daily = self.stored("tablet")
+        cut = min(r["date"] for r in daily.select("date").distinct().orderBy(F.desc("date")).limit(n).collect())
+        return daily.where(F.col("date") < F.lit(cut)), daily.where(F.col("date") >= F.lit(cut))
+
+    def appended(self) -> DataFrame:
+        """Features of the last three days, one day after the other, from what was carried."""
+        old, new = self.last_days(3)
+        tail = store(appended.series_tail(old), self.folder("tail"))
+        found = []
+        for day in sorted(r["date"] for r in new.select("date").distinct().collect()):
+            rows, tail = appended.append_days(tail, new.where(F.col("date") == F.lit(day)), features.TABLET)
+            tail = store(tail, self.folder("tail"))
+            found.append(store(rows, self.folder("appended")))
+        return reduce(DataFrame.unionByName, found)
+
+    def refitted(self) -> DataFrame:
+        """Coefficients after the last two days were added to the moments of the days before."""
+        path, profile = self.folder("moments"), features.TABLET
+        old, new = self.last_days(2)
+        target = F.col("price").alias("target")
+        appended.store_moments(
+            features.add_features(old, profile).select("*", target), path, profile.features
+        )
+        rows, _ = appended.append_days(appended.series_tail(old), new, profile)
+        appended.store_moments(rows.select("*", target), path, profile.features)
+        found = appended.fit_window(self.spark, path, profile.features, profile.category)
+        remove_folder(self.spark, path)
+        return found.to_table(self.spark)
+
     def price_store(self) -> str:
         """Prices sent in three batches and folded as they came, the first two compacted."""
         source, path = self.folder("sent"), self.folder("price-store")
@@ -375,6 +407,9 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
         lambda t: movers.ranked_movers(movers.market_movers(t.folded)),
         shape(**_MOVER, side="=", place="i"),
     ),
+    # New days without the history.
+    "appended_features": (lambda t: t.appended(), shape(**_DAY, **TABLET_SHAPE)),
+    "refit_appended": (lambda t: t.refitted(), _COEFFICIENTS),
     # From the series stored by month and shard.
     "stored_range": (
         lambda t: read_series(t.spark, t.series, HISTORY_FROM, HISTORY_TO),

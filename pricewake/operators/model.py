@@ -145,6 +145,25 @@ def solve(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return result
 
 
+def from_moments(
+    full: np.ndarray,
+    centre: dict[str, float],
+    features: tuple[str, ...],
+    category: str,
+    target: str = "target",
+    anchor: datetime.date | None = None,
+) -> LinearModel:
+    """Model from the summed products of the constant, the features and the target, each less its ``centre``."""
+    k = len(features)
+    off = full[0, 1:] / full[0, 0]
+    # About their means, whatever the centre was.
+    full = full[1:, 1:] - np.outer(off, off) * full[0, 0]
+    weights = solve(full[:k, :k], full[:k, k])
+    means = np.array([centre[c] for c in (*features, target)]) + off
+    intercept = float(means[k] - weights @ means[:k])
+    return LinearModel(category, tuple(features), tuple(map(float, weights)), intercept, anchor)
+
+
 def fit(
     rows: DataFrame,
     features: tuple[str, ...],
@@ -165,10 +184,4 @@ def fit(
     full = np.empty((len(columns) + 1, len(columns) + 1))
     for line in ols_moments(rows, columns, centre).collect():
         full[line["i"]] = line[1:-1]
-    # What the rounding of the means left over.
-    full = full[1:, 1:] - np.outer(full[0, 1:], full[0, 1:]) / full[0, 0]
-    k = len(features)
-    weights = solve(full[:k, :k], full[:k, k])
-    means = np.array([centre[c] for c in columns])
-    intercept = float(means[k] - weights @ means[:k])
-    return LinearModel(category, tuple(features), tuple(map(float, weights)), intercept, anchor)
+    return from_moments(full, centre, features, category, target, anchor)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +86,52 @@ def read_jdbc(
     return spark.read.format("jdbc").options(**options).load()
 
 
+def balanced_predicates(keys: Iterable[int], column: str, partitions: int) -> list[str]:
+    """Conditions that split a table into about equally many rows, from a sample of its keys.
+
+    Equal steps of the key, as ``jdbc_options`` takes them, leave empty and huge
+    parts where ids have gaps; quantiles of a sample do not. Each row meets one
+    condition, a null key the first. Fewer than ``partitions`` come out where
+    keys of the sample repeat.
+    """
+    if partitions < 1:
+        raise ValueError("need at least one partition")
+    ordered = sorted(keys)
+    cuts = sorted({ordered[len(ordered) * k // partitions] for k in range(1, partitions)} - {ordered[0]}) if ordered else []
+    if not cuts:
+        return ["1 = 1"]
+    first = [f"{column} < {cuts[0]} or {column} is null"]
+    inner = [f"{column} >= {low} and {column} < {high}" for low, high in zip(cuts, cuts[1:])]
+    return [*first, *inner, f"{column} >= {cuts[-1]}"]
+
+
+# Keys sampled for each part of a balanced read.
+SAMPLED_KEYS = 100
+
+
+def key_sample_query(table: str, column: str, rows: int, partitions: int) -> str:
+    """SQL for a spread of a table's keys by their remainder, about ``SAMPLED_KEYS`` for each part."""
+    step = max(1, rows // (SAMPLED_KEYS * partitions))
+    return f"select {column} from {table} where mod({column}, {step}) = 0"
+
+
+def read_jdbc_balanced(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    column: str,
+    rows: int,
+    partitions: int,
+    properties: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """A table of about ``rows`` rows read in parts of about equal size, whatever the gaps between its keys."""
+    options = {"fetchsize": "10000", **(properties or {})}
+    query = key_sample_query(table, column, rows, partitions)
+    sample = spark.read.format("jdbc").options(**options, url=url, query=query).load()
+    predicates = balanced_predicates([r[0] for r in sample.collect()], column, partitions)
+    return spark.read.jdbc(url, table, predicates=predicates, properties=options)
+
+
 def scan_counts(products: DataFrame, prices: DataFrame) -> DataFrame:
     """Rows per input table."""
     return products.agg(F.count("*").alias("n_rows")).select(

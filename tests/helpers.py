@@ -47,3 +47,24 @@ def prices_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Rows of (id, product_id, price text, timestamp text[, date text])."""
     full = [r if len(r) == 5 else (*r, r[3] and r[3][:10]) for r in rows]
     return spark.createDataFrame(full, PRICE_HISTORY)
+
+
+def files_read(frame) -> int:
+    """Files that the scans of a frame opened, in a first run of its plan."""
+    frame = frame.select("*")
+    frame.collect()
+    plan, found = frame._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            found.append(node.metrics().apply("numFiles").value())
+        for inner in ("executedPlan", "plan"):
+            if name == "AdaptiveSparkPlan" and inner == "executedPlan" or name.endswith("QueryStage") and inner == "plan":
+                return walk(getattr(node, inner)())
+        children = node.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return max(found)

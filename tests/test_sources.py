@@ -15,7 +15,7 @@ from pricewake.plans.training import loaded_daily
 from pricewake.sources import snapshot
 from pricewake.sources.series import read_selected, read_series, store_series
 from pricewake.sources.snapshot import load_or_refresh
-from tests.helpers import listing, prices_frame, products_frame
+from tests.helpers import files_read, listing, prices_frame, products_frame
 
 
 def test_json_and_csv_follow_the_stated_schema(spark, tmp_path):
@@ -110,27 +110,6 @@ def test_plans_read_a_stored_version(spark, tmp_path):
     assert loaded_daily(products, prices_frame(spark, []), folder, "tablet", max_age=0).count() == 0
 
 
-def files_read(frame) -> int:
-    """Files that the scans of a frame opened, in a first run of its plan."""
-    frame = frame.select("*")
-    frame.collect()
-    plan, found = frame._jdf.queryExecution().executedPlan(), []
-
-    def walk(node):
-        name = node.nodeName()
-        if name.startswith("Scan parquet"):
-            found.append(node.metrics().apply("numFiles").value())
-        for inner in ("executedPlan", "plan"):
-            if name == "AdaptiveSparkPlan" and inner == "executedPlan" or name.endswith("QueryStage") and inner == "plan":
-                return walk(getattr(node, inner)())
-        children = node.children()
-        for i in range(children.length()):
-            walk(children.apply(i))
-
-    walk(plan)
-    return max(found)
-
-
 def test_series_reads_only_what_is_asked_for(spark, tmp_path):
     path = str(tmp_path / "series")
     rows = [
@@ -178,3 +157,26 @@ def test_persisted_equals_recomputed(spark):
     kept = daily.persist()
     assert kept.collect() == plain
     kept.unpersist()
+
+
+def test_balanced_predicates_split_skewed_keys_evenly(spark):
+    """Ids with huge gaps; equal steps would put nearly all rows into one part."""
+    ids = [*range(1000), *(10**9 + 7 * k for k in range(9000))]
+    rows = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    step = (max(ids) - min(ids)) / 8
+    assert max(sum(int((i - min(ids)) // step) == k for i in ids) for k in range(9)) >= 9000 - 1
+    predicates = tables.balanced_predicates(ids[::37], "id", 8)
+    sizes = [rows.where(p).count() for p in predicates]
+    assert len(sizes) == 8 and sum(sizes) == len(ids) + 1 and max(sizes) < 1.3 * len(ids) / 8
+    # Every row meets exactly one condition.
+    matched = sum((F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in predicates), F.lit(0))
+    assert rows.select(matched.alias("m")).distinct().collect() == [(1,)]
+
+
+def test_balanced_predicates_at_the_edges(spark):
+    assert tables.balanced_predicates([], "id", 4) == ["1 = 1"]
+    assert tables.balanced_predicates([5, 5, 5], "id", 4) == ["1 = 1"]
+    assert tables.balanced_predicates([1, 2], "id", 2) == ["id < 2 or id is null", "id >= 2"]
+    with pytest.raises(ValueError):
+        tables.balanced_predicates([1], "id", 0)
+    assert tables.key_sample_query("t", "id", 1_000_000, 10) == "select id from t where mod(id, 1000) = 0"
