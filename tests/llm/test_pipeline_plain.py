@@ -1,0 +1,122 @@
+"""The whole pipeline and language scores against versions in plain Python."""
+
+from __future__ import annotations
+
+import itertools
+import math
+
+import pytest
+
+import corpus_pipeline
+from pricewake.llm import langid, toxicity
+from pricewake.llm.tokens import public_tokenizer
+from tests.llm.test_decontaminate import plain_leaks
+from tests.llm.test_learned import plain_scores
+from tests.llm.test_links import roots
+from tests.llm.test_secrets import plain_spans
+
+
+def plain_duplicates(docs):
+    """Ids that have a smaller one among the texts they are linked with."""
+    sets = []
+    for _, text in docs:
+        words = (text or "").lower().encode().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    pairs = [
+        (i, j)
+        for i, j in itertools.combinations(range(len(docs)), 2)
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    order = sorted(range(len(docs)), key=lambda i: docs[i][0])
+    place = {i: k for k, i in enumerate(order)}
+    root = roots(len(docs), [(place[i], place[j]) for i, j in pairs])
+    return {docs[i][0] for i in range(len(docs)) if root[place[i]] != place[i]}
+
+
+def plain_redaction(text):
+    if text is None:
+        return None
+    out, at, end = "", 0, 0
+    for start, _, stop in plain_spans(text):
+        if start >= end and (start > end or not out):
+            out += text[end:start] + "<secret>"
+        end = max(end, stop)
+    return out + text[end:]
+
+
+def test_pipeline_equals_plain_stages(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns).collect()]
+    docs = read("documents", "doc_id", "text")
+    labels = [x for x in read("labels", "doc_id", "toxic") if x[1] is not None]
+    scores = plain_scores(docs, labels, toxicity.Setting())
+    clean = [d for d in docs if scores[d[0]] is None or scores[d[0]][0] < 0.5]
+    gone = plain_duplicates(clean)
+    single = [d for d in clean if d[0] not in gone]
+    leaked = {doc for doc, _ in plain_leaks(single, read("benchmark", "item_id", "text"))}
+    kept = [(i, plain_redaction(t)) for i, t in single if i not in leaked]
+    assert len(docs) > len(clean) > len(single) > len(kept) > 0
+
+    pieces: dict = {}
+    sequences: dict = {}
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    library = Tokenizer.from_file(public_tokenizer("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    assert set(pieces) == {i for i, _ in kept}
+    for i, text in kept:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        found, at = b"", 0
+        for start, some in sorted(pieces[i]):
+            assert start == at
+            found, at = found + some, at + len(some) // 4
+        assert found == b"".join(x.to_bytes(4, "little") for x in ids)
+    for parts in sequences.values():
+        ends = list(itertools.accumulate((n for _, n in sorted(parts)), initial=0))
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+
+
+def plain_buckets(text, buckets):
+    """Subwords of two to four signs, edges of words counting as signs, each hashed by its definition."""
+    line = [0]
+    for c in text.lower():
+        sign = ord(c) if c.isalpha() else 0
+        if sign or line[-1]:
+            line.append(sign)
+    if line[-1]:
+        line.append(0)
+    full = (1 << 64) - 1
+    mix = lambda x: (x * 0x9E3779B97F4A7C15 + 0x1234567) & full
+    found = []
+    for n in (2, 3, 4):
+        for i in range(len(line) - n + 1):
+            part = line[i : i + n]
+            if 0 in part[1:-1]:
+                continue
+            h = mix(part[0])
+            for x in part[1:]:
+                h = (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) + mix(x)) & full
+            h ^= h >> 32
+            found.append((h * 0x94D049BB133111EB & full) >> 40)
+    return [x % buckets for x in found]
+
+
+def test_language_scores_equal_a_plain_computation(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs, "text", "lang", "doc_id")
+    odd = spark.createDataFrame([(-1, "Ein  Wort, zwei!"), (-2, "x"), (-3, "12 ab"), (-4, "漢字 é\nß")], "doc_id long, text string")
+    rows = model.predict(docs.select("doc_id", "text").limit(40).unionByName(odd)).collect()
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        buckets = plain_buckets(r["text"], len(model.table))
+        means = [sum(float(model.table[b, j]) for b in buckets) / max(1, len(buckets)) for j in range(len(model.languages))]
+        logits = [(m + float(b)) / model.temperature for m, b in zip(means, model.bias)]
+        shares = [math.exp(x - max(logits)) for x in logits]
+        best = shares.index(max(shares))
+        assert r["lang_pred"] == model.languages[best]
+        assert r["score"] == pytest.approx(shares[best] / sum(shares), abs=1e-6)
+        assert r["accepted"] == (r["score"] >= model.reject_below)
