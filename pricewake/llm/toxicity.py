@@ -19,13 +19,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,98 +30,121 @@ from pyspark.sql import functions as F
 from pricewake.llm.common import columns_without, crc_remainder, cut, fit_logistic, prepare_python, quoted, table, text_of, worker_cache
 from pricewake.llm.sampling import bounded_sample
 
-_WORD = re.compile(r"[^\W\d_]+")
-# Lengths of the word beginnings that are terms too.
-PREFIXES = (4, 6, 8)
-# Words whose terms a worker keeps, some 250 bytes each.
-KEPT_WORDS = 400_000
+# A word is a run of letters; so many first letters of a longer one are a term, too.
+_LETTERS, _NO_LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
+START = 4
+# Characters that are read side by side.
+STRETCH = 1 << 20
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_BEGINNING = np.uint64(0x632BE59BD9B4E019)
 
 
 @dataclass(frozen=True)
 class Setting:
     """Sample bound (rows of each label), neighbours, examples of a block, and neighbours shown as evidence."""
 
-    per_label: int = 1000
-    neighbours: int = 100
+    per_label: int = 500
+    neighbours: int = 60
     block: int = 64
     seed: int = 23
     evidence: int = 3
 
 
-def terms_of_word(word: str) -> list[str]:
-    """A word and, with a mark, the first letters of a longer one."""
-    return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)]
+class _Tables:
+    """Which code points are letters, and powers of the hash's step and of its inverse; made once a worker."""
 
+    def __init__(self):
+        points = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+        self.letters = np.zeros(0x110000, bool)
+        self.letters[np.frombuffer("".join(_LETTERS.findall(points)).encode("utf-32-le"), "<u4")] = True
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-class Terms(dict):
-    """Numbers of the terms of a word, as many as ``WIDTH``, -1 where there are fewer.
+    def reach(self, n: int) -> None:
+        if n >= len(self.powers):
+            n = max(n + 1, 1 << 16)
+            self.powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _STEP)))
+            self.inverses = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _BACK)))
 
-    Terms of the examples have fixed numbers. Others get the next ones, which
-    stand until the words are forgotten and serve to add them up within a text.
-    """
 
-    WIDTH = 1 + len(PREFIXES)
-
-    def __init__(self, known: dict[str, int]):
-        self.known = known
-        self.others: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        n = len(self.known)
-        numbers = []
-        for term in terms_of_word(word):
-            number = self.known.get(term)
-            if number is None:
-                number = self.others.setdefault(term, n + len(self.others))
-            numbers.append(number)
-        numbers += [-1] * (self.WIDTH - len(numbers))
-        self[word] = found = array("i", numbers).tobytes()
-        return found
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of a text's terms in order, and how often each stands there."""
-        words = Counter(_WORD.findall(text.lower()))
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self.others.clear()
-        numbers = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), self.WIDTH)
-        order = np.argsort(numbers, kind="stable")
-        order = order[np.searchsorted(numbers[order], 0) :]
-        if not len(order):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        numbers = numbers[order]
-        first = np.flatnonzero(np.diff(numbers, prepend=-1))
-        return numbers[first].astype(np.int64), np.add.reduceat(times[order], first)
-
-    def distinct(self, text: str) -> np.ndarray:
-        """Numbers of those terms of a text that examples have."""
-        words = set(_WORD.findall(text.lower()))
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self.others.clear()
-        numbers = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
-        return np.unique(numbers[(numbers >= 0) & (numbers < len(self.known))])
+_tables: list[_Tables] = []
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(33))) * _MIX[1]
+    return h ^ (h >> np.uint64(33))
+
+
+def _hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the terms of a text in lower case, word by word and beginning by beginning.
+
+    A word's hash is the sum of its letters' values times powers of a step, taken
+    from running sums over the text and moved back to the word's first letter.
+    """
+    if not _tables:
+        _tables.append(_Tables())
+    table = _tables[0]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    edges = np.flatnonzero(np.diff(table.letters[points].view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    table.reach(len(points))
+    values = _mixed(points.astype(np.uint64) + _STEP)
+    values *= table.powers[: len(points)]
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    words = (sums[ends] - sums[starts]) * table.inverses[starts]
+    longer = starts[ends - starts > START]
+    begun = (sums[longer + START] - sums[longer]) * table.inverses[longer] ^ _BEGINNING
+    return _mixed(np.concatenate([words, begun]))
+
+
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's terms in order, and how often each stands there."""
+    text = text.lower()
+    found, begin = [], 0
+    while len(text) - begin > STRETCH:
+        # No word is cut.
+        gap = _NO_LETTER.search(text, begin + STRETCH)
+        if gap is None:
+            break
+        found.append(_hashes(text[begin : gap.start()]))
+        begin = gap.start()
+    found.append(_hashes(text[begin:] if begin else text))
+    return np.unique(np.concatenate(found) if len(found) > 1 else found[0], return_counts=True)
+
+
+def numbers_of(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among the known ones, which are in order, and which hashes are known at all."""
+    at = np.searchsorted(known, hashes)
+    at[at == len(known)] = 0
+    among = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+    return at[among], among
 
 
 class BlockMaxIndex:
     """Inverted index of vectors, its postings sorted by block and term."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int):
-        self.n, self.block, self.n_terms = len(vectors), block, n_terms
+        self.n, self.block = len(vectors), block
         sizes = [len(t) for t, _ in vectors]
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(self.n), sizes)
-        self.n_blocks = max(1, -(-self.n // block))
+        self.n_blocks, self.n_terms = max(1, -(-self.n // block)), max(1, n_terms)
         # By term and then block, so that what a text reads lies together.
         cell = term * self.n_blocks + example // block
         order = np.argsort(cell, kind="stable")
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
-        self.first = np.searchsorted(cell[order], np.arange(self.n_blocks * n_terms + 1)).astype(np.int32)
-        largest = np.zeros(self.n_blocks * n_terms)
-        np.maximum.at(largest, cell, weight)
-        self.largest = largest.reshape(n_terms, self.n_blocks)
+        self.example, self.weight = example[order], weight[order]
+        cells = self.n_blocks * self.n_terms
+        self.first = np.append(0, np.cumsum(np.bincount(cell, minlength=cells))).astype(np.int32)
+        largest = np.zeros(cells)
+        full = np.flatnonzero(np.diff(self.first))
+        if len(full):
+            largest[full] = np.maximum.reduceat(self.weight, self.first[full])
+        self.largest = largest.reshape(self.n_terms, self.n_blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (all but one, if named) and their cosines over 0, nearest first, ties by number.
@@ -137,21 +157,23 @@ class BlockMaxIndex:
         order = order[: np.searchsorted(-bound[order], 0.0)]
         sums = np.zeros(self.n)
         best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, width = 0, max(1, -(-2 * k // self.block))
+        # The first round takes the blocks whose bounds are not far below the highest.
+        high = int(np.searchsorted(-bound[order], -0.5 * bound[order[0]], "right")) if len(order) else 0
+        at, width = 0, max(1, -(-2 * k // self.block), high)
         while at < len(order):
             if len(best) >= k:
                 # A hair below the bound, as sums in another order differ in the last bits.
                 order = order[: np.searchsorted(-bound[order], -(cosines[k - 1] - 1e-9), "right")]
-            if at and 2 * (len(order) - at) > self.n_blocks:
-                width = len(order)
+            left = len(order) - at
+            if left <= 0:
+                break
+            if 2 * (left if at else min(width, left)) > self.n_blocks:
                 sums[:] = 0
                 self._add(sums, terms, weights, np.arange(self.n_blocks))
+                at = len(order)
             else:
-                blocks = order[at : at + width]
-                if not len(blocks):
-                    break
-                self._add(sums, terms, weights, blocks)
-            at, width = at + width, 4 * width
+                self._add(sums, terms, weights, order[at : at + width])
+                at, width = at + width, 4 * width
             if 0 <= but < self.n:
                 sums[but] = 0
             best = np.flatnonzero(sums > 0)
@@ -176,8 +198,12 @@ class BlockMaxIndex:
         total = int(sizes.sum())
         if not total:
             return
-        places = np.repeat(low - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(total)
-        sums += np.bincount(self.example[places], np.repeat(weights, sizes) * self.weight[places], self.n)
+        shift = low - (np.cumsum(sizes, dtype=np.int32) - sizes)
+        places = np.repeat(shift, sizes)
+        places += np.arange(total, dtype=np.int32)
+        products = self.weight.take(places)
+        products *= np.repeat(weights, sizes)
+        sums += np.bincount(self.example.take(places), products, self.n)
 
 
 @dataclass
@@ -185,29 +211,37 @@ class NearestExamples:
     """The fitted model; its size goes with the examples, which the setting bounds."""
 
     setting: Setting
-    term_ids: dict[str, int]
+    # Hashes of the examples' terms in order; a term's number is its place.
+    known: np.ndarray
     idf: np.ndarray
     # Of a term that no example has.
     rarest: float
     labels: np.ndarray
     ids: list
     id_type: str
-    index: BlockMaxIndex
+    vectors: list[tuple[np.ndarray, np.ndarray]]
     slope: float = 0.0
     offset: float = 0.0
     base_rate: float = 0.0
     # Score of a text without any term of an example.
     blank: float = 0.0
-    key: str = field(default="")
+    # Names this model among the things a worker keeps.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def build_index(self) -> BlockMaxIndex:
+        """Made where it is used, as it is several times as large as the vectors."""
+        return BlockMaxIndex(self.vectors, len(self.known), self.setting.block)
 
-    def vector(self, numbers: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those terms of a text that examples have, and their weights in a vector of length 1 over all its terms."""
-        known = int(np.searchsorted(numbers, len(self.idf)))
-        weights = 1 + np.log(times)
-        weights[:known] *= self.idf[numbers[:known]]
-        weights[known:] *= self.rarest
-        length = np.sqrt(weights @ weights)
-        return numbers[:known], weights[:known] / (length if length else 1.0)
+    @property
+    def term_ids(self) -> dict[int, int]:
+        return {int(h): i for i, h in enumerate(self.known)}
+
+    def vector(self, numbers: np.ndarray, times: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text that examples have, and their weights in a vector of length 1 over all its terms."""
+        weights = (1 + np.log(times)) * self.idf[numbers]
+        rest = (1 + np.log(others)) * self.rarest
+        length = np.sqrt(weights @ weights + rest @ rest)
+        return numbers, weights / (length if length else 1.0)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic among the neighbours, each counting by its cosine.
@@ -217,11 +251,13 @@ class NearestExamples:
         """
         return float((cosines @ self.labels[found] + FAR * self.base_rate) / (cosines.sum() + FAR))
 
-    def score(self, text: str, terms: Terms) -> tuple[float, np.ndarray, np.ndarray]:
-        numbers, weights = self.vector(*terms.counts(text))
-        if not len(numbers) or not self.index.n:
+    def score(self, text: str, index: BlockMaxIndex) -> tuple[float, np.ndarray, np.ndarray]:
+        hashes, times = counts_of(text)
+        numbers, among = numbers_of(hashes, self.known)
+        numbers, weights = self.vector(numbers, times[among], times[~among])
+        if not len(numbers) or not index.n:
             return self.blank, np.zeros(0, np.int64), np.zeros(0)
-        found, cosines = self.index.nearest(numbers, weights, self.setting.neighbours)
+        found, cosines = index.nearest(numbers, weights, self.setting.neighbours)
         if not len(found):
             return self.blank, found, cosines
         return _logistic(self.slope * self.vote(found, cosines) + self.offset), found, cosines
@@ -235,42 +271,34 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
 
-def _examples(sample: DataFrame) -> list[tuple[int, object, Counter]]:
-    """(label, id, counts of its terms) of every row of a bounded sample."""
+def _examples(sample: DataFrame) -> list[tuple[int, object, np.ndarray, np.ndarray]]:
+    """(label, id, hashes of its terms, their counts) of every row of a bounded sample."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, times = [], []
-            for text in batch.column("text").to_pylist():
-                counts: Counter = Counter()
-                for word, n in Counter(_WORD.findall(text.lower())).items():
-                    for term in terms_of_word(word):
-                        counts[term] += n
-                terms.append(list(counts))
-                times.append(list(counts.values()))
-            columns = [batch.column("label"), batch.column("id"), pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "id", "terms", "times"])
+            counts = [counts_of(text) for text in batch.column("text").to_pylist()]
+            parts = [pa.array([x[k].tobytes() for x in counts], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("id"), *parts], ["label", "id", "terms", "times"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.select("label", "id", "text").mapInArrow(counted, f"label int, id {kind}, terms array<string>, times array<long>").toArrow()
+    rows = sample.select("label", "id", "text").mapInArrow(counted, f"label int, id {kind}, terms binary, times binary").toArrow()
     return [
-        (label, name, Counter(dict(zip(terms, times))))
+        (label, name, np.frombuffer(terms, np.uint64), np.frombuffer(times, np.int64))
         for label, name, terms, times in zip(*(rows.column(c).to_pylist() for c in ("label", "id", "terms", "times")))
     ]
 
 
-def _document_frequencies(docs: DataFrame, text: str, term_ids: dict[str, int], key: str) -> tuple[int, np.ndarray]:
+def _document_frequencies(docs: DataFrame, text: str, known: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of documents, and of those with each term, over the whole table."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(term_ids)
-    n_terms = len(term_ids)
+    sent = spark.sparkContext.broadcast(known)
+    n_terms = len(known)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms + 1, np.int64)
-        terms = worker_cache("toxicity", key, lambda: Terms(sent.value))
         for batch in batches:
             for text_ in batch.column(0).to_pylist():
-                total[terms.distinct(text_)] += 1
+                total[numbers_of(counts_of(text_)[0], sent.value)[0]] += 1
                 total[n_terms] += 1
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(total[kept], pa.int64())], ["t", "c"])
@@ -304,26 +332,21 @@ def fit(
     picked = bounded_sample(usable, "label", "id", setting.per_label, setting.seed)
     texts = docs.select(quoted(doc_id).alias("id"), text_of(quoted(text)).alias("text"))
     examples = _examples(cut(texts.join(F.broadcast(picked), "id")))
-    known = Counter(x[0] for x in examples)
-    term_ids: dict[str, int] = {}
-    if known[0] and known[1]:
-        # Numbered by name, so that a rerun gives the same model.
-        term_ids = {t: i for i, t in enumerate(sorted({t for _, _, counts in examples for t in counts}))}
+    both = {x[0] for x in examples} == {0, 1}
+    known = np.unique(np.concatenate([x[2] for x in examples])) if both else np.zeros(0, np.uint64)
     kind = docs.schema[doc_id].dataType.simpleString()
     model = NearestExamples(
-        setting, term_ids, np.ones(len(term_ids)), 1.0, np.zeros(0), [], kind, BlockMaxIndex([], max(1, len(term_ids)), setting.block),
-        base_rate=base, blank=base, key=uuid.uuid4().hex,
-    )
-    if not term_ids:
+        setting, known, np.ones(len(known)), 1.0, np.zeros(0), [], kind, [], base_rate=base, blank=base
+    )
+    if not len(known):
         return model
-    n_docs, frequency = _document_frequencies(docs, text, term_ids, model.key)
+    n_docs, frequency = _document_frequencies(docs, text, known)
     model.idf = np.log((1 + n_docs) / (1 + frequency)) ** 2
     model.rarest = float(np.log(1 + n_docs) ** 2)
 
     vectors = []
-    for label_, name, counts in examples:
-        numbers = np.array(sorted((term_ids[t], n) for t, n in counts.items()), np.int64).reshape(-1, 2)
-        vectors.append((label_, name, model.vector(numbers[:, 0], numbers[:, 1])))
+    for label_, name, hashes, times in examples:
+        vectors.append((label_, name, model.vector(numbers_of(hashes, known)[0], times, np.zeros(0))))
     # Like next to like: by label, then by the heaviest term, so that a block's bounds are tight.
     heaviest = lambda v: int(v[0][v[1].argmax()]) if len(v[0]) else -1
     vectors.sort(key=lambda e: (e[0], heaviest(e[2]), e[1]))
@@ -332,11 +355,12 @@ def fit(
     weight = np.where(y == 1, base / max(1, y.sum()), (1 - base) / max(1, (1 - y).sum()))
     blank = np.array([not len(e[2][0]) for e in vectors])
     model.labels, model.ids = y, [e[1] for e in vectors]
-    model.index = BlockMaxIndex([e[2] for e in vectors], len(term_ids), setting.block)
+    model.vectors = [(e[2][0].astype(np.int32), e[2][1]) for e in vectors]
+    index = model.build_index()
     model.blank = float((weight[blank] @ y[blank] + 1e-3 * base) / (weight[blank].sum() + 1e-3))
     votes = []
     for i in np.flatnonzero(~blank):
-        found, cosines = model.index.nearest(*vectors[i][2], setting.neighbours, but=i)
+        found, cosines = index.nearest(*vectors[i][2], setting.neighbours, but=i)
         votes.append(model.vote(found, cosines))
     model.slope, model.offset = fit_logistic(np.array(votes), y[~blank], weight[~blank] * len(y))
     return model
@@ -356,21 +380,26 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
     sent = spark.sparkContext.broadcast(model)
     key = model.key
 
-    @F.pandas_udf(f"score double, predicted int, evidence array<struct<id:{model.id_type},cosine:double,label:int>>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        terms = worker_cache("toxicity", key, lambda: Terms(m.term_ids))
-        top = m.setting.evidence
+        index = worker_cache("toxicity", key, m.build_index)
+        top, ids, labels = m.setting.evidence, pa.array(m.ids), m.labels.astype(np.int32)
         for batch in batches:
-            rows = []
-            for t in batch:
-                score, found, cosines = m.score(t, terms)
-                near = [{"id": m.ids[i], "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(found[:top], cosines[:top])]
-                rows.append((score, int(score >= 0.5), near))
-            yield pd.DataFrame(rows, columns=["score", "predicted", "evidence"])
-
+            scored = [m.score(t, index) for t in batch.to_pylist()]
+            scores = np.array([s for s, _, _ in scored], float)
+            near = np.concatenate([np.zeros(0, np.int64), *(found[:top] for _, found, _ in scored)])
+            cosines = np.concatenate([np.zeros(0), *(c[:top] for _, _, c in scored)])
+            ends = np.cumsum([0, *(min(top, len(found)) for _, found, _ in scored)])
+            shown = [ids.take(pa.array(near)), pa.array(cosines), pa.array(labels[near] if len(near) else [], pa.int32())]
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(shown, ["id", "cosine", "label"]))
+            yield pa.StructArray.from_arrays(
+                [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), evidence], ["score", "predicted", "evidence"]
+            )
+
+    kind = f"score double, predicted int, evidence array<struct<id:{model.id_type},cosine:double,label:int>>"
+    judged = F.arrow_udf(judge, kind)
     names = ["score", "predicted", "evidence"]
-    rows = docs.select(F.struct(*columns_without(docs, names)).alias("kept"), judge(text_of(quoted(text))).alias("found"))
+    rows = docs.select(F.struct(*columns_without(docs, names)).alias("kept"), judged(text_of(quoted(text))).alias("found"))
     return rows.select("kept.*", *[F.col(f"found.{n}").alias(n) for n in names])
 
 

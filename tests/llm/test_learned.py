@@ -173,7 +173,7 @@ def plain_scores(docs, labels, setting):
     def counts(text):
         found = Counter()
         for word in re.findall(r"[^\W\d_]+", text.lower()):
-            found.update([word, *("^" + word[:k] for k in (4, 6, 8) if len(word) > k)])
+            found.update([word, *("^" + word[:k] for k in (4,) if len(word) > k)])
         return found
 
     frequency = Counter(t for _, text in docs for t in counts(text or ""))
@@ -209,6 +209,29 @@ def plain_scores(docs, labels, setting):
     return found
 
 
+def test_term_hashes_count_words_and_beginnings(monkeypatch):
+    rng = random.Random(2)
+    signs = [*"abcdE DÉßıİΣςſé漢字٣²½_-9.,\n\t\x85  ’“”é́🙂ªºⅫ", "words ", "wordy "]
+    texts = ["", "12 _", "words wordy words abcd", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(400))]
+    seen: dict = {}
+    for stretch in (7, 1 << 20):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        for text in texts:
+            expected = Counter()
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                expected.update([word, *(["^" + word[:4]] if len(word) > 4 else [])])
+            hashes, times = toxicity.counts_of(text)
+            found = dict(zip(hashes.tolist(), times.tolist()))
+            assert len(found) == len(expected) and sum(found.values()) == sum(expected.values())
+            for term in expected:
+                if term not in seen:
+                    # The beginning of a longer word is the term that the word alone does not give.
+                    one = set(toxicity.counts_of(term.lstrip("^") + "zzzzz" * term.startswith("^"))[0].tolist())
+                    seen[term] = one
+                assert any(found.get(h) == expected[term] for h in seen[term])
+    assert all(toxicity._tables[0].letters[ord(c)] == bool(re.fullmatch(r"[^\W\d_]", c)) for c in map(chr, range(0x3000)))
+
+
 @pytest.mark.parametrize("names", ["number", "text"])
 def test_toxicity_equals_a_plain_computation(spark, names):
     """Ids may be texts; the result's names, in any case, give way."""
