@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,10 @@ BLOCK_IDS = 1 << 20
 FILE_IDS = 24 << 20
 # Words whose ids a worker keeps, some 200 bytes each.
 KEPT_WORDS = 1_200_000
+# Files that rows of one id, or without one, may be dealt to.
+SPREAD = 1 << 16
+# Ranges of ids that are cut at once.
+COARSE = 1000
 
 # Control byte -> lengths of its four values, where each starts, and all bytes together.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -117,16 +122,18 @@ def read_blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids, seen): ids with the end id as little-endian unsigned integers of 2 or 4 bytes.
+    """(doc_id, n, ids, seen, place): ids with the end id as little-endian unsigned integers of 2 or 4 bytes.
 
     ``seen`` holds, in one row of every batch, the batch's ids and their counts,
-    so that frequencies need no second look at the ids.
+    so that frequencies need no second look at the ids. ``place`` counts rows, for
+    rows of one id to be dealt by.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
     end = int(end_id).to_bytes(4, "little")
 
     def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(content.value, KEPT_WORDS)
+        row = TaskContext.get().partitionId()
         narrow = max(tokens.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         for given in batches:
             if not given.num_rows:
@@ -139,19 +146,22 @@ def _tokenized(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id:
             seen = np.stack([found, total[found]]).astype("<i8").tobytes()
             if narrow:
                 done = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in done]
+            places = np.arange(row, row + len(done)) % SPREAD
+            row += len(done)
             yield pa.RecordBatch.from_arrays(
                 [
                     given.column(0).cast(pa.int64()),
                     pa.array(counts, pa.int64()),
                     pa.array(done, pa.binary()),
                     pa.array([seen] + [None] * (len(done) - 1), pa.binary()),
+                    pa.array(places, pa.int32()),
                 ],
-                ["doc_id", "n", "ids", "seen"],
+                ["doc_id", "n", "ids", "seen", "place"],
             )
 
     prepare_python(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("__text"))
-    return named.mapInArrow(tokenize, "doc_id long, n long, ids binary, seen binary")
+    return named.mapInArrow(tokenize, "doc_id long, n long, ids binary, seen binary, place int")
 
 
 def _unpack(ids: bytes, n: int) -> np.ndarray:
@@ -177,6 +187,30 @@ def _frequencies(tokens: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("c").alias("count"))
 
 
+def _range_bounds(tokens: DataFrame, n_files: int) -> set[int]:
+    """Ids that cut the rows into about ``n_files`` equal ranges.
+
+    Sketches of a fixed size give up to ``COARSE`` ranges; more are cut again
+    within each of those, a sketch for each.
+    """
+    coarse = min(n_files, COARSE)
+    cuts = tokens.approxQuantile("doc_id", [i / coarse for i in range(1, coarse)], 0.1 / coarse)
+    found = {int(b) for b in cuts}
+    if n_files > coarse:
+        inner, limits = -(-n_files // coarse), tokens.sparkSession.sparkContext.broadcast(np.array(sorted(found), np.int64))
+
+        def ranged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for given in batches:
+                number = np.searchsorted(limits.value, given.column(0).to_numpy(), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), given.column(0)], ["range", "doc_id"])
+
+        named = tokens.where("doc_id is not null").select("doc_id").mapInArrow(ranged, "range long, doc_id long")
+        shares = [i / inner for i in range(1, inner)]
+        again = named.groupBy("range").agg(F.percentile_approx("doc_id", shares, 100 * inner).alias("cuts"))
+        found |= {int(b) for r in again.collect() for b in r["cuts"]}
+    return found
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -193,7 +227,8 @@ def write_token_files(
 
     Texts are tokenized once, into a Parquet table inside ``path``. What the
     driver collects is the vocabulary's frequencies and the bounds of the
-    ranges, one for each file.
+    ranges, one for each file, and the ids that fill more than a file. Rows of
+    such an id, or without an id, are dealt to as many files as they fill.
     """
     spark = docs.sparkSession
     _tokenized(docs, tokenizer, doc_id, text, end_id).write.option("compression", "zstd").parquet(f"{path}/tokens")
@@ -208,20 +243,33 @@ def write_token_files(
 
     total = tokens.agg(F.sum("n")).first()[0] or 0
     n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS))
-    bounds = tokens.approxQuantile("doc_id", [i / n_files for i in range(1, n_files)], 0.1 / n_files) if total else []
-    bounds = sorted({int(b) for b in bounds})
-    limits = spark.sparkContext.broadcast(np.array(bounds, np.int64))
-
-    def bucket_of(ids: pa.Array) -> pa.Array:
-        """Number of bounds at or below the id, 0 for a null one: an id decides its file, so ranges never overlap."""
-        found = np.searchsorted(limits.value, ids.fill_null(NULL_ID).to_numpy(), side="right")
-        return pa.array(found, pa.int32())
+    filled = tokens.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") > FILE_IDS).collect()
+    parts = {r["doc_id"]: min(SPREAD, -(-r["n"] // FILE_IDS)) for r in filled}
+    # An id that fills files has a range of its own.
+    own = {b for i in parts if i is not None for b in (i, i + 1) if b < 1 << 63}
+    bounds = np.array(sorted({*_range_bounds(tokens, n_files), *own} if total else own), np.int64)
+    several = {1 + int(np.searchsorted(bounds, i, "right")): k for i, k in parts.items() if i is not None}
+    if None in parts:
+        several[0] = parts[None]
+    limits = spark.sparkContext.broadcast((bounds, several))
+
+    def bucket_of(ids: pa.Array, places: pa.Array) -> np.ndarray:
+        """A number that rises with the id, null first, and by place within an id that fills files.
+
+        Bounds at or below the id give its range, so that ranges never overlap.
+        """
+        cuts, split = limits.value
+        ranges = np.where(ids.is_null().to_numpy(False), 0, 1 + np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="right"))
+        found = ranges.astype(np.int64) * SPREAD
+        for number, count in split.items():
+            found += np.where(ranges == number, places.to_numpy() % count, 0)
+        return found
 
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
             n = given.column(1).to_numpy()
             raw = given.column(2).to_pylist()
-            buckets = bucket_of(given.column(0))
+            buckets = pa.array(bucket_of(given.column(0), given.column(3)), pa.int64())
             for low in range(0, len(raw), 64):
                 some = slice(low, low + 64)
                 values = np.concatenate([_unpack(x, k) for x, k in zip(raw[some], n[some].tolist())])
@@ -237,7 +285,7 @@ def write_token_files(
 
         def done() -> pa.RecordBatch:
             block = write_block(*[list(x) for x in zip(*[h[1:] for h in held])])
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.array([block], pa.binary())], ["bucket", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([block], pa.binary())], ["bucket", "block"])
 
         for given in batches:
             for row in zip(*[c.to_pylist() for c in given.columns]):
@@ -251,22 +299,22 @@ def write_token_files(
 
     def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            buckets = bucket_of(given.column(0)).to_numpy()
+            buckets = bucket_of(given.column(0), given.column(2))
             found, place = np.unique(buckets, return_inverse=True)
             ids = np.bincount(place, given.column(1).to_numpy(), len(found)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found), pa.array(np.bincount(place, minlength=len(found))), pa.array(ids)], ["bucket", "docs", "ids"]
             )
 
-    coded = tokens.select("doc_id", "n", "ids").mapInArrow(
-        compress, "bucket int, doc_id long, n long, control binary, data binary"
+    coded = tokens.select("doc_id", "n", "ids", "place").mapInArrow(
+        compress, "bucket long, doc_id long, n long, control binary, data binary"
     )
     in_order = coded.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    lines = in_order.mapInArrow(blocks, "bucket int, block binary")
+    lines = in_order.mapInArrow(blocks, "bucket long, block binary")
     # A cast to text keeps the bytes; the writer ends each block with a line end.
     lines.select("bucket", F.col("block").cast("string").alias("value")).write.partitionBy("bucket").text(f"{path}/files")
 
-    held = tokens.select("doc_id", "n").mapInArrow(totals, "bucket int, docs long, ids long").groupBy("bucket")
+    held = tokens.select("doc_id", "n", "place").mapInArrow(totals, "bucket long, docs long, ids long").groupBy("bucket")
     held = held.agg(F.sum("docs").alias("n_docs"), F.sum("ids").alias("n_ids"))
     _starts(held, "bucket", "n_ids").coalesce(1).write.parquet(f"{path}/manifest")
 
@@ -304,8 +352,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     raw = ids.tobytes()
                     parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
                     arrays = [
-                        pa.array(np.full(len(doc_ids), bucket), pa.int32()),
-                        pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID),
+                        pa.array(np.full(len(doc_ids), bucket), pa.int64()),
+                        # Rows without an id have files of their own.
+                        pa.array(doc_ids, pa.int64(), mask=np.full(len(doc_ids), bucket < SPREAD)),
                         pa.array(before + ends - lengths, pa.int64()),
                         pa.array(lengths, pa.int64()),
                         pa.array([zlib.crc32(p) for p in parts], pa.int64()),
@@ -316,14 +365,14 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     before += int(ends[-1])
 
     names = ["bucket", "doc_id", "__local", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    schema = "bucket int, doc_id long, __local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "bucket long, doc_id long, __local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     if not by_rank:
         rows = spark.createDataFrame([], schema)
     else:
         prepare_python(spark)
         files = spark.read.format("binaryFile").load(f"{path}/files")
-        rows = files.select(F.col("bucket").cast("int"), "content").mapInArrow(decode, schema)
-    starts = spark.read.parquet(f"{path}/manifest").select(F.col("bucket").cast("int"), F.col("start").alias("__start"))
+        rows = files.select(F.col("bucket").cast("long"), "content").mapInArrow(decode, schema)
+    starts = spark.read.parquet(f"{path}/manifest").select(F.col("bucket").cast("long"), F.col("start").alias("__start"))
     placed = rows.join(starts, "bucket")
     start = (F.col("__start") + F.col("__local")).alias("start")
     return placed.select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -222,3 +222,24 @@ def test_packing_cuts_between_paragraphs(spark):
 
     library = Tokenizer.from_file(public_tokenizer(FILES[0]))
     assert len(rows) > 4 and all(library.decode(list(np.frombuffer(r["ids"], "<u4"))).endswith("words.") for r in rows[:-1])
+
+
+def test_an_id_that_fills_files_is_split(spark, tmp_path, monkeypatch):
+    """Rows without an id, and rows of one id, in several files; the least id there is stays what it is."""
+    monkeypatch.setattr(tokenfiles, "FILE_IDS", 40)
+    monkeypatch.setattr(tokenfiles, "COARSE", 3)
+    rows = [(None, "no id"), (7, "seven words are not so very many here")] * 40 + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    rows += [(i, f"text number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "files")
+    tokenfiles.write_token_files(docs, path, public_tokenizer(FILES[1]))
+    found = tokenfiles.read_token_files(spark, path).orderBy("start").collect()
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert [r["doc_id"] for r in found] == order
+    at = 0
+    for r in found:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"])
+        at += r["n_tokens"]
+    folders = [x.name for x in (tmp_path / "files" / "files").iterdir() if x.name.startswith("bucket=")]
+    numbers = [int(x.removeprefix("bucket=")) for x in folders]
+    assert sum(n < tokenfiles.SPREAD for n in numbers) > 1 and len({n // tokenfiles.SPREAD for n in numbers}) < len(numbers) - 2
