@@ -6,6 +6,10 @@ table's random hyperplanes. Vectors that share a bucket in any table are compare
 by their exact cosine. A pair is counted in the first table whose bucket it
 shares, so links are counted once without listing pairs.
 
+Buckets hold a sketch of each vector, 256 signs, and the vectors themselves are
+brought only to those buckets where another sketch is near enough for the
+threshold. What is shuffled for an unlike vector is thus some 60 bytes a table.
+
 Bits grow with the logarithm of the number of classes, so that a bucket of
 unrelated vectors holds about ``bucket`` of them at any size; the number of
 tables follows from the wanted recall at the threshold.
@@ -54,6 +58,10 @@ class Hashing:
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - same))) if same < 1 else 1
 
 
+# Bits of the sketch that a vector is known by in its buckets; a multiple of 64.
+SKETCH = 256
+
+
 def _planes(seed: int, width: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([seed, width, bits, tables]).standard_normal((width, bits * tables))
 
@@ -83,51 +91,110 @@ def _classes(vectors: DataFrame, vector_id: str, vector: str) -> DataFrame:
     return named.mapInArrow(digest, f"id {kind}, key binary, unit binary")
 
 
+def _signs(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
+    """A number for every row and table: the signs of the products with the table's planes, as bits."""
+    bits = planes.shape[1] // tables
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    return ((x @ planes).reshape(len(x), tables, bits) > 0) @ powers
+
+
+def _units(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+
+
 def _hashed(classes: DataFrame, hashing: Hashing, bits: int, tables: int) -> DataFrame:
-    """(key, copies, unit, bucket, signs): one row per class and table; ``bucket`` also names the table and the width."""
+    """(key, bucket, sketch): one row per class and table; ``bucket`` also names the table and the width.
+
+    The sketch, signs of ``SKETCH`` more planes, stands for the vector until its
+    bucket is known to hold another like it.
+    """
 
     def hash_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(bits, dtype=np.int64)
         for given in batches:
-            units = given.column(2).to_pylist()
+            units = given.column(1).to_pylist()
             by_width: dict[int, list[int]] = {}
             for i, u in enumerate(units):
                 by_width.setdefault(len(u) // 8, []).append(i)
             for width, rows in by_width.items():
                 planes = _planes(hashing.seed, width, bits, tables)
+                more = _planes(hashing.seed + 1, width, SKETCH, 1)
                 for low in range(0, len(rows), 512):
                     some = rows[low : low + 512]
-                    x = np.frombuffer(b"".join(units[i] for i in some), np.float64).reshape(len(some), width)
-                    signs = ((x @ planes).reshape(len(some), tables, bits) > 0) @ powers
+                    x = _units([units[i] for i in some])
                     number = np.arange(tables, dtype=np.int64) + tables * np.int64(width)
-                    buckets = (number << 32) | signs
-                    some_rows = np.repeat(np.array(some), tables)
-                    kept = given.take(pa.array(some_rows))
-                    as_bytes = [s.astype("<u4").tobytes() for s in signs]
+                    buckets = (number << 32) | _signs(x, planes, tables)
+                    sketches = np.packbits(x @ more > 0, axis=1)
+                    kept = given.column(0).take(pa.array(np.repeat(np.array(some), tables)))
+                    each = [s.tobytes() for s in sketches]
                     yield pa.RecordBatch.from_arrays(
-                        [*kept.columns, pa.array(buckets.ravel(), pa.int64()), pa.array([b for b in as_bytes for _ in range(tables)], pa.binary())],
-                        ["key", "copies", "unit", "bucket", "signs"],
+                        [kept, pa.array(buckets.ravel(), pa.int64()), pa.array([e for e in each for _ in range(tables)], pa.binary())],
+                        ["key", "bucket", "sketch"],
                     )
 
-    return classes.select("key", "copies", "unit").mapInArrow(
-        hash_, "key binary, copies long, unit binary, bucket long, signs binary"
-    )
+    return classes.select("key", "unit").mapInArrow(hash_, "key binary, bucket long, sketch binary")
+
+
+def most_different(threshold: float) -> int:
+    """Bits in which sketches of vectors at the threshold differ at most, but for one pair in a billion."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return math.floor(SKETCH * p + 6 * math.sqrt(SKETCH * p * (1 - p)))
 
 
-def _compared(hashed: DataFrame, threshold: float, tables: int, block: int) -> DataFrame:
+_KEYS = ["bucket", "block_a", "block_b"]
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows to compare with which rows, and whether those are one block."""
+    side = rows["side"].to_numpy()
+    one_block = rows["block_a"][0].as_py() == rows["block_b"][0].as_py()
+    left = np.arange(rows.num_rows) if one_block else np.flatnonzero(side == 0)
+    return left, left if one_block else np.flatnonzero(side == 1), one_block
+
+
+def _alike(hashed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(bucket, block_a, block_b, side, key) of the rows whose sketch is near that of another in their block."""
+    most = most_different(threshold)
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, _KEYS):
+            if rows.num_rows < 2:
+                continue
+            words = fixed_width(rows["sketch"], "<u8")
+            left, right, one_block = _sides(rows)
+            found = np.zeros(rows.num_rows, bool)
+            for low in range(0, len(left), 256):
+                some = left[low : low + 256]
+                apart = np.zeros((len(some), len(right)), np.uint16)
+                for k in range(words.shape[1]):
+                    apart += np.bitwise_count(words[some, k][:, None] ^ words[right, k][None, :])
+                near = apart <= most
+                if one_block:
+                    near &= right[None, :] != some[:, None]
+                found[some] |= near.any(1)
+                found[right] |= near.any(0)
+            if found.any():
+                yield from rows.select([*_KEYS, "side", "key"]).take(pa.array(np.flatnonzero(found))).to_batches()
+
+    dealt = with_blocks(hashed, "bucket", "key", block)
+    together = dealt.select(*_KEYS, "side", "key", "sketch").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "key")
+    return together.mapInArrow(choose, "bucket long, block_a int, block_b int, side int, key binary")
+
+
+def _compared(alike: DataFrame, classes: DataFrame, threshold: float, hashing: Hashing, bits: int, tables: int) -> DataFrame:
     """(key, links, low) per class and block with a link: copies linked first here, and a class linked with it."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ["bucket", "block_a", "block_b"]):
+        for rows in groups(batches, _KEYS):
             n = rows.num_rows
             if n < 2:
                 continue
-            x, signs = fixed_width(rows["unit"], "<f8"), fixed_width(rows["signs"], "<u4")
-            copies, side = rows["copies"].to_numpy(), rows["side"].to_numpy()
+            x = fixed_width(rows["unit"], "<f8")
+            copies = rows["copies"].to_numpy()
             this = (rows["bucket"][0].as_py() >> 32) % tables
-            one_block = rows["block_a"][0].as_py() == rows["block_b"][0].as_py()
-            left = np.arange(n) if one_block else np.flatnonzero(side == 0)
-            right = left if one_block else np.flatnonzero(side == 1)
+            # The tables before this one, made anew from the vector.
+            planes = _planes(hashing.seed, x.shape[1], bits, tables)[:, : this * bits]
+            signs = np.concatenate([_signs(x[k : k + 512], planes, this) for k in range(0, n, 512)]) if this else np.zeros((n, 0), np.int64)
+            left, right, one_block = _sides(rows)
             links, ends = np.zeros(n, np.int64), []
             for low in range(0, len(left), 512):
                 some = left[low : low + 512]
@@ -140,7 +207,7 @@ def _compared(hashed: DataFrame, threshold: float, tables: int, block: int) -> D
                     continue
                 for at in range(0, len(i), 100_000):
                     a, b = i[at : at + 100_000], j[at : at + 100_000]
-                    new = (signs[a, :this] != signs[b, :this]).all(1)
+                    new = (signs[a] != signs[b]).all(1)
                     np.add.at(links, a[new], copies[b[new]])
                     np.add.at(links, b[new], copies[a[new]])
                 # Connected rows are enough for the components; pairs go no further.
@@ -156,10 +223,9 @@ def _compared(hashed: DataFrame, threshold: float, tables: int, block: int) -> D
                     ["key", "links", "low"],
                 )
 
-    dealt = with_blocks(hashed, "bucket", "key", block)
-    keys = ["bucket", "block_a", "block_b"]
-    columns = [*keys, "side", "key", "copies", "unit", "signs"]
-    together = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "key")
+    whole = join_split(alike, classes.select("key", "copies", "unit"), "key")
+    columns = [*_KEYS, "side", "key", "copies", "unit"]
+    together = whole.select(*columns).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "key")
     return together.mapInArrow(compare, "key binary, links long, low binary")
 
 
@@ -192,7 +258,8 @@ def link_vectors(
     n = classes.count()
     bits = hashing.bits(n)
     tables = hashing.tables(bits, threshold)
-    found = cut(_compared(_hashed(classes, hashing, bits, tables), threshold, tables, hashing.block))
+    alike = _alike(_hashed(classes, hashing, bits, tables), threshold, hashing.block)
+    found = cut(_compared(alike, classes, threshold, hashing, bits, tables))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     components = connected_components(found, "key", "low")
     named = classes.select("key", "copies", "least").join(components.withColumnRenamed("node", "key"), "key", "left")
