@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import free_worker_cache, new_folder, prepare_python, table, text_of
+from pricewake.llm.common import free_worker_cache, new_folder, prepare_python, remove_folder, table, text_of
 from pricewake.llm.tokens import encoder, public_tokenizer, read_tokenizer
 
 MAGIC = b"TOKBLK01"
@@ -225,7 +225,8 @@ def write_token_files(
     id first; repeated ids stand together. Ids are integers. An empty table
     writes an empty folder. Other columns are ignored.
 
-    Texts are tokenized once, into a Parquet table inside ``path``. What the
+    Texts are tokenized once, into a Parquet table inside ``path`` that is removed
+    at the end. What the
     driver collects is the vocabulary's frequencies and the bounds of the
     ranges, one for each file, and the ids that fill more than a file. Rows of
     such an id, or without an id, are dealt to as many files as they fill.
@@ -317,6 +318,8 @@ def write_token_files(
     held = tokens.select("doc_id", "n", "place").mapInArrow(totals, "bucket long, docs long, ids long").groupBy("bucket")
     held = held.agg(F.sum("docs").alias("n_docs"), F.sum("ids").alias("n_ids"))
     _starts(held, "bucket", "n_ids").coalesce(1).write.parquet(f"{path}/manifest")
+    # The files hold all that the table did.
+    remove_folder(spark, f"{path}/tokens")
 
 
 def _starts(rows: DataFrame, order: str, size: str, group: int = 4096) -> DataFrame:
