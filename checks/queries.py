@@ -620,4 +620,5 @@ REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], Shape]] = {
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     result, kinds = REGISTRY[name]
-    return shape_frame(result(Tables(configure(spark), sf_dir)), kinds)
+    configure(spark, *sample_tables.paths(sf_dir))
+    return shape_frame(result(Tables(spark, sf_dir)), kinds)

@@ -58,6 +58,11 @@ _SCHEMAS = {
 }
 
 
+def paths(sf_dir: str) -> list[str]:
+    """The files that the views below read."""
+    return [f"{sf_dir}/{t}.parquet" for t in _SCHEMAS]
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     scans = {t: spark.read.schema(_SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     return spark.sql(sql, **scans)

@@ -62,6 +62,12 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder; 0 if it does not exist."""
+    target, files = _place(spark, path)
+    return files.getContentSummary(target).getLength() if files.exists(target) else 0
+
+
 def read_line(spark: SparkSession, path: str) -> str | None:
     """The text of a small file of one line; None if it does not exist."""
     target, files = _place(spark, path)
