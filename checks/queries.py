@@ -217,6 +217,8 @@ class Tables:
         return signals.product_summary(catalog.catalogue(self.folded), self.baseline)
 
     def trained(self, category: str) -> plans.Trained:
+        if None in self._stored:
+            return plans.train_daily(self.stored(), category)
         if category == "tablet" and category not in self._stored:
             # This recipe reads the series once.
             return plans.train(self.products, self.prices, category)
@@ -253,6 +255,8 @@ def _score_in_sample(t: Tables) -> DataFrame:
 def _of_both(t: Tables, report: Callable[[plans.Trained], DataFrame]) -> DataFrame:
     """A small report of each category's training, read before its rows are given back."""
     parts = []
+    # One pass over the prices serves both categories.
+    t.stored()
     for category in features.PROFILES:
         trained = t.trained(category)
         rows = report(trained).withColumn("category", F.lit(category))

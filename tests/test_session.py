@@ -55,3 +55,18 @@ def test_every_query_sizes_its_shuffles(restored, sf_dir, monkeypatch):
     frame = queries.run("spec_features", restored, sf_dir)
     assert min(_partitions(frame)) > 100
     assert restored.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+@pytest.mark.parametrize("name", ["fit_metrics", "fit_gap"])
+def test_reports_of_both_categories_fold_the_prices_once(restored, sf_dir, monkeypatch, name):
+    passes = []
+
+    def counted(products, prices, category=None, **options):
+        passes.append(category)
+        return daily_prices(products, prices, category, **options)
+
+    monkeypatch.setattr(queries, "daily_prices", counted)
+    monkeypatch.setattr(queries.plans, "daily_prices", counted)
+    found = queries.run(name, restored, sf_dir).collect()
+    assert {r["category"] for r in found} == {"mobile", "tablet"}
+    assert passes == [None]
