@@ -275,7 +275,7 @@ def fit(samples: list[Drawn], share_good: float, how: Training = Training()) ->
         worst = np.minimum.reduceat(good, starts)[owner]
         y = np.where((label[owner] == 0) & (good > how.sure) & (good > worst), 1.0, y)
     natural = np.where(label == 1, share_good / label.sum(), (1 - share_good) / (1 - label).sum()) * len(label)
-    slope, offset = fit_logistic(_mean_by_length(good, sizes, starts), label, natural)
+    slope, offset = fit_logistic(_mean_by_length(good, sizes, starts), label, natural, middle=False)
     return LineField(w, t, slope, offset)
 
 

@@ -136,6 +136,33 @@ def test_logistic_fit_finds_the_curve():
     assert abs(slope - 6) < 0.5 and abs(offset + 3) < 0.3
 
 
+def test_logistic_curve_crosses_one_half_where_errors_are_fewest():
+    """One label in two bunches: the likeliest curve misses the nearer one."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0.25, 0.08, 500), rng.normal(0.52, 0.04, 200), rng.normal(0.95, 0.02, 300)])
+    y = np.repeat([0.0, 1.0], 500)
+    weight = np.where(y == 1, 0.2, 1.8)
+
+    def errors(slope, offset):
+        return weight @ ((slope * x + offset >= 0) != (y == 1))
+
+    least = min(weight @ ((x >= t) != (y == 1)) for t in x)
+    slope, offset = fit_logistic(x, y, weight, middle=False)
+    assert errors(slope, offset) > 1.4 * least
+    moved = fit_logistic(x, y, weight)
+    assert moved[0] == slope and errors(*moved) <= 1.1 * least
+    # Nothing to move to: all rows alike, one label, or a curve that falls.
+    for args in ((np.full(4, 0.3), np.array([0.0, 1, 0, 1])), (x, np.zeros(1000)), (-x, y)):
+        assert fit_logistic(*args, np.ones(len(args[0]))) == fit_logistic(*args, np.ones(len(args[0])), middle=False)
+
+
+def test_toxic_rows_held_out_are_caught(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = toxicity.op8_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").toPandas()
+    assert held.predicted[held.toxic == 1].mean() > 0.66 and held.predicted[held.toxic == 0].mean() < 0.01
+
+
 def test_toxicity_accuracy_and_evidence(spark, sf01):
     rows = toxicity.op8_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
