@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +45,23 @@ _BEGINNING = np.uint64(0x632BE59BD9B4E019)
 
 @dataclass(frozen=True)
 class Setting:
-    """Sample bound (rows of each label), neighbours, examples of a block, and neighbours shown as evidence."""
+    """Sample bounds (rows of each label), neighbours, examples of a block, and neighbours shown as evidence.
+
+    ``per_label`` rows of each label are drawn, and up to ``most`` where both labels
+    have more; ``neighbours`` go with ``per_label`` and grow with what is drawn.
+    """
 
     per_label: int = 500
+    most: int = 500
     neighbours: int = 60
     block: int = 64
     seed: int = 23
     evidence: int = 3
 
+    def drawn(self, sizes: dict[int, int]) -> int:
+        """Rows of each label to draw; no more than the rarer one has, so that neither crowds the other out."""
+        return max(self.per_label, min(self.most, sizes.get(0, 0), sizes.get(1, 0)))
+
 
 class _Tables:
     """Which code points are letters, and powers of the hash's step and of its inverse; made once a worker."""
@@ -266,6 +275,8 @@ class NearestExamples:
 
 # The weight of the base rate in a vote.
 FAR = 0.2
+# For a filter: toxic texts come in bunches, and a few hundred examples miss some. Larger blocks keep the index small.
+THOROUGH = Setting(most=2000, block=512)
 
 
 def _logistic(x: float) -> float:
@@ -330,7 +341,10 @@ def fit(
     usable = labels.select(quoted(doc_id).alias("id"), quoted(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    picked = bounded_sample(usable, "label", "id", setting.per_label, setting.seed)
+    drawn = setting.drawn(sizes)
+    # A larger sample has more neighbours, so that these stay the same share of it.
+    setting = replace(setting, neighbours=round(setting.neighbours * drawn / setting.per_label))
+    picked = bounded_sample(usable, "label", "id", drawn, setting.seed)
     texts = docs.select(quoted(doc_id).alias("id"), text_of(quoted(text)).alias("text"))
     examples = _examples(cut(texts.join(F.broadcast(picked), "id")))
     both = {x[0] for x in examples} == {0, 1}
@@ -405,8 +419,8 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Documents that are not predicted toxic, columns unchanged."""
-    model = fit(docs, labels, text, doc_id)
+    """Documents that are not predicted toxic, columns unchanged; up to 2,000 examples of each label are learned from."""
+    model = fit(docs, labels, text, doc_id, setting=THOROUGH)
     rows = docs.select(F.struct("*").alias("row"), quoted(text).alias("whole"))
     return score_toxicity(rows, model, "whole").where("predicted = 0").select("row.*")
 

@@ -163,6 +163,32 @@ def test_toxic_rows_held_out_are_caught(spark):
     assert held.predicted[held.toxic == 1].mean() > 0.66 and held.predicted[held.toxic == 0].mean() < 0.01
 
 
+def test_toxic_texts_in_many_bunches_are_dropped(spark, monkeypatch):
+    """A filter learns from more examples than a few hundred, and from as many neighbours in proportion."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrst"
+    word = lambda kind, n: kind + "".join(letters[int(c)] for c in f"{n:04d}")
+    docs, labels = [], []
+    for i in range(3_900):
+        toxic = int(i % 3 == 0)
+        own = [word("xz"[toxic] + "qv"[k], i // 12) for k in (0, 1) for _ in range(2)]
+        words = own + [word("c", rng.randint(0, 30)) for _ in range(8)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    used = []
+    score = toxicity.score_toxicity
+    monkeypatch.setattr(toxicity, "score_toxicity", lambda rows, model, text: used.append(model) or score(rows, model, text))
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(frame, marks).collect()}
+    assert used[0].labels.sum() == 1_300 and used[0].setting.neighbours == 156
+    assert sum(y and i in kept for i, y in labels) <= 0.02 * 1_300
+    assert sum(not y and i in kept for i, y in labels) >= 0.98 * 2_600
+    # Where a label has few rows, no more than usual are drawn of the other one.
+    for sizes, n in (({0: 9_000, 1: 449}, 500), ({0: 9_000}, 500), ({0: 9_000, 1: 700}, 700), ({0: 9_000, 1: 8_000}, 2_000)):
+        assert toxicity.THOROUGH.drawn(sizes) == n and toxicity.Setting().drawn(sizes) == 500
+
+
 def test_toxicity_accuracy_and_evidence(spark, sf01):
     rows = toxicity.op8_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
