@@ -13,6 +13,9 @@ from pricewake.llm import decontaminate, ngram_join, packing, secrets, toxicity
 from pricewake.llm.common import new_folder, remove_folder, table
 from pricewake.llm.tokens import public_tokenizer
 
+# Words whose ids a worker keeps while it packs: by then, the stages before have filled the executor's heap.
+KEPT_WORDS = 500_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance to be toxic is under one half; all labels are learned from."""
@@ -36,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1,024 tokens, with their ids."""
-    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), kept_words=KEPT_WORDS)
 
 
 STAGES = [

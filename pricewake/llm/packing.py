@@ -138,6 +138,7 @@ def pack_documents(
     end_id: int = 0,
     costs: Costs = Costs(),
     with_ids: bool = True,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """Pieces of documents in sequences of at most ``costs.window`` tokens.
 
@@ -148,7 +149,8 @@ def pack_documents(
     driver. Every document ends with ``end_id``; a null or empty text is that id
     alone. Null and repeated ids are packed like others, an empty table gives no
     rows, other columns are dropped. Each partition ends with one sequence that
-    is not full. Memory: a few hundred sequences and the longest text.
+    is not full. Memory: a few hundred sequences, the longest text,
+    and some 200 bytes for each of ``kept_words`` words, whose ids a worker keeps.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
     prepare_python(docs.sparkSession)
@@ -157,7 +159,7 @@ def pack_documents(
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(content.value, KEPT_WORDS)
+        tokens = encoder(content.value, kept_words)
         packer = _Packer(costs, TaskContext.get().partitionId() << 40, with_ids)
         schema = None
 

@@ -19,16 +19,15 @@ counts as one that no document has.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewake.llm.common import columns_without, crc_remainder, cut, fit_logistic, prepare_python, quoted, table, text_of, worker_cache
+from pricewake.llm.common import columns_without, crc_remainder, cut, fit_logistic, free_worker_cache, prepare_python, quoted, table, text_of
 from pricewake.llm.sampling import bounded_sample
 
 # A word is a run of letters; so many first letters of a longer one are a term, too.
@@ -36,6 +35,8 @@ _LETTERS, _NO_LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 START = 4
 # Characters that are read side by side.
 STRETCH = 1 << 20
+# Products of weights that are held at a time, some 50 bytes each.
+PRODUCTS = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -139,23 +140,35 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int):
         self.n, self.block = len(vectors), block
-        sizes = [len(t) for t, _ in vectors]
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        example = np.repeat(np.arange(self.n), sizes)
         self.n_blocks, self.n_terms = max(1, -(-self.n // block)), max(1, n_terms)
+        cells, sizes = self.n_blocks * self.n_terms, [len(t) for t, _ in vectors]
+        # Numbers no wider than they need be, as the index lies in every worker.
+        cell = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32 if cells < 1 << 31 else np.int64)
         # By term and then block, so that what a text reads lies together.
-        cell = term * self.n_blocks + example // block
+        cell *= self.n_blocks
+        cell += np.repeat((np.arange(self.n) // block).astype(cell.dtype), sizes)
         order = np.argsort(cell, kind="stable")
-        self.example, self.weight = example[order], weight[order]
-        cells = self.n_blocks * self.n_terms
-        self.first = np.append(0, np.cumsum(np.bincount(cell, minlength=cells))).astype(np.int32)
-        largest = np.zeros(cells)
+        self.example = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), sizes)[order]
+        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])[order]
+        self.first = np.zeros(cells + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=cells), out=self.first[1:])
+        self._bound()
+
+    def _bound(self) -> None:
+        """Find the largest weight of every term in every block."""
+        largest = np.zeros(self.n_blocks * self.n_terms)
         full = np.flatnonzero(np.diff(self.first))
         if len(full):
             largest[full] = np.maximum.reduceat(self.weight, self.first[full])
         self.largest = largest.reshape(self.n_terms, self.n_blocks)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "largest"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._bound()
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (all but one, if named) and their cosines over 0, nearest first, ties by number.
 
@@ -205,15 +218,23 @@ class BlockMaxIndex:
         full = high > low
         low, high, weights = low[full], high[full], weights[full]
         sizes = high - low
-        total = int(sizes.sum())
-        if not total:
-            return
-        shift = low - (np.cumsum(sizes, dtype=np.int32) - sizes)
-        places = np.repeat(shift, sizes)
-        places += np.arange(total, dtype=np.int32)
-        products = self.weight.take(places)
-        products *= np.repeat(weights, sizes)
-        sums += np.bincount(self.example.take(places), products, self.n)
+        ends = np.cumsum(sizes)
+        begin = done = 0
+        while begin < len(sizes):
+            end = max(begin + 1, int(np.searchsorted(ends, done + PRODUCTS, "right")))
+            some, last = sizes[begin:end], int(ends[end - 1])
+            shift = low[begin:end] - (ends[begin:end] - some - done).astype(np.int32)
+            places = np.repeat(shift, some)
+            places += np.arange(last - done, dtype=np.int32)
+            products = self.weight.take(places)
+            products *= np.repeat(weights[begin:end], some)
+            into = self.example.take(places)
+            if begin:
+                # The sums so far go in front, so that the order of the additions is that of a single part.
+                into, products = np.concatenate([np.arange(self.n), into]), np.concatenate([sums, products])
+                sums[:] = 0
+            sums += np.bincount(into, products, self.n)
+            begin, done = end, last
 
 
 @dataclass
@@ -235,11 +256,9 @@ class NearestExamples:
     base_rate: float = 0.0
     # Score of a text without any term of an example.
     blank: float = 0.0
-    # Names this model among the things a worker keeps.
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def build_index(self) -> BlockMaxIndex:
-        """Made where it is used, as it is several times as large as the vectors."""
+        """Index of the vectors; workers get it instead of them."""
         return BlockMaxIndex(self.vectors, len(self.known), self.setting.block)
 
     @property
@@ -287,6 +306,7 @@ def _examples(sample: DataFrame) -> list[tuple[int, object, np.ndarray, np.ndarr
     """(label, id, hashes of its terms, their counts) of every row of a bounded sample."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_cache()
         for batch in batches:
             counts = [counts_of(text) for text in batch.column("text").to_pylist()]
             parts = [pa.array([x[k].tobytes() for x in counts], pa.binary()) for k in (0, 1)]
@@ -307,6 +327,7 @@ def _document_frequencies(docs: DataFrame, text: str, known: np.ndarray) -> tupl
     n_terms = len(known)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_cache()
         total = np.zeros(n_terms + 1, np.int64)
         for batch in batches:
             for text_ in batch.column(0).to_pylist():
@@ -392,12 +413,11 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
     """
     spark = docs.sparkSession
     prepare_python(spark)
-    sent = spark.sparkContext.broadcast(model)
-    key = model.key
+    sent = spark.sparkContext.broadcast((replace(model, vectors=[]), model.build_index()))
 
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = sent.value
-        index = worker_cache("toxicity", key, m.build_index)
+        free_worker_cache()
+        m, index = sent.value
         top, ids, labels = m.setting.evidence, pa.array(m.ids), m.labels.astype(np.int32)
         for batch in batches:
             scored = [m.score(t, index) for t in batch.to_pylist()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -128,6 +129,40 @@ def test_block_max_search_is_exact():
             assert np.allclose(cosines[found], got) and but not in found
 
 
+def _vectors(n: int, n_terms: int, seed: int) -> list:
+    rng = np.random.default_rng(seed)
+    found = []
+    for _ in range(n):
+        terms = np.sort(rng.choice(n_terms, rng.integers(5, n_terms // 2), replace=False))
+        found.append((terms, rng.random(len(terms))))
+    return found
+
+
+def test_search_in_parts_is_that_of_one_part(monkeypatch):
+    """Memory of a search is bounded, and its sums are the same to the last bit."""
+    index, queries = BlockMaxIndex(_vectors(300, 80, 1), 80, 64), _vectors(30, 80, 2)
+    whole = [index.nearest(*q, 40) for q in queries]
+    monkeypatch.setattr(toxicity, "PRODUCTS", 500)
+    held = []
+    arange = np.arange
+    monkeypatch.setattr(toxicity.np, "arange", lambda *a, **k: held.append(a[0]) or arange(*a, **k))
+    for q, (found, cosines) in zip(queries, whole):
+        again = index.nearest(*q, 40)
+        assert found.tolist() == again[0].tolist() and cosines.tolist() == again[1].tolist()
+    # One list of examples of a term may pass the bound.
+    assert max(held) <= 500 + 300
+
+
+def test_workers_get_the_index_and_not_the_vectors(monkeypatch):
+    vectors = _vectors(300, 80, 3)
+    index = BlockMaxIndex(vectors, 80, 64)
+    sent = pickle.dumps(index)
+    # Two bytes for the number of an example, eight for a weight, four for each term and block.
+    assert len(sent) < 10 * sum(len(t) for t, _ in vectors) + 4 * 80 * index.n_blocks + 2000
+    again = pickle.loads(sent)
+    assert (again.largest == index.largest).all() and again.largest.any()
+
+
 def test_logistic_fit_finds_the_curve():
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, 20_000)

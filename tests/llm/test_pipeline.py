@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -84,6 +85,73 @@ def test_a_worker_keeps_the_words_of_one_operator():
     assert not common._held
 
 
+def test_what_a_worker_kept_is_gone_at_once():
+    """Things that refer to themselves do not wait for a collection."""
+    import gc
+    import weakref
+
+    from pricewake.llm import common
+
+    class Kept:
+        def __init__(self):
+            self.own = self
+
+    gc.disable()
+    try:
+        first = weakref.ref(common.worker_cache("one", "a", Kept))
+        second = weakref.ref(common.worker_cache("two", "b", Kept))
+        assert first() is None and second() is not None
+        common.free_worker_cache()
+        assert second() is None
+    finally:
+        gc.enable()
+
+
+def test_packing_bounds_the_words_of_a_worker(spark, sf_dir, monkeypatch):
+    """Two workers of the last stage keep words in 200 MB, and fewer words give the same pieces."""
+    from pricewake.llm import packing
+
+    asked, plain = [], packing.encoder
+    monkeypatch.setattr(packing, "encoder", lambda content, kept: asked.append(kept) or plain(content, kept))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, kind: task)
+    assert list(corpus_pipeline.pack(spark, docs, sf_dir)([])) == []
+    assert 2 * 200 * asked[0] <= 200e6
+    monkeypatch.undo()
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = packing.public_tokenizer("byte_bpe_50k.json")
+    pieces = [sorted(map(tuple, packing.pack_documents(docs, path, kept_words=n).drop("ids").collect())) for n in (10, 10_000)]
+    assert pieces[0] == pieces[1] and pieces[0]
+
+
+@pytest.mark.parametrize("step", ["frequencies", "examples"])
+def test_toxicity_holds_nothing_of_other_operators(spark, step):
+    """Its first steps in a worker free what the operator before it kept there."""
+    from pricewake.llm import common
+
+    class Here:
+        """A frame whose task runs in this process, over no batch."""
+
+        sparkSession, schema = spark, spark.range(1).schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):
+            list(task(iter([])))
+            raise StopAsyncIteration
+
+    common.worker_cache("before", "x", list)
+    with pytest.raises(StopAsyncIteration):
+        if step == "frequencies":
+            toxicity._document_frequencies(Here(), "text", np.zeros(0, np.uint64))
+        else:
+            toxicity._examples(Here())
+    assert not common._held
+
+
 def test_run_leaves_no_folder_but_the_last(spark):
     import os
 
